@@ -107,7 +107,7 @@ class Words:
             if i == 24:  # long words: by prefix sums, in time of their length
                 for k in alive.tolist():
                     b = self.buf[self.start[k] + i : self.end[k]].astype(np.uint64) + np.uint64(1)
-                    out[k] += (b * _powers(_MULT, len(b))).sum(dtype=np.uint64) * np.uint64(power)
+                    out[k : k + 1] += (b * _powers(_MULT, len(b))).sum(dtype=np.uint64, keepdims=True) * np.uint64(power)
                 break
             out[alive] += (self.buf[self.start[alive] + i].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
             power = power * _MULT % (1 << 64)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargohold.llm.decontamination import contamination
 from cargohold.llm.exact_dedup import exact_dedup
 from cargohold.llm.simhash import simhash_components
 
@@ -17,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark."""
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash_components(_table(spark, sf_dir, "documents"))
@@ -37,10 +44,28 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """
 
 
+_WORD_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP3_SQL = f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORD_SQL} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+        FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents),
+size AS (SELECT DISTINCT n FROM win),
+gram AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+         FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, size WHERE len(w) >= n)),
+occ AS (SELECT doc_id, i, gram.n, item_id FROM gram JOIN win USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM occ) GROUP BY 1),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_decontamination": op3_decontamination, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for the fingerprints of op8: DuckDB has no seeded XXH64."""
-    return {"op10_exact_dedup": _OP10_SQL}
+    return {"op3_decontamination": _OP3_SQL, "op10_exact_dedup": _OP10_SQL}
