@@ -177,7 +177,7 @@ class Shard:
         sequence, word, spot, length = sequence[by], word[by], spot[by], length[by]
         doc = self.words.doc[spot]
         new = np.flatnonzero((np.diff(sequence, prepend=-1) != 0) | (np.diff(spot, prepend=-2) != 1) | (np.diff(word, prepend=-2) != 1) | (np.diff(doc, prepend=-1) != 0))
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(spot)], strict=True):
+        for a, b in zip(new.tolist(), np.append(new, len(spot))[1:].tolist(), strict=True):
             d = int(doc[a])
             for name in test.names[sequence[a]]:
                 self.matches[d].append((name, int(word[a]), int(spot[a] - self.first[d]), int(length[a]) + b - a - 1))
