@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from cargohold.llm.common import id_and_bytes
+from cargohold.llm.common import id_and_bytes, stretches
 
 #: Fixed value: white space as the pre-token pattern means it, spelled out because libraries differ on \s.
 _SPACE = r"\t\n\x0B\x0C\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Bytes of text whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
-STRETCH_BYTES, KEPT_WORDS = 16 << 20, 600_000
+STRETCH_BYTES, KEPT_WORDS = 4 << 20, 400_000
 
 
 def pattern(tokenizer_path: str) -> str:
@@ -193,18 +193,6 @@ class Encoder:
         return [gathered(self.flat, from_[w], self.length[w]) for w in words]
 
 
-def stretches(texts: list[bytes], most: int = STRETCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most so many bytes; a longer text is alone."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if len(texts) > begin:
-        yield begin, len(texts)
-
-
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), kind))
@@ -224,7 +212,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         encoder = Encoder(shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for a, z in stretches(texts):
+            for a, z in stretches(texts, STRETCH_BYTES):
                 ids = _lists(encoder.encode(texts[a:z]), pa.int32())
                 yield pa.record_batch([b.column("doc_id").slice(a, z - a), ids], ["doc_id", "ids"])
 
