@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,18 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many bytes; a longer text is alone."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if len(texts) > begin:
+        yield begin, len(texts)
+
+
 #: 1 for bytes of words: digits, letters, and all of UTF-8 beyond ASCII.
 _IS_WORD = np.zeros(256, np.bool_)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -87,13 +100,15 @@ class Words:
 
     STEP = 1 << 20
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], prefixes: tuple[int, ...] = ()):
         self.buf = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         is_word = _IS_WORD[self.buf]
         edges = np.flatnonzero(np.diff(is_word, prepend=False).view(np.int8))
         self.start, self.end = edges[::2], edges[1::2]
         self.doc = np.searchsorted(np.cumsum(sizes), self.start, side="right")
+        #: For each length in bytes: the words that are longer, and the hashes of their beginnings.
+        self.prefixes = {n: (np.zeros(0, np.int64), np.zeros(0, np.uint64)) for n in prefixes}
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
@@ -112,6 +127,8 @@ class Words:
             out[alive] += (self.buf[self.start[alive] + i].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
             power = power * _MULT % (1 << 64)
             alive = alive[lengths[alive] > i + 1]
+            if i + 1 in self.prefixes:
+                self.prefixes[i + 1] = (alive, mixed(out[alive]))
         return mixed(out)
 
     def counts(self, n_texts: int) -> np.ndarray:

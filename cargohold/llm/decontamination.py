@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import Words, id_and_bytes
+from cargohold.llm.common import Words, id_and_bytes, stretches
 
 WINDOW = 10
 #: Bytes of text in a shard; a longer document is a shard of its own.
@@ -183,17 +183,6 @@ class Shard:
                 self.matches[d].append((name, int(word[a]), int(spot[a] - self.first[d]), int(length[a]) + b - a - 1))
 
 
-def _shards(texts: list[bytes], most: int = SHARD_BYTES) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if len(texts) > begin:
-        yield begin, len(texts)
-
-
 def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list:
     """The benchmark as broadcast blocks of a bounded size, one in the driver's memory at a time."""
     spark = benchmark.sparkSession
@@ -226,7 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int64()), ("words", pa.int32())]))
         for b in batches:
             texts = b.column("text").to_pylist()
-            for a, z in _shards(texts):
+            for a, z in stretches(texts, SHARD_BYTES):
                 s = Shard(texts[a:z], blocks)
                 names = ("item_id", "item_word", "doc_word", "words")
                 cells = [pa.array(s.words.counts(s.n)), pa.array(s.n_hit), pa.array([sorted({m[0] for m in x}) for x in s.matches], pa.list_(pa.string())), pa.array([[dict(zip(names, m, strict=True)) for m in sorted(x)] for x in s.matches], kind)]
@@ -242,7 +231,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(text_col).cast(pa.binary()).to_pylist()]
-            for a, z in _shards(texts):
+            for a, z in stretches(texts, SHARD_BYTES):
                 yield b.slice(a, z - a).filter(pa.array(Shard(texts[a:z], blocks).n_hit == 0))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -12,6 +12,7 @@ from cargohold.llm import bpe
 from cargohold.llm.decontamination import contamination
 from cargohold.llm.exact_dedup import exact_dedup
 from cargohold.llm.simhash import simhash_components
+from cargohold.llm.toxicity import Chain, fit_chain, toxicity
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -40,6 +41,26 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Weak labels of the chain's earlier categories: a toxic row whose text has one of the words.
+TOXIC_WORDS = {"insult": "idiot|moron|clown|loser|stupid", "contempt": "worthless|pathetic", "disgust": "disgusting|trash|scum"}
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows with a 0/1 column for each category, `toxic` the last."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    has = [(F.col("toxic") * F.lower("text").rlike(rf"\b({w})\b").cast("int")).alias(c) for c, w in TOXIC_WORDS.items()]
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("doc_id", *has, "toxic")
+
+
+def fitted_chain(spark: SparkSession, sf_dir: str) -> Chain:
+    return fit_chain(_table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), [*TOXIC_WORDS, "toxic"])
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the toxicity categories of every document."""
+    return toxicity(_table(spark, sf_dir, "documents"), fitted_chain(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of every document, against the index of all documents."""
     found = exact_dedup(_table(spark, sf_dir, "documents"))
@@ -73,7 +94,7 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op6_bpe": op6_bpe, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_decontamination": op3_decontamination, "op6_bpe": op6_bpe, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
