@@ -27,14 +27,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and what they decode to."""
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Number and digest of each document's token ids, and the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    found = bpe.decode(bpe.encode(docs, path), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    return token_digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash_components(_table(spark, sf_dir, "documents"))
@@ -45,20 +50,20 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC_WORDS = {"insult": "idiot|moron|clown|loser|stupid", "contempt": "worthless|pathetic", "disgust": "disgusting|trash|scum"}
 
 
-def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def toxicity_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled rows with a 0/1 column for each category, `toxic` the last."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     has = [(F.col("toxic") * F.lower("text").rlike(rf"\b({w})\b").cast("int")).alias(c) for c, w in TOXIC_WORDS.items()]
-    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("doc_id", *has, "toxic")
+    return docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", *has, "toxic")
 
 
-def fitted_chain(spark: SparkSession, sf_dir: str) -> Chain:
-    return fit_chain(_table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), [*TOXIC_WORDS, "toxic"])
+def fitted_chain(docs: DataFrame, labels: DataFrame) -> Chain:
+    return fit_chain(docs, toxicity_labels(docs, labels), [*TOXIC_WORDS, "toxic"])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of the toxicity categories of every document."""
-    return toxicity(_table(spark, sf_dir, "documents"), fitted_chain(spark, sf_dir))
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, fitted_chain(docs, _table(spark, sf_dir, "labels")))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
