@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cargohold.llm import bpe
 from cargohold.llm.decontamination import contamination
 from cargohold.llm.exact_dedup import exact_dedup
+from cargohold.llm.line_dedup import line_dedup
 from cargohold.llm.simhash import simhash_components
 from cargohold.llm.toxicity import Chain, fit_chain, toxicity
 
@@ -27,6 +28,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """Number and digest of each document's token ids, and the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +79,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+_OP5_SQL = f"""
+WITH line AS (SELECT doc_id, i, l, translate(trim(l, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), {_A_Z}) AS k
+              FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+gone AS (SELECT k FROM line WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE gone.k IS NULL), '')) AS kept_sha256
+FROM line LEFT JOIN gone USING (k) GROUP BY doc_id
+"""
 _OP10_SQL = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {_A_Z}) AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -99,9 +115,9 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op6_bpe": op6_bpe, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_decontamination": op3_decontamination, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for the fingerprints of op8: DuckDB has no seeded XXH64."""
-    return {"op3_decontamination": _OP3_SQL, "op10_exact_dedup": _OP10_SQL}
+    return {"op3_decontamination": _OP3_SQL, "op5_line_dedup": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}
