@@ -57,14 +57,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC_WORDS = {"insult": "idiot|moron|clown|loser|stupid", "contempt": "worthless|pathetic", "disgust": "disgusting|trash|scum"}
 
 
-def toxicity_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled rows with a 0/1 column for each category, `toxic` the last."""
-    has = [(F.col("toxic") * F.lower("text").rlike(rf"\b({w})\b").cast("int")).alias(c) for c, w in TOXIC_WORDS.items()]
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", *has, "toxic")
-
-
 def fitted_chain(docs: DataFrame, labels: DataFrame) -> Chain:
-    return fit_chain(docs, toxicity_labels(docs, labels), [*TOXIC_WORDS, "toxic"])
+    weak = {c: rf"toxic * CAST(lower(text) RLIKE r'\b({w})\b' AS INT)" for c, w in TOXIC_WORDS.items()}
+    return fit_chain(docs, labels, weak | {"toxic": "toxic"}, ["toxic"])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

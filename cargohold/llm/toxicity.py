@@ -107,10 +107,12 @@ def _fitted(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penal
 def _chain(categories: list[str], features: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
     chain = Chain(categories, features)
     for k in range(len(categories)):
-        full = _fitted(x, y[:, k])
+        full = _fitted(x, y[:, k]) if len(x) else np.append(np.zeros(x.shape[1]), -30.0)
         out_of_fold = np.zeros(len(x), np.float32)
         for f in range(FOLDS):
             held = fold == f
+            if not held.any() or held.all():
+                continue
             w = _fitted(x[~held], y[~held, k], full)
             out_of_fold[held] = _sigmoid(x[held] @ w[:-1].astype(np.float32) + w[-1])
         chain.weights.append(full[:-1].astype(np.float32))
@@ -119,16 +121,17 @@ def _chain(categories: list[str], features: np.ndarray, x: np.ndarray, y: np.nda
     return chain
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain over the 0/1 columns `categories` of labels, in that order.
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], label_cols: list[str], max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """A chain over categories, in that order.
 
-    labels may only have rows of docs by id; of all labelled rows (none null) the
-    max_rows whose ids hash lowest are used, which bounds what is broadcast and
-    what comes to the driver. Repeated ids count once, ids without a document
-    not at all. Without any labelled row every probability is a half at first
-    and nothing is rejected.
+    categories: of each a name and its 0/1 label, in SQL over label_cols (columns
+    of labels) and `text`. Of the labelled rows (no label_cols null) the max_rows
+    whose ids hash lowest are used, which bounds what is broadcast and what comes
+    to the driver; only their texts are looked at. Repeated ids count once, ids
+    without a document not at all, nor rows with a null category. Without any
+    labelled row every probability is about zero.
     """
-    used = labels.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories))).dropna()
+    used = labels.select(F.col(id_col).cast("long").alias("doc_id"), *label_cols).dropna()
     sample = used.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).drop("h")
     ys = [f"y{k}" for k in range(len(categories))]
 
@@ -148,6 +151,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_row
                 yield pa.record_batch([*(b.column(c).slice(a, z - a) for c in ("doc_id", *ys)), *lists], ["doc_id", *ys, "h", "n"])
 
     text = id_and_bytes(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # max_rows rows of numbers
+    text = text.withColumn("bytes", F.col("text")).withColumn("text", F.col("text").cast("string"))
+    text = text.select("doc_id", *(F.expr(e).cast("int").alias(y) for e, y in zip(categories.values(), ys, strict=True)), F.col("bytes").alias("text")).dropna()
     kind = f"doc_id long, {', '.join(f'{y} int' for y in ys)}, h array<long>, n array<byte>"
     rows = written(text.mapInArrow(extract, kind).dropDuplicates(["doc_id"]), "toxicity_sample")
     of = {f"s{k}": F.sum(y) for k, y in enumerate(ys)}
@@ -181,7 +186,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_row
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(got.num_rows, len(chosen)).astype(np.float32)
     y = np.stack([got[c].to_numpy() for c in ys], axis=1).astype(np.float32)
     fold = np.arange(len(x)) % FOLDS
-    return _chain(categories, features, x, y, fold)
+    return _chain(list(categories), features, x, y, fold)
 
 
 def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
