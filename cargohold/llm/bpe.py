@@ -15,11 +15,11 @@ the Python worker, up to a bounded number.
 from __future__ import annotations
 
 import heapq
-import itertools
 import json
+import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,18 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from cargohold.llm.common import id_and_bytes, stretches
+from cargohold.llm.common import id_and_bytes, slice_hashes, stretches
 
-#: Fixed value: white space as the pre-token pattern means it, spelled out because libraries differ on \s.
-_SPACE = r"\t\n\x0B\x0C\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: White space as the pre-token pattern means it, and what a contraction has after its apostrophe.
+_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+_LETTER, _DIGIT, _SPACE, _OTHER, _END = range(5)
 #: Bytes of text whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
-STRETCH_BYTES, KEPT_WORDS = 4 << 20, 400_000
+STRETCH_BYTES, KEPT_WORDS = 4 << 20, 2_000_000
 
 
-def pattern(tokenizer_path: str) -> str:
-    """The pre-token pattern of byte-level BPE, for the Unicode version of the tokenizers library.
+def char_classes(tokenizer_path: str) -> np.ndarray:
+    """Letter, digit, space or other for each code point, for the Unicode version of the tokenizers library.
 
     Letters and digits that this machine's regex library knows, but that the
     tokenizer doesn't treat as such, are asked for one by one: only those that
@@ -44,15 +46,43 @@ def pattern(tokenizer_path: str) -> str:
     """
     split = Tokenizer.from_file(tokenizer_path).pre_tokenizer.pre_tokenize_str
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    young = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-    unknown = np.array([ord(c) for c in young if len(split("a" + c)) > 1 and len(split("1" + c)) > 1], np.int64)
-    runs = np.split(unknown, np.flatnonzero(np.diff(unknown) > 1) + 1) if len(unknown) else []
-    other = "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
-    letter, digit, rest = r"\p{L}", r"\p{N}", rf"[^{_SPACE}\p{{L}}\p{{N}}]"
-    if other:
-        letter, digit, rest = rf"[\p{{L}}--[{other}]]", rf"[\p{{N}}--[{other}]]", rf"[{rest}||[{other}]]"
-    # Fixed value: the alternatives of the pattern.
-    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{rest}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    out = np.full(0x110001, _OTHER, np.uint8)
+    for kind, pattern, before in ((_LETTER, r"\p{L}", "a"), (_DIGIT, r"\p{N}", "1")):
+        found = regex.findall(pattern, every)
+        out[[ord(c) for c in found]] = kind
+        out[[ord(c) for c in found if unicodedata.category(c) == "Cn" and len(split(before + c)) > 1]] = _OTHER
+    out[_SPACES] = _SPACE
+    out[0x110000] = _END
+    return out
+
+
+def pre_tokens(chars: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the pre-tokens in code points; 0x110000 ends a text.
+
+    They are those of byte-level BPE's pattern: a contraction, or a run of
+    letters, of digits or of others with a space before it, or white space, of
+    which the last character before a run stands apart.
+    """
+    n = len(chars)
+    kind = classes[chars]
+    first = np.flatnonzero(np.diff(kind, prepend=255) | (kind == _END))
+    kinds, last = kind[first], np.append(first[1:], n) - 1
+    mark = np.zeros(n + 4, np.bool_)
+    run, spaces = (kinds < _SPACE) | (kinds == _OTHER), kinds == _SPACE
+    led = run & (first > 0) & (chars[first - 1] == 0x20)
+    mark[first[~led]] = True
+    mark[first[led] - 1] = True
+    mark[last[spaces & np.append(run[1:], False)]] = True
+    quote = first[(kinds == _OTHER) & (first == last) & ~led & (chars[first] == 0x27)]
+    after = np.append(chars, [0x110000] * 3)
+    for text in _CONTRACTIONS:
+        hit = quote[np.all([after[quote + 1 + i] == ord(c) for i, c in enumerate(text)], axis=0)]
+        mark[hit + 1] = False
+        mark[hit + 1 + len(text)] = True
+    start = np.flatnonzero(mark[:n])
+    end = np.append(start[1:], n)
+    inside = kind[start] != _END
+    return start[inside], end[inside]
 
 
 def byte_symbols() -> dict[str, int]:
@@ -68,7 +98,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.pattern = pattern(path)
+        self.classes = char_classes(path)
         to_byte = byte_symbols()
         tokens = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -147,55 +177,77 @@ class Vocabulary:
 
 def gathered(flat: np.ndarray, from_: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The slices of flat that begin at from_ and have these lengths, one after the other."""
-    return flat[np.repeat(from_ - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-
-
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    at = np.repeat((from_ - (np.cumsum(length) - length)).astype(np.int32), length)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
 
 class Encoder:
-    """Encodes texts in stretches; keeps the encodings of pre-tokens."""
+    """Encodes texts in stretches; keeps the encodings of pre-tokens, by a 64-bit hash.
 
-    def __init__(self, vocabulary: Vocabulary):
+    encode_words gives ids of all words and the number of each; the default is
+    the vocabulary's own.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None):
         self.v = vocabulary
-        self.pattern = regex.compile(vocabulary.pattern)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.encode_words = encode_words or vocabulary.encode_words
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers = _Numbers()
-        self.flat, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for content, id_ in self.v.special.items():  # under a key that no pre-token has
-            self.numbers[(content,)]
-            self.flat, self.length = np.append(self.flat, id_), np.append(self.length, 1)
-
-    def _words(self, text: str) -> list[int]:
-        n = self.numbers
-        if not self.split or not any(s in text for s in self.v.special):
-            return [n[w] for w in self.pattern.findall(text)]
-        out: list[int] = []
-        for part in self.split.split(text):
-            out += [n[(part,)]] if part in self.v.special else [n[w] for w in self.pattern.findall(part)]
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.numbers) > KEPT_WORDS:
+        self.hash = np.zeros(0, np.uint64)  # sorted
+        self.from_, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def _numbers(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number among the kept) of each pre-token; new ones are encoded."""
+        start, end = pre_tokens(chars, self.v.classes)
+        h = slice_hashes(chars, start, end)
+        own, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hash, own), max(len(self.hash) - 1, 0))
+        new = self.hash[place] != own if len(self.hash) else np.ones(len(own), np.bool_)
+        if new.any():
+            words = [chars[a:b].astype("<u4").tobytes().decode("utf-32-le").encode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            flat, length = self.encode_words(words)
+            into = np.searchsorted(self.hash, own[new])
+            self.from_ = np.insert(self.from_, into, len(self.flat) + np.cumsum(length) - length)
+            self.length = np.insert(self.length, into, length)
+            self.hash = np.insert(self.hash, into, own[new])
+            self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+            place = np.searchsorted(self.hash, own)
+        return start, place[inverse]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each)."""
+        if len(self.hash) > KEPT_WORDS:
             self._reset()
-        words = [np.array(self._words(t.decode("utf-8", "replace")), np.int64) for t in texts]
-        if new := [w.encode() for w in itertools.islice(self.numbers, len(self.length), None)]:
-            flat, length = self.v.encode_words(new)
-            self.flat, self.length = np.concatenate((self.flat, flat)), np.concatenate((self.length, length))
-        from_ = np.cumsum(self.length) - self.length
-        return [gathered(self.flat, from_[w], self.length[w]) for w in words]
-
-
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), kind))
+        pieces, special = [], []  # of a text: those between special tokens, each with the id that follows it or -1
+        counts = np.ones(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            text = t.decode("utf-8", "replace")
+            parts = self.split.split(text) if self.split and any(s in text for s in self.v.special) else (text,)
+            counts[i] = (len(parts) + 1) // 2
+            pieces += parts[::2]
+            special += [self.v.special[s] for s in parts[1::2]]
+            special.append(-1)
+        sizes = np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes) - 1
+        chars = np.frombuffer("\0".join([*pieces, ""]).encode("utf-32-le"), np.uint32).astype(np.int32)
+        chars[ends] = 0x110000
+        start, number = self._numbers(chars)
+        piece = np.searchsorted(ends, start)
+        ids = gathered(self.flat, self.from_[number], self.length[number])
+        n = np.bincount(piece, self.length[number], minlength=len(pieces)).astype(np.int64)
+        special = np.array(special, np.int64)
+        if (special >= 0).any():
+            ids = np.insert(ids, np.cumsum(n)[special >= 0], special[special >= 0])
+            n += special >= 0
+        return ids, np.add.reduceat(n, np.cumsum(counts) - counts) if len(n) else n
+
+
+def _lists(flat: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(flat, kind))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +265,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for b in batches:
             texts = b.column("text").to_pylist()
             for a, z in stretches(texts, STRETCH_BYTES):
-                ids = _lists(encoder.encode(texts[a:z]), pa.int32())
+                ids = _lists(*encoder.encode(texts[a:z]), pa.int32())
                 yield pa.record_batch([b.column("doc_id").slice(a, z - a), ids], ["doc_id", "ids"])
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, ids array<int>")
@@ -233,7 +285,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
             ids = b.column("ids")
             rows = []
             for k in range(b.num_rows):
-                x = np.zeros(0, np.int64) if not ids[k].is_valid else ids[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                x = ids[k].values.to_numpy(zero_copy_only=False) if ids[k].is_valid else np.zeros(0, np.int32)
                 x = x[(x >= 0) & (x < v.size)]
                 rows.append(gathered(v.bytes, v.from_[x], v.length[x]).tobytes().decode("utf-8", "replace"))
             yield pa.record_batch([b.column("doc_id"), ids, pa.array(rows, pa.string())], ["doc_id", "ids", "text"])

@@ -90,6 +90,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, prefixes: dict | None = None) -> np.ndarray:
+    """64 bits of each slice of buf: mixed(sum of (buf[start + i] + 1) * _MULT ** i), modulo 2**64.
+
+    prefixes: for each length in it, gets the slices that are longer and the
+    hashes of their beginnings.
+    """
+    lengths = end - start
+    out = np.zeros(len(lengths), np.uint64)
+    power, alive = 1, np.flatnonzero(lengths > 0)
+    for i in range(int(lengths.max(initial=0))):
+        if i == 24:  # long ones by themselves, in time of their length
+            for k in alive.tolist():
+                b = buf[start[k] + i : end[k]].astype(np.uint64) + np.uint64(1)
+                out[k : k + 1] += (b * _powers(_MULT, len(b))).sum(dtype=np.uint64, keepdims=True) * np.uint64(power)
+            break
+        out[alive] += (buf[start[alive] + i].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
+        power = power * _MULT % (1 << 64)
+        alive = alive[lengths[alive] > i + 1]
+        if prefixes and i + 1 in prefixes:
+            prefixes[i + 1] = (alive, mixed(out[alive]))
+    return mixed(out)
+
+
 class Words:
     """The words `[0-9A-Za-z and all beyond ASCII]+` of many texts, A-Z lower-cased, in arrays.
 
@@ -109,27 +132,7 @@ class Words:
         self.doc = np.searchsorted(np.cumsum(sizes), self.start, side="right")
         #: For each length in bytes: the words that are longer, and the hashes of their beginnings.
         self.prefixes = {n: (np.zeros(0, np.int64), np.zeros(0, np.uint64)) for n in prefixes}
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        """Of each word's bytes b: mixed(sum of (b[i] + 1) * _MULT ** i), modulo 2**64."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        lengths = self.end - self.start
-        out = np.zeros(len(lengths), np.uint64)
-        power, alive = 1, np.arange(len(lengths))
-        for i in range(int(lengths.max())):
-            if i == 24:  # long words: by prefix sums, in time of their length
-                for k in alive.tolist():
-                    b = self.buf[self.start[k] + i : self.end[k]].astype(np.uint64) + np.uint64(1)
-                    out[k : k + 1] += (b * _powers(_MULT, len(b))).sum(dtype=np.uint64, keepdims=True) * np.uint64(power)
-                break
-            out[alive] += (self.buf[self.start[alive] + i].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
-            power = power * _MULT % (1 << 64)
-            alive = alive[lengths[alive] > i + 1]
-            if i + 1 in self.prefixes:
-                self.prefixes[i + 1] = (alive, mixed(out[alive]))
-        return mixed(out)
+        self.hash = slice_hashes(self.buf, self.start, self.end, self.prefixes)
 
     def counts(self, n_texts: int) -> np.ndarray:
         """Words of each text."""
