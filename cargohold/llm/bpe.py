@@ -125,10 +125,11 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where(self.code[at] == code, self.code_rank[at], -1)
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after the other, number of ids of each)."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+    def encode_words(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text is words one after the other, sizes their code points: (ids of all words, number of ids of each)."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        lengths = np.diff(np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))[np.append(0, np.cumsum(sizes))])
+        symbol = self.of_byte[raw]
         n = len(symbol)
         last = np.cumsum(lengths) - 1
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -171,8 +172,8 @@ class Vocabulary:
             prior = before[at]
             index(np.unique(np.concatenate((at, prior[prior >= 0]))))
         live = symbol >= 0
-        word = np.repeat(np.arange(len(words)), lengths)
-        return symbol[live], np.bincount(word[live], minlength=len(words))
+        word = np.repeat(np.arange(len(sizes)), lengths)
+        return symbol[live], np.bincount(word[live], minlength=len(sizes))
 
 
 def gathered(flat: np.ndarray, from_: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -185,38 +186,72 @@ def gathered(flat: np.ndarray, from_: np.ndarray, length: np.ndarray) -> np.ndar
 class Encoder:
     """Encodes texts in stretches; keeps the encodings of pre-tokens, by a 64-bit hash.
 
-    encode_words gives ids of all words and the number of each; the default is
-    the vocabulary's own.
+    encode_words is as Vocabulary's, which is the default.
     """
 
-    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
         self.v = vocabulary
         self.encode_words = encode_words or vocabulary.encode_words
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self._reset()
 
     def _reset(self) -> None:
-        self.hash = np.zeros(0, np.uint64)  # sorted
-        self.from_, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hash = np.zeros(0, np.uint64)
+        self.from_, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
+        self._index()
+
+    def _index(self) -> None:
+        """A table of the kept hashes, a quarter full at most, searched from each hash's low bits on."""
+        bits = max(12, int(len(self.hash)).bit_length() + 3)
+        self.table, self.mask = np.full(1 << bits, -1, np.int32), np.uint64((1 << bits) - 1)
+        self._enter(np.arange(len(self.hash)))
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        at = self.hash[numbers] & self.mask
+        while len(numbers):
+            free = np.flatnonzero(self.table[at] < 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.table[at[first]] = numbers[first]
+            stay = np.ones(len(numbers), np.bool_)
+            stay[first] = False
+            numbers, at = numbers[stay], (at[stay] + np.uint64(1)) & self.mask
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash among the kept, -1 for others."""
+        out = self.table[h & self.mask]
+        if not len(self.hash):
+            return out
+        off = np.flatnonzero((out >= 0) & (self.hash[out] != h))
+        step = np.uint64(0)
+        while len(off):
+            step += np.uint64(1)
+            out[off] = self.table[(h[off] + step) & self.mask]
+            off = off[(out[off] >= 0) & (self.hash[out[off]] != h[off])]
+        return out
 
     def _numbers(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, number among the kept) of each pre-token; new ones are encoded."""
         start, end = pre_tokens(chars, self.v.classes)
         h = slice_hashes(chars, start, end)
-        own, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.hash, own), max(len(self.hash) - 1, 0))
-        new = self.hash[place] != own if len(self.hash) else np.ones(len(own), np.bool_)
-        if new.any():
-            words = [chars[a:b].astype("<u4").tobytes().decode("utf-32-le").encode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-            flat, length = self.encode_words(words)
-            into = np.searchsorted(self.hash, own[new])
-            self.from_ = np.insert(self.from_, into, len(self.flat) + np.cumsum(length) - length)
-            self.length = np.insert(self.length, into, length)
-            self.hash = np.insert(self.hash, into, own[new])
-            self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
-            place = np.searchsorted(self.hash, own)
-        return start, place[inverse]
+        number = self._found(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            own, at = np.unique(h[new], return_index=True)
+            first = new[at]
+            sizes = end[first] - start[first]
+            text = gathered(chars, start[first], sizes).astype("<u4").tobytes().decode("utf-32-le")
+            flat, length = self.encode_words(text, sizes)
+            n = len(self.hash)
+            self.from_ = np.append(self.from_, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
+            self.length = np.append(self.length, length.astype(np.int32))
+            self.hash, self.flat = np.append(self.hash, own), np.append(self.flat, flat.astype(np.int32))
+            if 4 * len(self.hash) > len(self.table):
+                self._index()
+            else:
+                self._enter(np.arange(n, len(self.hash)))
+            number[new] = self._found(h[new])
+        return start, number
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""

@@ -13,6 +13,7 @@ from cargohold.llm.decontamination import contamination
 from cargohold.llm.exact_dedup import exact_dedup
 from cargohold.llm.line_dedup import line_dedup
 from cargohold.llm.simhash import simhash_components
+from cargohold.llm.token_files import store_tokens, stored_documents
 from cargohold.llm.toxicity import Chain, fit_chain, toxicity
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -47,6 +48,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, written as wavelet matrices and read back."""
+    path = store_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return stored_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash_components(_table(spark, sf_dir, "documents"))
@@ -110,7 +117,7 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_decontamination": op3_decontamination, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op7_token_files": op7_token_files, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
