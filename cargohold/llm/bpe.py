@@ -33,8 +33,8 @@ from cargohold.llm.common import id_and_bytes, slice_hashes, stretches
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _LETTER, _DIGIT, _SPACE, _OTHER, _END = range(5)
-#: Bytes of text whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
-STRETCH_BYTES, KEPT_WORDS = 4 << 20, 2_000_000
+#: Bytes of text split at once, bytes whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
+SPLIT_BYTES, STRETCH_BYTES, KEPT_WORDS = 1 << 20, 8 << 20, 1_000_000
 
 
 def char_classes(tokenizer_path: str) -> np.ndarray:
@@ -132,7 +132,7 @@ class Vocabulary:
         symbol = self.of_byte[raw]
         n = len(symbol)
         last = np.cumsum(lengths) - 1
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[last] = -1
         before[last[:-1] + 1] = -1
         occurrences: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -150,7 +150,7 @@ class Vocabulary:
                     heapq.heappush(active, r)
                 occurrences[r].append(at[x:y])
 
-        index(np.arange(n))
+        index(np.arange(n, dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             lists = occurrences.pop(r)
@@ -199,6 +199,7 @@ class Encoder:
         self.hash = np.zeros(0, np.uint64)
         self.from_, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
+        self.waiting: list[tuple[str, np.ndarray]] = []
         self._index()
 
     def _index(self) -> None:
@@ -231,7 +232,7 @@ class Encoder:
         return out
 
     def _numbers(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, number among the kept) of each pre-token; new ones are encoded."""
+        """(start, number among the kept) of each pre-token; new ones wait for _encode_waiting."""
         start, end = pre_tokens(chars, self.v.classes)
         h = slice_hashes(chars, start, end)
         number = self._found(h)
@@ -240,12 +241,9 @@ class Encoder:
             own, at = np.unique(h[new], return_index=True)
             first = new[at]
             sizes = end[first] - start[first]
-            text = gathered(chars, start[first], sizes).astype("<u4").tobytes().decode("utf-32-le")
-            flat, length = self.encode_words(text, sizes)
+            self.waiting.append((gathered(chars, start[first], sizes).astype("<u4").tobytes().decode("utf-32-le"), sizes))
             n = len(self.hash)
-            self.from_ = np.append(self.from_, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
-            self.length = np.append(self.length, length.astype(np.int32))
-            self.hash, self.flat = np.append(self.hash, own), np.append(self.flat, flat.astype(np.int32))
+            self.hash = np.append(self.hash, own)
             if 4 * len(self.hash) > len(self.table):
                 self._index()
             else:
@@ -253,11 +251,32 @@ class Encoder:
             number[new] = self._found(h[new])
         return start, number
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each)."""
+    def _encode_waiting(self) -> None:
+        if self.waiting:
+            flat, length = self.encode_words("".join(t for t, _ in self.waiting), np.concatenate([n for _, n in self.waiting]))
+            self.from_ = np.append(self.from_, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
+            self.length = np.append(self.length, length.astype(np.int32))
+            self.flat = np.append(self.flat, flat.astype(np.int32))
+            self.waiting = []
+
+    def encode(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For ranges a:z of texts: (a, z, ids of those texts one after the other, number of ids of each)."""
         if len(self.hash) > KEPT_WORDS:
             self._reset()
-        pieces, special = [], []  # of a text: those between special tokens, each with the id that follows it or -1
+        split = [(a, z, *self._split(texts[a:z])) for a, z in stretches(texts, SPLIT_BYTES)]
+        self._encode_waiting()
+        for a, z, number, pre_count, special, pieces in split:
+            length = self.length[number]
+            ids = gathered(self.flat, self.from_[number], length)
+            n = np.diff(np.append(0, np.cumsum(length, dtype=np.int64))[np.append(0, np.cumsum(pre_count))])
+            if (special >= 0).any():
+                ids = np.insert(ids, np.cumsum(n)[special >= 0], special[special >= 0])
+                n += special >= 0
+            yield a, z, ids, np.add.reduceat(n, np.cumsum(pieces) - pieces)
+
+    def _split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each pre-token, pre-tokens of each piece, the special id after each piece or -1, pieces of each text)."""
+        pieces, special = [], []  # a piece is a text, or what lies between special tokens
         counts = np.ones(len(texts), np.int64)
         for i, t in enumerate(texts):
             text = t.decode("utf-8", "replace")
@@ -266,19 +285,11 @@ class Encoder:
             pieces += parts[::2]
             special += [self.v.special[s] for s in parts[1::2]]
             special.append(-1)
-        sizes = np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))
-        ends = np.cumsum(sizes) - 1
-        chars = np.frombuffer("\0".join([*pieces, ""]).encode("utf-32-le"), np.uint32).astype(np.int32)
+        ends = np.cumsum(np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))) - 1
+        chars = np.frombuffer("\0".join([*pieces, ""]).encode("utf-32-le"), np.int32).copy()
         chars[ends] = 0x110000
         start, number = self._numbers(chars)
-        piece = np.searchsorted(ends, start)
-        ids = gathered(self.flat, self.from_[number], self.length[number])
-        n = np.bincount(piece, self.length[number], minlength=len(pieces)).astype(np.int64)
-        special = np.array(special, np.int64)
-        if (special >= 0).any():
-            ids = np.insert(ids, np.cumsum(n)[special >= 0], special[special >= 0])
-            n += special >= 0
-        return ids, np.add.reduceat(n, np.cumsum(counts) - counts) if len(n) else n
+        return number, np.bincount(np.searchsorted(ends, start), minlength=len(pieces)), np.array(special, np.int64), counts
 
 
 def _lists(flat: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -299,9 +310,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         encoder = Encoder(shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for a, z in stretches(texts, STRETCH_BYTES):
-                ids = _lists(*encoder.encode(texts[a:z]), pa.int32())
-                yield pa.record_batch([b.column("doc_id").slice(a, z - a), ids], ["doc_id", "ids"])
+            for begin, end in stretches(texts, STRETCH_BYTES):
+                for a, z, ids, n in encoder.encode(texts[begin:end]):
+                    yield pa.record_batch([b.column("doc_id").slice(begin + a, z - a), _lists(ids, n, pa.int32())], ["doc_id", "ids"])
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, ids array<int>")
 
@@ -316,13 +327,15 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for b in batches:
-            ids = b.column("ids")
-            rows = []
-            for k in range(b.num_rows):
-                x = ids[k].values.to_numpy(zero_copy_only=False) if ids[k].is_valid else np.zeros(0, np.int32)
-                x = x[(x >= 0) & (x < v.size)]
-                rows.append(gathered(v.bytes, v.from_[x], v.length[x]).tobytes().decode("utf-8", "replace"))
-            yield pa.record_batch([b.column("doc_id"), ids, pa.array(rows, pa.string())], ["doc_id", "ids", "text"])
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                b = batch.slice(begin, 256)
+                ids = b.column("ids")
+                rows = []
+                for k in range(b.num_rows):
+                    x = ids[k].values.to_numpy(zero_copy_only=False) if ids[k].is_valid else np.zeros(0, np.int32)
+                    x = x[(x >= 0) & (x < v.size)]
+                    rows.append(gathered(v.bytes, v.from_[x], v.length[x]).tobytes().decode("utf-8", "replace"))
+                yield pa.record_batch([b.column("doc_id"), ids, pa.array(rows, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(of, "doc_id long, ids array<int>, text string")

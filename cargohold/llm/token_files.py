@@ -148,13 +148,12 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
         encoder = Encoder(v, library_words(spec))
         for b in batches:
             texts = b.column("text").to_pylist()
-            for a, z in stretches(texts, STRETCH_BYTES):
-                ids, n = encoder.encode(texts[a:z])
-                ends = np.cumsum(n + 1)
-                flat = np.insert(ids, np.cumsum(n), end_id).astype(kind)
-                raw, width = flat.tobytes(), flat.itemsize
-                cells = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(np.append(0, ends * width).astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.record_batch([b.column("doc_id").slice(a, z - a), pa.array(n + 1), cells], ["doc_id", "n", "ids"])
+            for begin, end in stretches(texts, STRETCH_BYTES):
+                for a, z, ids, n in encoder.encode(texts[begin:end]):
+                    flat = np.insert(ids, np.cumsum(n), end_id).astype(kind)
+                    ends = np.append(0, np.cumsum(n + 1) * flat.itemsize).astype(np.int32)
+                    cells = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
+                    yield pa.record_batch([b.column("doc_id").slice(begin + a, z - a), pa.array(n + 1), cells], ["doc_id", "n", "ids"])
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, n long, ids binary")
 
