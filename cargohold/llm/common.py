@@ -84,6 +84,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def count_words(texts: list[bytes]) -> int:
+    is_word = _IS_WORD[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    return int(np.count_nonzero(is_word[:-1] & ~is_word[1:]))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base), np.uint64)
     out[:1] = 1

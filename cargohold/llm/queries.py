@@ -12,10 +12,12 @@ from cargohold.llm import bpe
 from cargohold.llm.decontamination import contamination
 from cargohold.llm.exact_dedup import exact_dedup
 from cargohold.llm.line_dedup import line_dedup
+from cargohold.llm.lm_scoring import lm_scores
 from cargohold.llm.simhash import simhash_components
 from cargohold.llm.token_files import store_tokens, stored_documents
 from cargohold.llm.toxicity import Chain, fit_chain, toxicity
 
+_WORD_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -29,6 +31,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document against all others."""
+    return lm_scores(_table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten documents or more share."""
     found = line_dedup(_table(spark, sf_dir, "documents"))
@@ -81,6 +88,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+_OP4_SQL = f"""
+WITH doc AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM doc),
+pair AS (SELECT doc_id, i, b, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM word),
+uni AS (SELECT doc_id, b, count(*) AS n FROM word GROUP BY ALL),
+uni_all AS (SELECT b, sum(n) AS n FROM uni GROUP BY b),
+bi AS (SELECT doc_id, a, b, count(*) AS n FROM pair WHERE a IS NOT NULL GROUP BY ALL),
+bi_all AS (SELECT a, b, sum(n) AS n FROM bi GROUP BY ALL),
+size AS (SELECT doc_id, len(w) AS n FROM doc),
+total AS (SELECT sum(n) AS n FROM size),
+found AS (SELECT pair.doc_id, pair.a, bi_all.n - bi.n AS n_ab, ua.n - oa.n AS n_a, ub.n - ob.n AS n_b, greatest(total.n - size.n, 1) AS n_all
+          FROM pair JOIN size USING (doc_id) CROSS JOIN total
+          LEFT JOIN bi ON bi.doc_id = pair.doc_id AND bi.a = pair.a AND bi.b = pair.b
+          LEFT JOIN bi_all ON bi_all.a = pair.a AND bi_all.b = pair.b
+          JOIN uni ob ON ob.doc_id = pair.doc_id AND ob.b = pair.b JOIN uni_all ub ON ub.b = pair.b
+          LEFT JOIN uni oa ON oa.doc_id = pair.doc_id AND oa.b = pair.a LEFT JOIN uni_all ua ON ua.b = pair.a),
+scored AS (SELECT doc_id, sum(CASE WHEN n_ab > 0 THEN log10(n_ab) - log10(n_a)
+                                   ELSE log10(greatest(n_b, 1)) - log10(n_all) + CASE WHEN a IS NULL THEN 0 ELSE log10(0.4) END END) AS s
+           FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(size.n AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS score FROM size LEFT JOIN scored USING (doc_id)
+"""
 _OP5_SQL = f"""
 WITH line AS (SELECT doc_id, i, l, translate(trim(l, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), {_A_Z}) AS k
               FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
@@ -98,7 +126,6 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """
 
 
-_WORD_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP3_SQL = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORD_SQL} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
@@ -117,9 +144,9 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op7_token_files": op7_token_files, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_decontamination": op3_decontamination, "op4_lm_scoring": op4_lm_scoring, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op7_token_files": op7_token_files, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for the fingerprints of op8: DuckDB has no seeded XXH64."""
-    return {"op3_decontamination": _OP3_SQL, "op5_line_dedup": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}
+    return {"op3_decontamination": _OP3_SQL, "op4_lm_scoring": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}
