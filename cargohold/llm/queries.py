@@ -16,6 +16,7 @@ from cargohold.llm.lm_scoring import lm_scores
 from cargohold.llm.simhash import simhash_components
 from cargohold.llm.token_files import store_tokens, stored_documents
 from cargohold.llm.toxicity import Chain, fit_chain, toxicity
+from cargohold.llm.warc import header_lines, resolved_revisits
 
 _WORD_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -25,6 +26,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """A crawl log of the pages: of each a full response, and later a not-modified revisit.
+
+    Pages of odd length send a weak tag again, those whose length five divides
+    only a date, those whose length eleven divides the tag of an older version.
+    """
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    size = F.length(F.coalesce("html", F.lit("")))
+    base = pages.select("page_id", "url", tag.alias("tag"), size.alias("size")).withColumn("day", F.concat(F.lit("day "), F.col("page_id") % 28))
+    full = base.select((F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.col("tag").alias("etag"), F.col("day").alias("last_modified"), F.expr("map('Content-Type', 'text/html', 'ETag', tag, 'Date', 'first', 'Content-Length', CAST(size AS STRING))").alias("headers"))
+    again = F.expr("CASE WHEN size % 5 = 0 THEN NULL WHEN size % 11 = 0 THEN '\"old\"' WHEN size % 2 = 1 THEN concat('W/', tag) ELSE tag END")
+    revisit = base.withColumn("again", again).select((F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 10 + 25).alias("ts"), F.lit("revisit").alias("kind"), F.col("again").alias("etag"), F.col("day").alias("last_modified"), F.expr("map('Date', 'second', 'Cache-Control', 'max-age=60', 'Content-Length', '0')").alias("headers"))
+    return full.unionByName(revisit)
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every not-modified revisit of a page stands for."""
+    found = resolved_revisits(capture_records(_table(spark, sf_dir, "pages")))
+    return found.select("record_id", "url", "response_id", "outcome", header_lines(F.col("headers")).alias("headers"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark."""
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -126,6 +148,27 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """
 
 
+_OP1_SQL = r"""
+WITH bare AS (SELECT page_id, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, length(coalesce(html, '')) AS size,
+                     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+part AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+                regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'),
+                    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS params FROM bare),
+page AS (SELECT page_id, tag, size, nullif(host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END, '') AS url,
+                'day ' || (page_id % 28) AS day FROM part),
+again AS (SELECT page_id, url, day, page_id * 10 + 25 AS ts,
+                 CASE WHEN size % 5 = 0 THEN NULL WHEN size % 11 = 0 THEN '"old"' ELSE tag END AS tag FROM page),
+near AS (SELECT again.*, (SELECT max(p.page_id) FROM page p WHERE p.url = again.url AND p.page_id * 10 < again.ts) AS hit FROM again),
+both_ AS (SELECT near.*, p.size AS size_1, p.tag AS tag_1,
+                 CASE WHEN p.page_id IS NULL THEN 'no_response' WHEN coalesce(near.tag = p.tag, near.day = p.day) THEN 'resolved' ELSE 'mismatch' END AS outcome
+          FROM near LEFT JOIN page p ON p.page_id = near.hit)
+SELECT page_id * 2 + 1 AS record_id, url, hit * 2 AS response_id, outcome,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size_1 || chr(10) || 'content-type: text/html'
+                 || chr(10) || 'date: second' || chr(10) || 'etag: ' || tag_1
+            ELSE 'Cache-Control: max-age=60' || chr(10) || 'Content-Length: 0' || chr(10) || 'Date: second' END AS headers
+FROM both_
+"""
 _OP3_SQL = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORD_SQL} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
@@ -144,9 +187,9 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op4_lm_scoring": op4_lm_scoring, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op7_token_files": op7_token_files, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_warc_revisits": op1_warc_revisits, "op3_decontamination": op3_decontamination, "op4_lm_scoring": op4_lm_scoring, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op7_token_files": op7_token_files, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for the fingerprints of op8: DuckDB has no seeded XXH64."""
-    return {"op3_decontamination": _OP3_SQL, "op4_lm_scoring": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}
+    return {"op1_warc_revisits": _OP1_SQL, "op3_decontamination": _OP3_SQL, "op4_lm_scoring": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}
