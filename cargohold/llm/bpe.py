@@ -57,7 +57,7 @@ def char_classes(tokenizer_path: str) -> np.ndarray:
 
 
 def pre_tokens(chars: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the pre-tokens in code points; 0x110000 ends a text.
+    """(start, end) of the pre-tokens in code points; one of class _END ends a text.
 
     They are those of byte-level BPE's pattern: a contraction, or a run of
     letters, of digits or of others with a space before it, or white space, of
@@ -74,7 +74,7 @@ def pre_tokens(chars: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
     mark[first[led] - 1] = True
     mark[last[spaces & np.append(run[1:], False)]] = True
     quote = first[(kinds == _OTHER) & (first == last) & ~led & (chars[first] == 0x27)]
-    after = np.append(chars, [0x110000] * 3)
+    after = np.append(chars, np.zeros(3, chars.dtype))
     for text in _CONTRACTIONS:
         hit = quote[np.all([after[quote + 1 + i] == ord(c) for i, c in enumerate(text)], axis=0)]
         mark[hit + 1] = False
@@ -191,6 +191,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
         self.v = vocabulary
+        self.latin = vocabulary.classes[:256].copy()
+        self.latin[0] = _END
         self.encode_words = encode_words or vocabulary.encode_words
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self._reset()
@@ -233,7 +235,7 @@ class Encoder:
 
     def _numbers(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, number among the kept) of each pre-token; new ones wait for _encode_waiting."""
-        start, end = pre_tokens(chars, self.v.classes)
+        start, end = pre_tokens(chars, self.latin if chars.dtype == np.uint8 else self.v.classes)
         h = slice_hashes(chars, start, end)
         number = self._found(h)
         new = np.flatnonzero(number < 0)
@@ -286,8 +288,14 @@ class Encoder:
             special += [self.v.special[s] for s in parts[1::2]]
             special.append(-1)
         ends = np.cumsum(np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))) - 1
-        chars = np.frombuffer("\0".join([*pieces, ""]).encode("utf-32-le"), np.int32).copy()
-        chars[ends] = 0x110000
+        joined = "\0".join([*pieces, ""])
+        try:  # most stretches have one byte per code point; in those 0 only ends texts
+            if joined.count("\0") > len(pieces):
+                raise ValueError("a text has the code point 0")
+            chars = np.frombuffer(joined.encode("latin-1"), np.uint8)
+        except ValueError:
+            chars = np.frombuffer(joined.encode("utf-32-le"), np.int32).copy()
+            chars[ends] = 0x110000
         start, number = self._numbers(chars)
         return number, np.bincount(np.searchsorted(ends, start), minlength=len(pieces)), np.array(special, np.int64), counts
 

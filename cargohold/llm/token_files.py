@@ -10,7 +10,7 @@ planes from the last to the first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cargohold.llm.bpe import STRETCH_BYTES, Encoder, Vocabulary
+from cargohold.llm.bpe import STRETCH_BYTES, Encoder, Vocabulary, gathered
 from cargohold.llm.common import id_and_bytes, scratch_path, stretches
 
 #: Tokens of a shard; a longer document makes several rows.
@@ -117,17 +117,33 @@ class WaveletMatrix:
         return self.symbols[now]
 
 
-def library_words(spec: str):
-    """Encodes pre-tokens with the tokenizers library, as Vocabulary.encode_words does."""
+def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 512) -> Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Encodes pre-tokens with the tokenizers library, as Vocabulary.encode_words does.
+
+    A pre-token that is a space and a run can be encoded in one call with the
+    next, as each space begins a new one; the ids of each follow from the number
+    of bytes that ids stand for. Others are encoded by themselves.
+    """
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
     def encode(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(sizes).tolist()
-        found = [e.ids for e in tokenizer.encode_batch_fast([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int64, int(length.sum())), length
+        words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        led = np.array([w[0] == " " and not w[1:2].isspace() and len(w) > 1 for w in words], np.bool_)
+        groups = [g.tolist() for g in np.array_split(np.flatnonzero(led), max(1, led.sum() // at_once)) if len(g)] + [[k] for k in np.flatnonzero(~led).tolist()]
+        ids, order, bounds = [], [], []
+        for k in range(0, len(groups), at_once):  # few results of the library at a time
+            some = groups[k : k + at_once]
+            for group, found in zip(some, tokenizer.encode_batch_fast(["".join([words[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
+                ids.append(np.array(found.ids, np.int64))
+                order += group
+                bounds.append(np.cumsum([len(words[i].encode()) for i in group]))
+        lengths = [np.diff(np.append(0, np.searchsorted(np.cumsum(vocabulary.length[x]), b) + 1)) for x, b in zip(ids, bounds, strict=True)]
+        flat, length, order = np.concatenate(ids), np.concatenate(lengths), np.array(order)
+        back = np.argsort(order)
+        return gathered(flat, (np.cumsum(length) - length)[back], length[back]), length[back]
 
     return encode
 
@@ -145,7 +161,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, spec = shared.value
-        encoder = Encoder(v, library_words(spec))
+        encoder = Encoder(v, library_words(spec, v))
         for b in batches:
             texts = b.column("text").to_pylist()
             for begin, end in stretches(texts, STRETCH_BYTES):
