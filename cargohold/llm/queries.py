@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cargohold.llm import bpe
 from cargohold.llm.decontamination import contamination
 from cargohold.llm.exact_dedup import exact_dedup
+from cargohold.llm.license_scan import TEMPLATES, license_scan
 from cargohold.llm.line_dedup import line_dedup
 from cargohold.llm.lm_scoring import lm_scores
 from cargohold.llm.simhash import simhash_components
@@ -47,6 +48,17 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "url", "response_id", "outcome", header_lines(F.col("headers")).alias("headers"))
 
 
+def document_files(docs: DataFrame) -> DataFrame:
+    """The documents as files of a tree by source, language and thousands of characters; short notes are licence files of the language."""
+    path = F.expr("concat(source, '/', lang, IF(n_chars < 250, '/LICENSE-', concat('/', n_chars div 1000, '/doc-')), doc_id, '.txt')")
+    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or inherited."""
+    return license_scan(document_files(_table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark."""
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -169,6 +181,35 @@ SELECT page_id * 2 + 1 AS record_id, url, hit * 2 AS response_id, outcome,
             ELSE 'Cache-Control: max-age=60' || chr(10) || 'Content-Length: 0' || chr(10) || 'Date: second' END AS headers
 FROM both_
 """
+_TEMPLATE_SQL = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+_OP2_SQL = rf"""
+WITH file AS (SELECT doc_id, coalesce(text, '') AS text, n_chars < 250 AS lic,
+                     source || '/' || lang || CASE WHEN n_chars < 250 THEN '' ELSE '/' || (n_chars // 1000) END AS dir,
+                     source || '/' || lang || CASE WHEN n_chars < 250 THEN '/LICENSE-' ELSE '/' || (n_chars // 1000) || '/doc-' END || doc_id || '.txt' AS path
+              FROM documents),
+size AS (SELECT count(*) AS n FROM file),
+df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM file) GROUP BY w),
+tmpl AS (SELECT t, license, w, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w
+         FROM (VALUES {_TEMPLATE_SQL}) v(t, license, x)) GROUP BY ALL),
+y AS (SELECT t, license, w, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) AS y FROM tmpl LEFT JOIN df USING (w), size),
+ynorm AS (SELECT t, sqrt(sum(y * y)) AS norm FROM y GROUP BY t),
+unit AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS u, unnest(string_split(text, chr(10))) AS l FROM file
+         UNION ALL SELECT doc_id, -1, text FROM file WHERE lic),
+x AS (SELECT doc_id, u, w, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS x
+      FROM (SELECT doc_id, u, w, count(*) AS tf FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(l), '[a-z0-9]+')) AS w FROM unit) GROUP BY ALL) JOIN df USING (w), size),
+xnorm AS (SELECT doc_id, u, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+cosine AS (SELECT doc_id, license, round(sum(x * y) / any_value(xnorm.norm) / any_value(ynorm.norm), 6) AS score
+           FROM x JOIN y USING (w) JOIN xnorm USING (doc_id, u) JOIN ynorm USING (t) GROUP BY doc_id, u, t, license),
+own AS (SELECT doc_id, license, score FROM cosine WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+named AS (SELECT file.*, license, score FROM file LEFT JOIN own USING (doc_id)),
+lic AS (SELECT dir, license, score FROM named WHERE lic AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license, path) = 1),
+near AS (SELECT d.dir, lic.dir AS from_dir, lic.license, lic.score FROM (SELECT DISTINCT dir FROM named) d JOIN lic ON d.dir = lic.dir OR starts_with(d.dir, lic.dir || '/')
+         QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(lic.dir) DESC) = 1)
+SELECT doc_id, path, coalesce(named.license, near.license) AS license, coalesce(named.score, near.score) AS score,
+       CASE WHEN named.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN named.license IS NULL THEN near.from_dir END AS from_dir
+FROM named LEFT JOIN near USING (dir)
+"""
 _OP3_SQL = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORD_SQL} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
@@ -187,9 +228,9 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc_revisits": op1_warc_revisits, "op3_decontamination": op3_decontamination, "op4_lm_scoring": op4_lm_scoring, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op7_token_files": op7_token_files, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_warc_revisits": op1_warc_revisits, "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_lm_scoring": op4_lm_scoring, "op5_line_dedup": op5_line_dedup, "op6_bpe": op6_bpe, "op7_token_files": op7_token_files, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for the fingerprints of op8: DuckDB has no seeded XXH64."""
-    return {"op1_warc_revisits": _OP1_SQL, "op3_decontamination": _OP3_SQL, "op4_lm_scoring": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}
+    return {"op1_warc_revisits": _OP1_SQL, "op2_license_scan": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op4_lm_scoring": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}
