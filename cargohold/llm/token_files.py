@@ -10,7 +10,9 @@ planes from the last to the first.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,13 +119,14 @@ class WaveletMatrix:
         return self.symbols[now]
 
 
-def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 512) -> Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 64, joined: int = 256) -> Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Encodes pre-tokens with the tokenizers library, as Vocabulary.encode_words does.
 
     A pre-token that is a space and a run can be encoded in one call with the
     next, as each space begins a new one; the ids of each follow from the number
     of bytes that ids stand for. Others are encoded by themselves.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -131,35 +134,44 @@ def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 512) -> Call
     def encode(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(sizes).tolist()
         words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        led = np.array([w[0] == " " and not w[1:2].isspace() and len(w) > 1 for w in words], np.bool_)
-        groups = [g.tolist() for g in np.array_split(np.flatnonzero(led), max(1, led.sum() // at_once)) if len(g)] + [[k] for k in np.flatnonzero(~led).tolist()]
-        ids, order, bounds = [], [], []
-        for k in range(0, len(groups), at_once):  # few results of the library at a time
-            some = groups[k : k + at_once]
-            for group, found in zip(some, tokenizer.encode_batch_fast(["".join([words[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
-                ids.append(np.array(found.ids, np.int64))
-                order += group
-                bounds.append(np.cumsum([len(words[i].encode()) for i in group]))
-        lengths = [np.diff(np.append(0, np.searchsorted(np.cumsum(vocabulary.length[x]), b) + 1)) for x, b in zip(ids, bounds, strict=True)]
-        flat, length, order = np.concatenate(ids), np.concatenate(lengths), np.array(order)
-        back = np.argsort(order)
-        return gathered(flat, (np.cumsum(length) - length)[back], length[back]), length[back]
+        led = [k for k, w in enumerate(words) if w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        rest = sorted(set(range(len(words))).difference(led))
+        length = np.zeros(len(words), np.int64)
+        parts: list[np.ndarray] = []
+
+        def encoded(texts: list[str]) -> Iterator[list[int]]:
+            for k in range(0, len(texts), at_once):  # few results of the library at a time
+                yield from (e.ids for e in tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False))
+
+        groups = [led[k : k + joined] for k in range(0, len(led), joined)]
+        for group, found in zip(groups, encoded(["".join([words[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(found, np.int32)
+            bounds = np.cumsum([len(words[i].encode()) for i in group])
+            length[group] = np.diff(np.searchsorted(np.cumsum(vocabulary.length[ids]), bounds, side="left") + 1, prepend=0)
+            parts.append(ids)
+        alone = list(encoded([words[i] for i in rest]))
+        length[rest] = [len(x) for x in alone]
+        parts.append(np.fromiter(chain.from_iterable(alone), np.int32))
+        flat, order = np.concatenate(parts), np.array(led + rest, np.int64)
+        from_ = np.zeros(len(words), np.int64)
+        from_[order] = np.cumsum(length[order]) - length[order]
+        return gathered(flat, from_, length), length
 
     return encode
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids): the ids of each whole text and end_id, as little-endian integers of 16 or 32 bits.
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoding(spark: SparkSession, tokenizer_path: str, end_id: int, kind: str) -> Callable[[Batches], Batches]:
+    """From batches of (doc_id, text) to batches of (doc_id, ids): the ids of each whole text and end_id, as integers of `kind`.
 
     The tokenizers library encodes each distinct pre-token that a worker meets.
     """
-    spark = docs.sparkSession
-    vocabulary = Vocabulary(tokenizer_path)
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast((vocabulary, f.read()))
-    kind = id_type(max(vocabulary.size - 1, end_id))
+        shared = spark.sparkContext.broadcast((Vocabulary(tokenizer_path), f.read()))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Batches) -> Batches:
         v, spec = shared.value
         encoder = Encoder(v, library_words(spec, v))
         for b in batches:
@@ -169,31 +181,30 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
                     flat = np.insert(ids, np.cumsum(n), end_id).astype(kind)
                     ends = np.append(0, np.cumsum(n + 1) * flat.itemsize).astype(np.int32)
                     cells = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
-                    yield pa.record_batch([b.column("doc_id").slice(begin + a, z - a), pa.array(n + 1), cells], ["doc_id", "n", "ids"])
+                    yield pa.record_batch([b.column("doc_id").slice(begin + a, z - a), cells], ["doc_id", "ids"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, n long, ids binary")
+    return of
 
 
 def id_type(largest: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
-def in_order(docs: DataFrame, partitions: int, id_col: str = "doc_id") -> DataFrame:
-    """docs in ascending ranges of ids, each sorted; null ids come first."""
-    by = F.col(id_col).cast("long").asc_nulls_first()
+def in_order(docs: DataFrame, partitions: int) -> DataFrame:
+    """docs in ascending ranges of doc_id, each sorted; null ids come first."""
+    by = F.col("doc_id").asc_nulls_first()
     return docs.repartitionByRange(partitions, by).sortWithinPartitions(by)
 
 
-def write_tokens(ids: DataFrame, path: str, kind: str, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Writes (doc_id, n, ids) rows, whose order over all partitions is the files', as wavelet matrices.
+def packing(kind: str, shard_tokens: int = SHARD_TOKENS) -> Callable[[Batches], Batches]:
+    """From batches of (doc_id, ids) to rows of the files.
 
     A partition is cut into shards of at most shard_tokens tokens, or of one
-    longer document, so a task holds one shard at a time. Spark's writer commits
-    whole tasks: a lost executor leaves nothing half written.
+    longer document, so a task holds one shard at a time.
     """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard = TaskContext.get().partitionId(), 0
+    def of(batches: Batches) -> Batches:
+        part, shard, n = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         held: list[np.ndarray] = []
 
@@ -202,7 +213,6 @@ def write_tokens(ids: DataFrame, path: str, kind: str, shard_tokens: int = SHARD
             cells = [part, shard, docs, [len(x) for x in held], w.n, w.symbols.tobytes(), [p.tobytes() for p in w.planes], [r.tobytes() for r in w.ranks]]
             return pa.record_batch([pa.array([c], t.type) for c, t in zip(cells, _SCHEMA, strict=True)], _SCHEMA)
 
-        n = 0
         for b in batches:
             for doc, cell in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 ids = np.frombuffer(cell, kind)
@@ -215,7 +225,7 @@ def write_tokens(ids: DataFrame, path: str, kind: str, shard_tokens: int = SHARD
         if held:
             yield row()
 
-    ids.select("doc_id", "ids").mapInArrow(rows, _FILE).write.parquet(path)
+    return of
 
 
 _FILE = "part long, shard long, docs array<long>, sizes array<long>, n long, symbols binary, planes array<binary>, ranks array<binary>"
@@ -257,9 +267,11 @@ def store_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
-    ordered = in_order(docs.select(id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions")), id_col)
     kind = id_type(max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id))
-    write_tokens(token_ids(ordered, tokenizer_path, end_id, id_col, text_col), path, kind)
+    encode, pack = encoding(spark, tokenizer_path, end_id, kind), packing(kind)
+    ordered = in_order(id_and_bytes(docs, id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Spark's writer commits whole tasks: a lost executor leaves nothing half written
+    ordered.mapInArrow(lambda batches: pack(encode(batches)), _FILE).write.parquet(path)
     return path
 
 
