@@ -2,10 +2,10 @@
 
 Only DataFrame functions run here. Header lines of every file, and licence files
 as wholes, are bags of words weighted by tf * idf with document frequencies over
-all files. A line is compared with the templates only if it can reach the
-threshold: the weight of its words that some template has bounds its cosine, and
-words that none has weigh at least their count. That bound needs the templates'
-words alone, so nearly all lines go before any join.
+all files. A cosine of c needs words that carry c * c of the template's squared
+length, so of each template the rarest words are taken until the others carry
+less; a line without any of them can't match. Files and lines that have none go
+before any join, and nothing that could match is lost.
 
 A file without a licence of its own takes that of a licence file in the nearest
 directory above it. Directories are resolved once each, however many files they
@@ -45,7 +45,7 @@ LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)\b[^/]*$"
 
 def words_of(text: Column) -> Column:
     """Runs of ASCII letters and digits of the lower-cased text."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def _idf(n_files: int, df: Column) -> Column:
@@ -59,50 +59,54 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def _lines_that_can_match(files: DataFrame, idf: dict[str, float], threshold: float) -> DataFrame:
-    """(file_id, unit, w): the words of lines whose cosine can reach the threshold, and of whole licence files (unit -1)."""
-    known = F.array(*map(F.lit, sorted(idf)))
-    weight = F.create_map(*(x for w in sorted(idf) for x in (F.lit(w), F.lit(idf[w]))))
+def needed_words(rows: list, threshold: float) -> set[str]:
+    """Words of which every text whose cosine to a template reaches the threshold has one. rows: template, w, tf and idf of the templates' words."""
+    out: set[str] = set()
+    for t in {r.template for r in rows}:
+        own = sorted((r for r in rows if r.template == t), key=lambda r: (-r.idf, r.w))
+        whole = sum((r.tf * r.idf) ** 2 for r in own)
+        left = whole
+        for r in own:
+            if left < (threshold * threshold - 1e-9) * whole:
+                break
+            out.add(r.w)
+            left -= (r.tf * r.idf) ** 2
+    return out
 
-    def square(x: Column) -> Column:
-        return x * x
 
-    lines = files.select("file_id", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
-    lines = lines.select("file_id", "unit", words_of(F.col("line")).alias("w")).withColumn("own", F.array_intersect("w", known)).filter(F.size("own") > 0)
-
-    def count(x: Column) -> Column:
-        return F.size(F.filter("w", lambda y: y == x))
-
-    inside = F.aggregate("own", F.lit(0.0), lambda s, x: s + square(count(x) * F.element_at(weight, x)))
-    # counts of words that no template has: at least one each, and their squares at least their number
-    outside = F.size("w") - F.aggregate("own", F.lit(0), lambda s, x: s + count(x))
-    lines = lines.filter(inside >= threshold * threshold * (inside + outside) - 1e-9).select("file_id", "unit", "w")
-    whole = files.filter("is_license").select("file_id", F.lit(-1).alias("unit"), words_of(F.col("text")).alias("w"))
-    return lines.unionByName(whole)
+def _units(files: DataFrame, needed: set[str]) -> DataFrame:
+    """(file_id, unit, w): the words of lines that have a needed word, and of such licence files as wholes (unit -1)."""
+    asked = F.array(*map(F.lit, sorted(needed)))
+    some = files.withColumn("words", words_of(F.col("text"))).filter(F.arrays_overlap("words", asked))
+    lines = some.select("file_id", F.posexplode(F.split("text", "\n")).alias("unit", "line")).select("file_id", "unit", words_of(F.col("line")).alias("w"))
+    whole = some.filter("is_license").select("file_id", F.lit(-1).alias("unit"), F.col("words").alias("w"))
+    return lines.filter(F.arrays_overlap("w", asked)).unionByName(whole)
 
 
 def own_licenses(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, license, score) of the files (file_id, text, is_license) that match a template: the best, ties by name."""
     n_files = files.count()
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is above 0 and at most 1")
     counted = files.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     counted = written(counted, "word_files")
     asked = templates.select("template", "license", F.explode(words_of(F.col("text"))).alias("w")).groupBy("template", "license", "w").agg(F.count("*").alias("tf"))
     weighed = asked.join(counted, "w", "left").select("template", "license", "w", "tf", _idf(n_files, F.col("df")).alias("idf"))
     rows = weighed.limit(MOST_WORDS * 8 + 1).collect()
-    idf = {r.w: r.idf for r in rows}
-    if len(idf) > MOST_WORDS or len(rows) > MOST_WORDS * 8:
+    if not rows:
+        return files.select("file_id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score")).limit(0)
+    if len({r.w for r in rows}) > MOST_WORDS or len(rows) > MOST_WORDS * 8:
         raise ValueError(f"templates have more than {MOST_WORDS} words")
     norm: dict[int, float] = {}
     for r in rows:
         norm[r.template] = norm.get(r.template, 0.0) + (r.tf * r.idf) ** 2
-    units = _lines_that_can_match(files, idf, threshold)
+    units = _units(files, needed_words(rows, threshold))
     terms = units.select("file_id", "unit", F.explode("w").alias("w")).groupBy("file_id", "unit", "w").agg(F.count("*").alias("tf"))
     terms = terms.join(counted, "w", "left").select("file_id", "unit", "w", (F.col("tf") * _idf(n_files, F.col("df"))).alias("x"))
     terms = written(terms, "license_terms")
     sizes = terms.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    unit_vectors = terms.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(r.license).alias("license"), F.lit(r.template).alias("template"), F.lit(r.w).alias("w"), F.lit(r.tf * r.idf / math.sqrt(norm[r.template])).alias("y")) for r in rows)))) if rows else None
-    if unit_vectors is None:
-        return files.select("file_id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score")).limit(0)
+    vectors = F.array(*(F.struct(F.lit(r.license).alias("license"), F.lit(r.template).alias("template"), F.lit(r.w).alias("w"), F.lit(r.tf * r.idf / math.sqrt(norm[r.template])).alias("y")) for r in rows))
+    unit_vectors = files.sparkSession.range(1).select(F.inline(vectors))
     # at most MOST_WORDS * 8 rows
     dots = terms.join(F.broadcast(unit_vectors), "w").groupBy("file_id", "unit", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     found = dots.join(sizes, ["file_id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).filter(F.col("score") >= threshold)
