@@ -65,7 +65,10 @@ def pre_tokens(chars: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
     """
     n = len(chars)
     kind = classes[chars]
-    first = np.flatnonzero(np.diff(kind, prepend=255) | (kind == _END))
+    new = kind == _END
+    new[:1] = True
+    new[1:] |= kind[1:] != kind[:-1]
+    first = np.flatnonzero(new)
     kinds, last = kind[first], np.append(first[1:], n) - 1
     mark = np.zeros(n + 4, np.bool_)
     run, spaces = (kinds < _SPACE) | (kinds == _OTHER), kinds == _SPACE

@@ -68,9 +68,6 @@ _IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x8
 #: A-Z to a-z, other bytes unchanged.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-#: An odd multiplier and its inverse modulo 2**64.
-_MULT = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULT, -1, 1 << 64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,33 +86,36 @@ def count_words(texts: list[bytes]) -> int:
     return int(np.count_nonzero(is_word[:-1] & ~is_word[1:]))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+#: For 0 to 8 bytes of a little-endian word: the bits that they take.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte of buf on, as one integer; zeros follow buf."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
 
 
 def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, prefixes: dict | None = None) -> np.ndarray:
-    """64 bits of each slice of buf: mixed(sum of (buf[start + i] + 1) * _MULT ** i), modulo 2**64.
+    """64 bits of each slice of buf, an array of bytes or of other integers; eight bytes a step.
 
-    prefixes: for each length in it, gets the slices that are longer and the
-    hashes of their beginnings.
+    prefixes: for each length in it, 8 bytes at most, gets the slices that are
+    longer and the hashes of their beginnings.
     """
-    lengths = end - start
-    out = np.zeros(len(lengths), np.uint64)
-    power, alive = 1, np.flatnonzero(lengths > 0)
-    for i in range(int(lengths.max(initial=0))):
-        if i == 24:  # long ones by themselves, in time of their length
-            for k in alive.tolist():
-                b = buf[start[k] + i : end[k]].astype(np.uint64) + np.uint64(1)
-                out[k : k + 1] += (b * _powers(_MULT, len(b))).sum(dtype=np.uint64, keepdims=True) * np.uint64(power)
-            break
-        out[alive] += (buf[start[alive] + i].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
-        power = power * _MULT % (1 << 64)
-        alive = alive[lengths[alive] > i + 1]
-        if prefixes and i + 1 in prefixes:
-            prefixes[i + 1] = (alive, mixed(out[alive]))
-    return mixed(out)
+    if buf.itemsize > 1:
+        start, end, buf = start * buf.itemsize, end * buf.itemsize, buf.view(np.uint8)
+    eights, lengths = _eights(buf), end - start
+    word = eights[start]
+    out = mixed((word & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64))
+    for n in prefixes or ():
+        longer = np.flatnonzero(lengths > n)
+        prefixes[n] = (longer, mixed((word[longer] & _FIRST_BYTES[n]) + np.uint64(n)))
+    alive, done = np.flatnonzero(lengths > 8), 8
+    while len(alive):
+        left = lengths[alive] - done
+        out[alive] = mixed(out[alive] ^ (eights[start[alive] + done] & _FIRST_BYTES[np.minimum(left, 8)]))
+        alive, done = alive[left > 8], done + 8
+    return out
 
 
 class Words:

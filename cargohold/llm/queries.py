@@ -92,7 +92,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, written as wavelet matrices and read back."""
     path = store_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return stored_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return stored_documents(spark, path, only_digests=True).withColumnRenamed("crc32", "ids_crc32")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

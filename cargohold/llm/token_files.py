@@ -11,6 +11,7 @@ planes from the last to the first.
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -232,21 +233,29 @@ _FILE = "part long, shard long, docs array<long>, sizes array<long>, n long, sym
 _SCHEMA = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n", pa.int64()), ("symbols", pa.binary()), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, part, shard, at, ids): each document's ids as read back from the planes, and its place in the shard."""
+def read_tokens(spark: SparkSession, path: str, only_digests: bool = False) -> DataFrame:
+    """(doc_id, part, shard, at, n_tokens, crc32, ids) of each document, read back from the planes.
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at is its place in the shard; ids are little-endian integers of 32 bits, and
+    crc32 is theirs. only_digests leaves ids out, and so in the tasks.
+    """
+
+    def of(batches: Batches) -> Batches:
         for b in batches:
-            for k in range(b.num_rows):
+            for k in range(b.num_rows):  # a shard at a time
                 row = b.slice(k, 1).to_pylist()[0]
                 w = WaveletMatrix(row["n"], np.frombuffer(row["symbols"], np.uint32), row["planes"], row["ranks"])
-                ends = np.append(0, np.cumsum(row["sizes"]))
-                cells = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(w.ids().astype("<u4").tobytes())])
-                where = [pa.array([row[c]] * (len(ends) - 1), pa.int64()) for c in ("part", "shard")]
-                yield pa.record_batch([pa.array(row["docs"], pa.int64()), *where, pa.array(ends[:-1]), cells], ["doc_id", "part", "shard", "at", "ids"])
+                raw, ends = w.ids().astype("<u4"), np.append(0, np.cumsum(row["sizes"]))
+                crcs = [zlib.crc32(raw[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                where = [pa.array([row[c]] * len(crcs), pa.int64()) for c in ("part", "shard")]
+                cells = [pa.array(row["docs"], pa.int64()), *where, pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())]
+                if not only_digests:
+                    cells.append(pa.Array.from_buffers(pa.binary(), len(crcs), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(raw.tobytes())]))
+                yield pa.record_batch(cells, names)
 
-    # one shard at a time goes to Python, whatever the session's batch size
-    return spark.read.parquet(path).mapInArrow(of, "doc_id long, part long, shard long, at long, ids binary")
+    kind = "doc_id long, part long, shard long, at long, n_tokens long, crc32 long" + ", ids binary" * (not only_digests)
+    names = [c.split(" ")[0] for c in kind.split(", ")]
+    return spark.read.parquet(path).mapInArrow(of, kind)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -275,8 +284,9 @@ def store_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     return path
 
 
-def stored_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): of each document in the files its ids (little-endian, 32 bits) and the number of ids before them."""
-    rows = read_tokens(spark, path).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+def stored_documents(spark: SparkSession, path: str, only_digests: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, crc32, ids) of each document in the files; start is the number of ids before its own."""
+    rows = read_tokens(spark, path, only_digests)
     starts = shard_starts(spark, path).withColumnRenamed("start", "base")
-    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    found = rows.join(starts, ["part", "shard"]).withColumn("start", F.col("base") + F.col("at"))
+    return found.select("doc_id", "start", "n_tokens", "crc32", *([] if only_digests else ["ids"]))
