@@ -6,7 +6,7 @@ columns pass through. Paths are separated by `sep`.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,19 +91,21 @@ def unique_names(files: DataFrame) -> DataFrame:
     plain = numbered(rows.join(odd, keys, "left_anti"), ["container_id", "parent_path", "name"], ["item_index"], "__n")
     plain = plain.withColumn("new_name", F.when(F.col("__n") == 1, F.col("name")).otherwise(F.concat("__base", F.lit(","), F.col("__n").cast("string"), "__ext"))).drop("__n")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    columns = plain.columns
+
+    def fold(t: pa.Table) -> pa.Table:
         taken: set[str] = set()
         new = []
-        pdf = pdf.sort_values("item_index")
-        for name, b, e in zip(pdf["name"], pdf["__base"], pdf["__ext"], strict=True):
+        t = t.sort_by("item_index")
+        for name, b, e in zip(*(t[c].to_pylist() for c in ("name", "__base", "__ext")), strict=True):
             n, use = 2, name
             while use in taken:
                 use, n = f"{b},{n}{e}", n + 1
             taken.add(use)
             new.append(use)
-        return pdf.assign(new_name=new)
+        return t.append_column("new_name", pa.array(new, pa.string())).select(columns)
 
-    folded = rows.join(odd, keys, "left_semi").groupBy(*keys).applyInPandas(fold, plain.schema)
+    folded = rows.join(odd, keys, "left_semi").select(*(c for c in columns if c != "new_name")).groupBy(*keys).applyInArrow(fold, plain.schema)
     return plain.unionByName(folded).drop("__base", "__ext", "__family")
 
 

@@ -6,15 +6,23 @@ as mailboxes, pages as downloads, and the star schema as an installer database.
 
 from __future__ import annotations
 
+import bz2
+import lzma
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargohold.functions import codecs
 from cargohold.functions import text as fn
 from cargohold.operators import installer, ordered, tree
 from cargohold.sinks import extract
+from cargohold.sources import containers, writers
 from cargohold.sources.containers import first_module
+from cargohold.streaming import inbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -380,3 +388,108 @@ def topk_sizes(spark, sf_dir):
     best = F.slice(F.sort_array(F.collect_list(F.struct("n_chars", "neg")), asc=False), 1, 5)
     rows = docs.groupBy("source", "salt").agg(best.alias("b")).select("source", F.inline("b")).groupBy("source").agg(best.alias("b")).select("source", F.inline("b"))
     return rows.select("source", (-F.col("neg")).alias("doc_id"), "n_chars")
+
+
+# Round trips: tables become container bytes, which are listed and extracted again.
+
+
+def _packed(spark, sf_dir, write):
+    """Containers of eight documents each, written by `write` in the tasks."""
+    docs = table(spark, sf_dir, "documents").select(F.expr("concat('pack_', doc_id div 8)").alias("container_id"), "doc_id", F.expr("concat(lang, '\\\\doc_', doc_id, '.txt')").alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["doc_id"])
+        found = write([(r["path"], r["content"], 1 + r["doc_id"]) for r in rows])
+        return pa.table({"container_id": [rows[0]["container_id"] + suffix for suffix, _ in found], "content": [c for _, c in found]})
+
+    return docs.filter("length(content) > 0").groupBy("container_id").applyInArrow(pack, "container_id string, content binary")
+
+
+def _listed_contents(packs, module=None):
+    found = containers.detected(packs, module)
+    items = containers.items_of(found)
+    return items.join(containers.contents_of(items, found).withColumnRenamed("status", "read"), ["container_id", "item_index"])
+
+
+_PACK = "SELECT 'pack_' || (doc_id // 8){0} AS container_id, replace(lang || '/doc_' || doc_id || '.txt', '/', '\\') AS path, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5, 'ok' AS read FROM documents WHERE text <> ''"
+
+
+@query(_PACK.format("").replace(" AS md5,", " AS md5, doc_id + 1 AS mtime,"))
+def vp_roundtrip(spark, sf_dir):
+    """B4, A4, D-20: documents packed into VP files, listed and extracted."""
+    found = _listed_contents(_packed(spark, sf_dir, lambda files: [("", writers.vp_bytes(files))]))
+    return found.select("container_id", "path", "size", F.md5("content").alias("md5"), "mtime", "read")
+
+
+@query(_PACK.format(""))
+def pak_roundtrip(spark, sf_dir):
+    """Documents packed into PAK files."""
+    found = _listed_contents(_packed(spark, sf_dir, lambda files: [("", writers.pak_bytes(files))]))
+    return found.select("container_id", "path", "size", F.md5("content").alias("md5"), "read")
+
+
+@query(_PACK.format(" || '.cat'"))
+def xcat_roundtrip(spark, sf_dir):
+    """An index beside its data file."""
+    packs = _packed(spark, sf_dir, lambda files: list(zip((".cat", ".dat"), writers.xcat_bytes(files, "data.dat"), strict=True)))
+    return _listed_contents(packs).select("container_id", "path", "size", F.md5("content").alias("md5"), "read")
+
+
+_MAIL_TEXT = "concat('From: ', role, '@example.com\nSubject: ', subject, '\nDate: Thu, 01 Jan 1970 00:00:', lpad(turn % 60, 2, '0'), ' +0000\n\n', regexp_replace(text, '(?m)^From ', '>From '), '\n')"
+
+
+def _mails(spark, sf_dir):
+    """Messages of the conversations, a hundred turns a mailbox at most."""
+    rows = table(spark, sf_dir, "conversations").withColumn("subject", F.concat(F.lit("turn "), "turn", F.lit(" of "), "conv_id"))
+    return rows.withColumn("mail", F.expr(_MAIL_TEXT)).withColumn("container_id", F.expr("concat('box_', conv_id, '_', turn div 100)"))
+
+
+@query("""SELECT 'box_' || conv_id || '_' || (turn // 100) AS container_id, lpad((row_number() OVER (PARTITION BY conv_id, turn // 100 ORDER BY turn) - 1)::VARCHAR, 4, '0') || ' - turn ' || turn || ' of ' || conv_id || '.eml' AS path,
+role || '@example.com' AS owner, turn % 60 AS mtime FROM conversations""")
+def mbox_roundtrip(spark, sf_dir):
+    """Conversations as mailboxes, built and listed."""
+    ordered_mails = F.transform(F.sort_array(F.collect_list(F.struct("turn", "mail"))), lambda m: F.concat(F.lit("From x Thu Jan  1 00:00:00 1970\n"), m["mail"]))
+    boxes = _mails(spark, sf_dir).groupBy("container_id").agg(F.encode(F.array_join(ordered_mails, ""), "UTF-8").alias("content"))
+    return containers.items_of(containers.detected(boxes)).select("container_id", "path", "owner", "mtime")
+
+
+@query("""SELECT page_id::VARCHAR AS container_id, '{headers}' AS path, NULL AS md5 FROM pages UNION ALL SELECT page_id::VARCHAR, 'page.html', md5(html) FROM pages UNION ALL SELECT page_id::VARCHAR, '0002.plain', md5(url) FROM pages""")
+def eml_parts(spark, sf_dir):
+    """Pages as messages with an attachment and a nameless part."""
+    eml = F.expr("""concat('MIME-Version: 1.0\nFrom: a@example.com\nContent-Type: multipart/mixed; boundary="xx"\n\n--xx\nContent-Type: text/html\nContent-Disposition: attachment; filename="page.html"\nContent-Transfer-Encoding: base64\n\n',
+        base64(encode(html, 'UTF-8')), '\n--xx\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: base64\n\n', base64(encode(url, 'UTF-8')), '\n--xx--\n')""")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("container_id"), F.encode(eml, "UTF-8").alias("content"))
+    found = _listed_contents(pages)
+    return found.select("container_id", "path", F.when(F.col("item_index") > 0, F.md5("content")).alias("md5"))
+
+
+@query("""SELECT doc_id, md5(text) AS md5, 'ok' AS status FROM documents""")
+def codec_roundtrip(spark, sf_dir):
+    """Contents compressed or scrambled in one of several ways, and decoded."""
+
+    @F.pandas_udf("binary")
+    def encoded(text: pd.Series, codec: pd.Series) -> pd.Series:
+        how = {"zlib": zlib.compress, "bzip2": bz2.compress, "lzma": lambda x: lzma.compress(x, lzma.FORMAT_ALONE), "xor33": codecs.CODECS["xor33"], "xor_index": codecs.xor_index}
+        return pd.Series([how[c](t.encode()) for t, c in zip(text, codec, strict=True)])
+
+    codec = F.element_at(F.array(*map(F.lit, ("zlib", "bzip2", "lzma", "xor33", "xor_index"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), codec.alias("codec"))
+    out = codecs.decoded(encoded("text", "codec"), F.col("codec"))
+    return docs.select("doc_id", out.alias("o")).select("doc_id", F.md5("o.content").alias("md5"), "o.status")
+
+
+# Streams: extensions of Spark's, the reference has none.
+
+
+@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def events_tumbling(spark, sf_dir):
+    """Events a day, as a stream with a watermark."""
+    return inbox.drained(inbox.daily_counts(inbox.event_stream(spark, f"{sf_dir}/events.parquet")), "complete")
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL '30 minutes', true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS begins, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_session(spark, sf_dir):
+    """Sessions with gaps of half an hour."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("at", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("begins"), "n")
