@@ -40,6 +40,8 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("proprietary", "All rights reserved."),
 )
+#: Tasks that a directory's files are dealt over.
+SALTS = 32
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)\b[^/]*$"
 
 
@@ -141,7 +143,11 @@ def license_scan(files: DataFrame, templates: DataFrame | None = None, threshold
     steps = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("ancestor")))
     above = named.filter("path IS NOT NULL").select("dir").distinct().select("dir", F.inline(steps))
     nearest = above.join(licensed, "ancestor").groupBy("dir").agg(F.max_by(F.struct("ancestor", "dir_license", "dir_score"), "depth").alias("near"))
-    joined = named.withColumn("key", F.when(F.col("license").isNull() & F.col("path").isNotNull(), F.col("dir"))).join(nearest.withColumnRenamed("dir", "key"), "key", "left")
+    # only files that need it are joined; a directory's files are dealt over several tasks, its one row goes to each
+    heirs = F.col("license").isNull() & F.col("path").isNotNull()
+    salted = named.filter(heirs).withColumn("salt", F.pmod(F.xxhash64("file_id", "path"), F.lit(SALTS)).cast("int"))
+    spread = nearest.select(F.col("dir").alias("near_dir"), "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("near_salt"))
+    joined = salted.join(spread, (F.col("dir") == F.col("near_dir")) & (F.col("salt") == F.col("near_salt")), "left").unionByName(named.filter(~heirs), allowMissingColumns=True)
     has = F.col("license").isNotNull()
     return joined.select(
         "file_id", "path",
