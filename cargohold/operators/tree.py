@@ -44,7 +44,7 @@ def name_of(path: Column, sep: str = SEP) -> Column:
 
 def parent_of(path: Column, sep: str = SEP) -> Column:
     """H2: what precedes the last separator; empty at the root."""
-    return F.when(F.instr(path, sep) > 0, F.substring(path, 1, F.length(path) - F.length(name_of(path, sep)) - len(sep))).otherwise("")
+    return F.when(F.instr(path, sep) > 0, F.substring(path, 1, F.length(path) - F.length(name_of(path, sep)) - len(sep))).when(path.isNotNull(), "")
 
 
 def ancestors(path: Column, sep: str = SEP) -> Column:
