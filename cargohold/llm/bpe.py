@@ -32,9 +32,9 @@ from cargohold.llm.common import id_and_bytes, slice_hashes, stretches
 #: White space as the pre-token pattern means it, and what a contraction has after its apostrophe.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-_LETTER, _DIGIT, _SPACE, _OTHER, _END = range(5)
+_LETTER, _DIGIT, SPACE, _OTHER, _END = range(5)
 #: Bytes of text split at once, bytes whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
-SPLIT_BYTES, STRETCH_BYTES, KEPT_WORDS = 1 << 20, 8 << 20, 1_000_000
+SPLIT_BYTES, STRETCH_BYTES, KEPT_WORDS = 1 << 20, 8 << 20, 2_000_000
 
 
 def char_classes(tokenizer_path: str) -> np.ndarray:
@@ -51,7 +51,7 @@ def char_classes(tokenizer_path: str) -> np.ndarray:
         found = regex.findall(pattern, every)
         out[[ord(c) for c in found]] = kind
         out[[ord(c) for c in found if unicodedata.category(c) == "Cn" and len(split(before + c)) > 1]] = _OTHER
-    out[_SPACES] = _SPACE
+    out[_SPACES] = SPACE
     out[0x110000] = _END
     return out
 
@@ -71,7 +71,7 @@ def pre_tokens(chars: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
     first = np.flatnonzero(new)
     kinds, last = kind[first], np.append(first[1:], n) - 1
     mark = np.zeros(n + 4, np.bool_)
-    run, spaces = (kinds < _SPACE) | (kinds == _OTHER), kinds == _SPACE
+    run, spaces = (kinds < SPACE) | (kinds == _OTHER), kinds == SPACE
     led = run & (first > 0) & (chars[first - 1] == 0x20)
     mark[first[~led]] = True
     mark[first[led] - 1] = True
@@ -208,8 +208,8 @@ class Encoder:
         self._index()
 
     def _index(self) -> None:
-        """A table of the kept hashes, a quarter full at most, searched from each hash's low bits on."""
-        bits = max(12, int(len(self.hash)).bit_length() + 3)
+        """A table of the kept hashes, half full at most, searched from each hash's low bits on."""
+        bits = max(12, int(len(self.hash)).bit_length() + 2)
         self.table, self.mask = np.full(1 << bits, -1, np.int32), np.uint64((1 << bits) - 1)
         self._enter(np.arange(len(self.hash)))
 
@@ -249,7 +249,7 @@ class Encoder:
             self.waiting.append((gathered(chars, start[first], sizes).astype("<u4").tobytes().decode("utf-32-le"), sizes))
             n = len(self.hash)
             self.hash = np.append(self.hash, own)
-            if 4 * len(self.hash) > len(self.table):
+            if 2 * len(self.hash) > len(self.table):
                 self._index()
             else:
                 self._enter(np.arange(n, len(self.hash)))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cargohold.llm.bpe import STRETCH_BYTES, Encoder, Vocabulary, gathered
+from cargohold.llm.bpe import SPACE, STRETCH_BYTES, Encoder, Vocabulary, gathered
 from cargohold.llm.common import id_and_bytes, scratch_path, stretches
 
 #: Tokens of a shard; a longer document makes several rows.
@@ -132,31 +132,37 @@ def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 64, joined:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    def encoded(texts: list[str]) -> Iterator[list[int]]:
+        for k in range(0, len(texts), at_once):  # few results of the library at a time
+            yield from (e.ids for e in tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False))
+
     def encode(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.cumsum(sizes).tolist()
-        words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        led = [k for k, w in enumerate(words) if w[0] == " " and len(w) > 1 and not w[1].isspace()]
-        rest = sorted(set(range(len(words))).difference(led))
-        length = np.zeros(len(words), np.int64)
-        parts: list[np.ndarray] = []
-
-        def encoded(texts: list[str]) -> Iterator[list[int]]:
-            for k in range(0, len(texts), at_once):  # few results of the library at a time
-                yield from (e.ids for e in tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False))
-
-        groups = [led[k : k + joined] for k in range(0, len(led), joined)]
-        for group, found in zip(groups, encoded(["".join([words[i] for i in g]) for g in groups]), strict=True):
+        chars = np.frombuffer(text.encode("utf-32-le"), np.int32)
+        start = np.cumsum(sizes) - sizes
+        second = vocabulary.classes[chars[np.minimum(start + 1, len(chars) - 1)]]
+        is_led = (chars[start] == 0x20) & (sizes > 1) & (second != SPACE)
+        order = np.concatenate((np.flatnonzero(is_led), np.flatnonzero(~is_led)))
+        ordered = gathered(chars, start[order], sizes[order]).astype("<i4").tobytes().decode("utf-32-le")
+        ends, n_led = np.append(0, np.cumsum(sizes[order])), int(is_led.sum())
+        n_bytes = np.diff(np.append(np.flatnonzero(np.frombuffer(raw := ordered.encode(), np.uint8) & 0xC0 != 0x80), len(raw))[ends])
+        cuts = [*range(0, n_led, joined), *range(n_led, len(sizes))]  # where a call's words begin
+        bounds = [*cuts, len(sizes)]
+        length, parts = np.zeros(len(sizes), np.int64), []
+        texts = [ordered[a:b] for a, b in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True)]
+        for a, b, found in zip(bounds[:-1], bounds[1:], encoded(texts), strict=True):
+            if b - a == 1:
+                length[a] = len(found)
+                parts.append(found)
+                continue
             ids = np.array(found, np.int32)
-            bounds = np.cumsum([len(words[i].encode()) for i in group])
-            length[group] = np.diff(np.searchsorted(np.cumsum(vocabulary.length[ids]), bounds, side="left") + 1, prepend=0)
-            parts.append(ids)
-        alone = list(encoded([words[i] for i in rest]))
-        length[rest] = [len(x) for x in alone]
-        parts.append(np.fromiter(chain.from_iterable(alone), np.int32))
-        flat, order = np.concatenate(parts), np.array(led + rest, np.int64)
-        from_ = np.zeros(len(words), np.int64)
-        from_[order] = np.cumsum(length[order]) - length[order]
-        return gathered(flat, from_, length), length
+            length[a:b] = np.diff(np.searchsorted(np.cumsum(vocabulary.length[ids]), np.cumsum(n_bytes[a:b])) + 1, prepend=0)
+            parts.append(found)
+        flat = np.fromiter(chain.from_iterable(parts), np.int32)
+        from_ = np.zeros(len(sizes), np.int64)
+        from_[order] = np.cumsum(length) - length
+        back = np.zeros(len(sizes), np.int64)
+        back[order] = length
+        return gathered(flat, from_, back), back
 
     return encode
 
