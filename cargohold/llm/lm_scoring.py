@@ -90,7 +90,7 @@ class Ngrams:
             seen = fits & (by_order[o - 1] > 0)
             backed = np.where(fits, score + math.log10(backoff), score)
             score = np.where(seen, np.log10(np.maximum(by_order[o - 1], 1)) - np.log10(np.maximum(context, 1)), backed)
-        return np.bincount(self.doc, score, minlength=len(self.n_words))
+        return np.bincount(self.doc, score, minlength=len(self.n_words)).astype(np.float64)
 
 
 def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
