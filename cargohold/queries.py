@@ -493,3 +493,6 @@ def events_session(spark, sf_dir):
     """Sessions with gaps of half an hour."""
     e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return e.groupBy("user_id", F.session_window("at", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("begins"), "n")
+
+
+from cargohold.plans import lookups  # noqa: E402, F401  registers its queries
