@@ -73,9 +73,9 @@ def pre_tokens(chars: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
     mark = np.zeros(n + 4, np.bool_)
     run, spaces = (kinds < SPACE) | (kinds == _OTHER), kinds == SPACE
     led = run & (first > 0) & (chars[first - 1] == 0x20)
-    mark[first[~led]] = True
-    mark[first[led] - 1] = True
-    mark[last[spaces & np.append(run[1:], False)]] = True
+    mark[first - led] = True  # the space before a run begins it
+    mark[np.compress(led, first)] = False
+    mark[np.compress(spaces & np.append(run[1:], False), last)] = True
     quote = first[(kinds == _OTHER) & (first == last) & ~led & (chars[first] == 0x27)]
     after = np.append(chars, np.zeros(3, chars.dtype))
     for text in _CONTRACTIONS:
@@ -85,7 +85,7 @@ def pre_tokens(chars: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
     start = np.flatnonzero(mark[:n])
     end = np.append(start[1:], n)
     inside = kind[start] != _END
-    return start[inside], end[inside]
+    return np.compress(inside, start), np.compress(inside, end)
 
 
 def byte_symbols() -> dict[str, int]:

@@ -1,45 +1,14 @@
-"""What the operators share: scratch tables in the shared folder, text as bytes, components."""
+"""What the operators share: scratch tables, text as bytes, words and hashes in arrays, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (a
-    local session, as in tests) a temporary folder of this machine serves.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='cargohold-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from cargohold.scratch import scratch_path, written
 
 
 def id_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,6 +31,8 @@ def stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+__all__ = ["Words", "connected_components", "count_words", "id_and_bytes", "mixed", "scratch_path", "slice_hashes", "stretches", "written"]
+
 #: 1 for bytes of words: digits, letters, and all of UTF-8 beyond ASCII.
 _IS_WORD = np.zeros(256, np.bool_)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True

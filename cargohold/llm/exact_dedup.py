@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from cargohold.llm.common import id_and_bytes, mixed, written
 
-#: Digests of a shard, on average: what one task holds at once.
-SHARD_DIGESTS = 250_000
+#: Digests of a shard, on average: what one task holds at once; and shards at least.
+SHARD_DIGESTS, LEAST_SHARDS = 250_000, 64
 _INDEX = "shard long, n long, sizes binary, bits binary, digests binary, winners binary, sizes_of_groups binary"
 
 
@@ -128,7 +128,7 @@ def lookup(distinct: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 
 
 def shard_count(n_digests: int) -> int:
-    return max(1, math.ceil(n_digests / SHARD_DIGESTS))
+    return max(LEAST_SHARDS, math.ceil(n_digests / SHARD_DIGESTS))
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

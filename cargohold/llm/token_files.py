@@ -53,7 +53,7 @@ class WaveletMatrix:
             planes.append(packed.tobytes())
             padded = np.append(packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)).reshape(-1, BLOCK // 8)
             ranks.append(np.append(0, np.cumsum(np.bitwise_count(padded).sum(axis=1, dtype=np.uint32))).astype(np.uint32).tobytes())
-            now = np.concatenate((now[~bit], now[bit]))
+            now = np.concatenate((np.compress(~bit, now), np.compress(bit, now)))
         return cls(len(ids), symbols.astype(np.uint32), planes, ranks)
 
     def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -114,8 +114,8 @@ class WaveletMatrix:
         for k in reversed(range(len(self.planes))):
             bit = np.unpackbits(self.planes[k], count=self.n).view(np.bool_)
             before = np.empty_like(now)
-            before[~bit] = now[: self.zeros[k]]
-            before[bit] = now[self.zeros[k] :] | now.dtype.type(1 << (len(self.planes) - 1 - k))
+            before[np.flatnonzero(~bit)] = now[: self.zeros[k]]
+            before[np.flatnonzero(bit)] = now[self.zeros[k] :] | now.dtype.type(1 << (len(self.planes) - 1 - k))
             now = before
         return self.symbols[now]
 
