@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from cargohold.llm.common import Words, count_words, id_and_bytes, mixed, stretches
 
 ORDER, BACKOFF = 2, 0.4
-#: Bytes of text in a chunk and of the corpus text that meets in a bucket, on average; chunks and buckets at least.
-CHUNK_BYTES, BUCKET_BYTES, LEAST = 5 << 20, 16 << 20, 64
+#: Bytes of text in a chunk and of the corpus text that meets in a bucket, on average and at least; at most; chunks and buckets at least.
+CHUNK_BYTES, BUCKET_BYTES, MOST_BYTES, LEAST = 5 << 20, 16 << 20, 64 << 20, 64
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -93,6 +93,11 @@ class Ngrams:
         return np.bincount(self.doc, score, minlength=len(self.n_words)).astype(np.float64)
 
 
+def _size(least: int, corpus_bytes: int) -> int:
+    """Bytes of a chunk or bucket. A row has one chunk's n-grams of one bucket, so both grow with the root of the corpus, up to MOST_BYTES, to keep some in each row."""
+    return max(least, min(MOST_BYTES, math.isqrt(80 * corpus_bytes)))
+
+
 def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each of 2**bits equal ranges of hashes begins among sorted keys, and their end."""
     return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
@@ -126,10 +131,10 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
     size = F.coalesce(F.sum(F.length("text")), F.lit(0))
     total = (rows if corpus is None else id_and_bytes(corpus, id_col, text_col)).agg(size).first()[0]
     own = total if corpus is None else rows.agg(size).first()[0]
-    bits = max(LEAST, math.ceil(total / BUCKET_BYTES)).bit_length()
+    bits = max(LEAST, math.ceil(total / _size(BUCKET_BYTES, total))).bit_length()
 
     def dealt(rows: DataFrame, n_bytes: int, side: int) -> DataFrame:
-        return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(LEAST, math.ceil(n_bytes / CHUNK_BYTES)))) * 2 + side)
+        return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(LEAST, math.ceil(n_bytes / _size(CHUNK_BYTES, total))))) * 2 + side)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         grams = Ngrams(t["text"].to_pylist(), order)
