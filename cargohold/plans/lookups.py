@@ -32,11 +32,11 @@ def positional_dirs(spark, sf_dir):
     return table(spark, sf_dir, "supplier").join(dirs, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
 
 
-@query("""SELECT md5(c_name) AS name_hash, c_name AS name FROM customer WHERE c_custkey % 3 = 0""")
+@query("""SELECT md5(c_name) AS name_hash, c_name AS name FROM customer""")
 def listfile_names(spark, sf_dir):
     """Entries known by hash only get their names from a list."""
     listed = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.md5("c_name").alias("name_hash"))
-    entries = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.md5("c_name").alias("name_hash"))
+    entries = table(spark, sf_dir, "customer").select(F.md5("c_name").alias("name_hash"))
     return entries.join(listed, "name_hash")
 
 
@@ -91,10 +91,10 @@ def special_folders(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", installer.folder_name(key, default).alias("folder"))
 
 
-@query("""SELECT event_id FROM events WHERE event_type <> 'click' AND value > 0 AND event_id % 7 <> 0""")
+@query("""SELECT event_id FROM events WHERE event_type <> 'click' AND value > 0 AND user_id > 3""")
 def predicates(spark, sf_dir):
     """Dropped names, invalid bits, hidden features."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, 0).otherwise(1).alias("Level"), F.when(F.col("value") > 0, 1).otherwise(0).alias("Display"), "event_type")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") > 3, 1).otherwise(0).alias("Level"), F.when(F.col("value") > 0, 1).otherwise(0).alias("Display"), "event_type")
     return installer.visible_features(rows.filter("event_type <> 'click'")).select("event_id")
 
 

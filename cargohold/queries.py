@@ -201,17 +201,17 @@ def url_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.url_name(F.col("url")).alias("name"))
 
 
-@query(r"""SELECT page_id, regexp_replace(url, '[:*?"<>|\\/]', '_', 'g') AS safe, translate(left(html, 200), '<>', '[]') AS brackets FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(url, '[:*?"<>|\\/]', '_', 'g') AS safe, translate(html, '<>', '[]') AS brackets FROM pages""")
 def sanitize_paths(spark, sf_dir):
     """H10, H11"""
-    return table(spark, sf_dir, "pages").select("page_id", fn.safe_name(F.col("url")).alias("safe"), fn.square_brackets(F.substring("html", 1, 200)).alias("brackets"))
+    return table(spark, sf_dir, "pages").select("page_id", fn.safe_name(F.col("url")).alias("safe"), fn.square_brackets(F.col("html")).alias("brackets"))
 
 
 @query("""SELECT event_id, format('{:,}', event_id * 1000) AS thousands, strftime(ts, '%d.%m.%Y %H:%M:%S') AS time_text, strftime(ts, '%Y-%m-%d') AS date_text,
-printf('%02d:%02d:%02d', event_id // 3600, (event_id % 3600) // 60, event_id % 60) AS duration, CASE WHEN event_id >= 1024 THEN printf('%.2f KB = ', event_id / 1024.0) || format('{:,}', event_id) ELSE event_id || ' B' END AS size_text FROM events WHERE event_id < 1000000""")
+printf('%02d:%02d:%02d', event_id // 3600, (event_id % 3600) // 60, event_id % 60) AS duration, CASE WHEN event_id >= 1048576 THEN printf('%.2f MB = ', event_id / 1048576.0) || format('{:,}', event_id) WHEN event_id >= 1024 THEN printf('%.2f KB = ', event_id / 1024.0) || format('{:,}', event_id) ELSE event_id || ' B' END AS size_text FROM events""")
 def format_fields(spark, sf_dir):
     """H4 to H8: fields of the info panel."""
-    e, n = table(spark, sf_dir, "events").filter("event_id < 1000000"), F.col("event_id")
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
     return e.select("event_id", fn.with_thousands(n * 1000).alias("thousands"), fn.time_text(F.col("ts")).alias("time_text"), fn.date_text(F.col("ts")).alias("date_text"), fn.duration_text(n).alias("duration"), fn.size_text(n).alias("size_text"))
 
 
@@ -359,13 +359,13 @@ def last_row_wins(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("last_text"), F.bool_or(F.col("o_orderstatus") == "P").alias("has_p"), F.max("o_totalprice").alias("most"))
 
 
-@query(f"""WITH {_V1} SELECT container_id, item_index, 'out/' || split_part(parent_path, '/', 2) || '/' || name AS target, CASE WHEN item_index % 5 = 0 THEN 'skip' ELSE 'write' END AS action
+@query(f"""WITH {_V1} SELECT container_id, item_index, 'out/' || split_part(parent_path, '/', 2) || '/' || name AS target, CASE WHEN container_id < 'src2' THEN 'skip' ELSE 'write' END AS action
 FROM (SELECT *, min(item_index) OVER (PARTITION BY container_id, parent_path, name) AS first FROM v1 WHERE starts_with(parent_path, 'en/')) WHERE item_index = first""")
 def extract_plan(spark, sf_dir):
     """Where selected items go, and what happens where something is."""
     items = archives(spark, sf_dir).filter(F.col("path").startswith("en/"))
     first = items.groupBy("container_id", "path").agg(F.min("item_index").alias("item_index"))
-    there = first.filter("item_index % 5 = 0").select("container_id", extract.target_path(F.col("path"), "out", "partial", "en", "/").alias("target"))
+    there = first.filter("container_id < 'src2'").select("container_id", extract.target_path(F.col("path"), "out", "partial", "en", "/").alias("target"))
     return extract.planned(first, there, "out", "partial", "en", "skip", "/").select("container_id", "item_index", "target", "action")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,12 @@ def planned(items: DataFrame, there: DataFrame, base: str, keep: str = "partial"
     return out.sortWithinPartitions("container_id", "item_index")
 
 
+def fits(plan: DataFrame, root: str) -> bool:
+    """Whether what the plan writes is less than the free bytes under root; one number comes to the driver."""
+    need = plan.filter("action <> 'skip'").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return need < shutil.disk_usage(root).free
+
+
 def write_files(contents: DataFrame, root: str) -> DataFrame:
     """Writes (container_id, item_index, target, content) under root, a folder that all executors mount; one status row each.
 

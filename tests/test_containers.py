@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cargohold.functions import codecs
 from cargohold.sinks import extract
 from cargohold.sources import containers as c
-from cargohold.sources import writers
+from cargohold.sources import options, writers
 from cargohold.streaming import inbox
 
 FILES = [("a\\b\\one.txt", b"first", 5), ("two.txt", b"second file", 6), ("a\\three.bin", bytes(range(256)), 7)]
@@ -91,3 +91,10 @@ def test_inbox_stream(spark, tmp_path):
     (tmp_path / "in" / "a.vp").write_bytes(writers.vp_bytes(FILES))
     inbox.stored(inbox.watched(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).filter(~F.col("is_dir")).count() == len(FILES)
+
+
+def test_options_and_space(spark, tmp_path):
+    got = options.merged({"MBOX": {"Charset": "a", "x": "1"}}, {"mbox": {"CHARSET": "b", "X": "-"}, "new": {"k": "v"}})
+    assert got == {"mbox": {"charset": "b"}, "new": {"k": "v"}}
+    plan = spark.createDataFrame([("write", 1 << 62), ("skip", 1 << 62)], "action string, size long")
+    assert not extract.fits(plan, str(tmp_path)) and extract.fits(plan.filter("action = 'skip'"), str(tmp_path))
