@@ -134,7 +134,7 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
     bits = max(LEAST, math.ceil(total / _size(BUCKET_BYTES, total))).bit_length()
 
     def dealt(rows: DataFrame, n_bytes: int, side: int) -> DataFrame:
-        return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(LEAST, math.ceil(n_bytes / _size(CHUNK_BYTES, total))))) * 2 + side)
+        return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(LEAST, math.ceil(n_bytes / _size(CHUNK_BYTES, total))))) * 2 + side)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         grams = Ngrams(t["text"].to_pylist(), order)
