@@ -35,6 +35,8 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _LETTER, _DIGIT, SPACE, _OTHER, _END = range(5)
 #: Bytes of text split at once, bytes whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
 SPLIT_BYTES, STRETCH_BYTES, KEPT_WORDS = 1 << 20, 8 << 20, 2_000_000
+#: Sets the hashes of pre-tokens in stretches of four bytes a code point apart from those of one byte.
+_WIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def char_classes(tokenizer_path: str) -> np.ndarray:
@@ -187,7 +189,7 @@ def gathered(flat: np.ndarray, from_: np.ndarray, length: np.ndarray) -> np.ndar
 
 
 class Encoder:
-    """Encodes texts in stretches; keeps the encodings of pre-tokens, by a 64-bit hash.
+    """Encodes texts in stretches; keeps the encodings of pre-tokens, by a 64-bit hash of text and element width.
 
     encode_words is as Vocabulary's, which is the default.
     """
@@ -239,7 +241,10 @@ class Encoder:
     def _numbers(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, number among the kept) of each pre-token; new ones wait for _encode_waiting."""
         start, end = pre_tokens(chars, self.latin if chars.dtype == np.uint8 else self.v.classes)
-        h = slice_hashes(chars, start, end)
+        if chars.dtype == np.uint8:
+            h = slice_hashes(chars, start, end)
+        else:  # other hashes than one-byte text's; one more, so that a code point 0 differs from none
+            h = slice_hashes(chars + 1, start, end) ^ _WIDE
         number = self._found(h)
         new = np.flatnonzero(number < 0)
         if len(new):

@@ -385,3 +385,14 @@ def test_license_inheritance_takes_the_nearest(spark):
     rows = [(1, "LICENSE", mit), (2, "p/q/LICENSE", apache), (3, "p/x", "x"), (4, "p/q/r/s/y", "y"), (5, "top", "t"), (6, "p/q/z", "z")]
     got = {r.file_id: (r.license, r.from_dir) for r in license_scan.license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
     assert [got[i] for i in (3, 4, 5, 6)] == [("MIT", ""), ("Apache-2.0", "p/q"), ("MIT", ""), ("Apache-2.0", "p/q")]
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_bpe_keeps_latin_and_wide_pre_tokens_apart(own):
+    """One encoder meets ranges of one byte and of four bytes a code point, in both orders."""
+    v, library = bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
+    latin, wide = "1 / d at é the caf\xe9", ". , a 瑟 中 the caf\xe9 %x! !x!\0 ! !\0 %"
+    for texts in ([latin, wide, latin], [wide, latin, wide]):
+        encoder = bpe.Encoder(v) if own else bpe.Encoder(v, token_files.library_words(library.to_str(), v))
+        for t in texts:
+            assert [ids.tolist() for _, _, ids, _ in encoder.encode([t.encode()])] == [library.encode(t, add_special_tokens=False).ids]
