@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from cargohold.llm.common import id_and_bytes, slice_hashes, stretches
+from cargohold.llm.common import FIRST_BYTES, eights, id_and_bytes, slice_hashes, stretches
 
 #: White space as the pre-token pattern means it, and what a contraction has after its apostrophe.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -35,8 +35,6 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _LETTER, _DIGIT, SPACE, _OTHER, _END = range(5)
 #: Bytes of text split at once, bytes whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
 SPLIT_BYTES, STRETCH_BYTES, KEPT_WORDS = 1 << 20, 8 << 20, 2_000_000
-#: Sets the hashes of pre-tokens in stretches of four bytes a code point apart from those of one byte.
-_WIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def char_classes(tokenizer_path: str) -> np.ndarray:
@@ -130,10 +128,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where(self.code[at] == code, self.code_rank[at], -1)
 
-    def encode_words(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Text is words one after the other, sizes their code points: (ids of all words, number of ids of each)."""
-        raw = np.frombuffer(text.encode(), np.uint8)
-        lengths = np.diff(np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))[np.append(0, np.cumsum(sizes))])
+    def encode_words(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """raw is words one after the other in UTF-8, lengths their bytes: (ids of all words, number of ids of each)."""
         symbol = self.of_byte[raw]
         n = len(symbol)
         last = np.cumsum(lengths) - 1
@@ -177,8 +173,8 @@ class Vocabulary:
             prior = before[at]
             index(np.unique(np.concatenate((at, prior[prior >= 0]))))
         live = symbol >= 0
-        word = np.repeat(np.arange(len(sizes)), lengths)
-        return symbol[live], np.bincount(word[live], minlength=len(sizes))
+        word = np.repeat(np.arange(len(lengths)), lengths)
+        return symbol[live], np.bincount(word[live], minlength=len(lengths))
 
 
 def gathered(flat: np.ndarray, from_: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -189,24 +185,32 @@ def gathered(flat: np.ndarray, from_: np.ndarray, length: np.ndarray) -> np.ndar
 
 
 class Encoder:
-    """Encodes texts in stretches; keeps the encodings of pre-tokens, by a 64-bit hash of text and element width.
+    """Encodes texts in stretches; keeps the encodings of pre-tokens.
 
-    encode_words is as Vocabulary's, which is the default.
+    Kept pre-tokens are found by a hash of their bytes in UTF-8, whatever the
+    width of the stretch that they come from, and their bytes are compared in
+    full: a hash that two share costs a step and no more. encode_words is as
+    Vocabulary's, which is the default; split_bytes and kept_words bound what is
+    split at once and what is kept.
     """
 
-    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, split_bytes: int = SPLIT_BYTES, kept_words: int = KEPT_WORDS):
         self.v = vocabulary
         self.latin = vocabulary.classes[:256].copy()
         self.latin[0] = _END
         self.encode_words = encode_words or vocabulary.encode_words
+        self.split_bytes, self.kept_words = split_bytes, kept_words
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self._reset()
 
     def _reset(self) -> None:
         self.hash = np.zeros(0, np.uint64)
+        #: Of each kept pre-token: its first eight bytes, its bytes in `raw`, and its ids in `flat`.
+        self.head, self.raw_from, self.raw_length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.raw = np.zeros(8, np.uint8)  # eight zeros at the end
         self.from_, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
-        self.waiting: list[tuple[str, np.ndarray]] = []
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self._index()
 
     def _index(self) -> None:
@@ -225,45 +229,64 @@ class Encoder:
             stay[first] = False
             numbers, at = numbers[stay], (at[stay] + np.uint64(1)) & self.mask
 
-    def _found(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hash among the kept, -1 for others."""
+    def _found(self, h: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The number of each pre-token among the kept, -1 for others. words: first eight bytes, lengths, starts, and the eight bytes from each byte on."""
+        head, length, start, every = words
         out = self.table[h & self.mask]
         if not len(self.hash):
             return out
-        off = np.flatnonzero((out >= 0) & (self.hash[out] != h))
-        step = np.uint64(0)
+        kept = np.ndarray((len(self.raw) - 7,), "<u8", self.raw.data, strides=(1,))
+
+        def other(t: np.ndarray) -> np.ndarray:
+            """Those of the pre-tokens t whose table entry is another one."""
+            t = t[out[t] >= 0]
+            bad = (self.head[out[t]] != head[t]) | (self.raw_length[out[t]] != length[t])
+            done, long = 8, np.flatnonzero(~bad & (length[t] > 8))
+            while len(long):
+                own = t[long]
+                mask = FIRST_BYTES[np.minimum(length[own] - done, 8)]
+                same = ((kept[self.raw_from[out[own]] + done] ^ every[start[own] + done]) & mask) == 0
+                bad[long[~same]] = True
+                done += 8
+                long = long[same & (length[own] > done)]
+            return t[bad]
+
+        off, step = other(np.arange(len(h))), np.uint64(0)
         while len(off):
             step += np.uint64(1)
             out[off] = self.table[(h[off] + step) & self.mask]
-            off = off[(out[off] >= 0) & (self.hash[out[off]] != h[off])]
+            off = other(off)
         return out
 
-    def _numbers(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, number among the kept) of each pre-token; new ones wait for _encode_waiting."""
-        start, end = pre_tokens(chars, self.latin if chars.dtype == np.uint8 else self.v.classes)
-        if chars.dtype == np.uint8:
-            h = slice_hashes(chars, start, end)
-        else:  # other hashes than one-byte text's; one more, so that a code point 0 differs from none
-            h = slice_hashes(chars + 1, start, end) ^ _WIDE
-        number = self._found(h)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            own, at = np.unique(h[new], return_index=True)
-            first = new[at]
-            sizes = end[first] - start[first]
-            self.waiting.append((gathered(chars, start[first], sizes).astype("<u4").tobytes().decode("utf-32-le"), sizes))
+    def _numbers(self, chars: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start in chars, number among the kept) of each pre-token of chars, which are raw in UTF-8; new ones wait for _encode_waiting."""
+        first, end = pre_tokens(chars, self.latin if chars.dtype == np.uint8 else self.v.classes)
+        start = first
+        if len(raw) > len(chars):
+            place = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))
+            start, end = place[first], place[end]
+        h, length, every = slice_hashes(raw, start, end), end - start, eights(raw)
+        words = (every[start] & FIRST_BYTES[np.minimum(length, 8)], length, start, every)
+        number = self._found(h, words)
+        while len(new := np.flatnonzero(number < 0)):  # again only if pre-tokens share a hash
+            own = new[np.unique(h[new], return_index=True)[1]]
+            text = gathered(raw, start[own], length[own])
+            self.waiting.append((text, length[own]))
             n = len(self.hash)
-            self.hash = np.append(self.hash, own)
+            self.hash, self.head = np.append(self.hash, h[own]), np.append(self.head, words[0][own])
+            self.raw_from = np.append(self.raw_from, len(self.raw) - 8 + np.cumsum(length[own]) - length[own])
+            self.raw_length = np.append(self.raw_length, length[own].astype(np.int32))
+            self.raw = np.concatenate((self.raw[:-8], text, np.zeros(8, np.uint8)))
             if 2 * len(self.hash) > len(self.table):
                 self._index()
             else:
                 self._enter(np.arange(n, len(self.hash)))
-            number[new] = self._found(h[new])
-        return start, number
+            number[new] = self._found(h[new], (words[0][new], length[new], start[new], every))
+        return first, number
 
     def _encode_waiting(self) -> None:
         if self.waiting:
-            flat, length = self.encode_words("".join(t for t, _ in self.waiting), np.concatenate([n for _, n in self.waiting]))
+            flat, length = self.encode_words(*map(np.concatenate, zip(*self.waiting, strict=True)))
             self.from_ = np.append(self.from_, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
             self.length = np.append(self.length, length.astype(np.int32))
             self.flat = np.append(self.flat, flat.astype(np.int32))
@@ -271,9 +294,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges a:z of texts: (a, z, ids of those texts one after the other, number of ids of each)."""
-        if len(self.hash) > KEPT_WORDS:
+        if len(self.hash) > self.kept_words:
             self._reset()
-        split = [(a, z, *self._split(texts[a:z])) for a, z in stretches(texts, SPLIT_BYTES)]
+        split = [(a, z, *self._split(texts[a:z])) for a, z in stretches(texts, self.split_bytes)]
         self._encode_waiting()
         for a, z, number, pre_count, special, pieces in split:
             length = self.length[number]
@@ -297,14 +320,15 @@ class Encoder:
             special.append(-1)
         ends = np.cumsum(np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))) - 1
         joined = "\0".join([*pieces, ""])
+        raw = np.frombuffer(joined.encode(), np.uint8)
         try:  # most stretches have one byte per code point; in those 0 only ends texts
             if joined.count("\0") > len(pieces):
                 raise ValueError("a text has the code point 0")
-            chars = np.frombuffer(joined.encode("latin-1"), np.uint8)
+            chars = raw if len(raw) == len(joined) else np.frombuffer(joined.encode("latin-1"), np.uint8)
         except ValueError:
             chars = np.frombuffer(joined.encode("utf-32-le"), np.int32).copy()
             chars[ends] = 0x110000
-        start, number = self._numbers(chars)
+        start, number = self._numbers(chars, raw)
         return number, np.bincount(np.searchsorted(ends, start), minlength=len(pieces)), np.array(special, np.int64), counts
 
 
@@ -312,21 +336,23 @@ def _lists(flat: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(flat, kind))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stretch_bytes: int = STRETCH_BYTES, split_bytes: int = SPLIT_BYTES, kept_words: int = KEPT_WORDS) -> DataFrame:
     """(doc_id, ids array<int>) of each whole text, as the tokenizers library encodes it without adding special tokens.
 
     The tokenizer file is read by the driver and broadcast (a few MB). Strings
     of special tokens inside a text become their ids. A null text is the empty
     text and has no ids; repeated rows give repeated results, an empty table an
-    empty one; other columns are not read.
+    empty one; other columns are not read. A text longer than stretch_bytes is
+    encoded whole, alone in its stretch. The sizes bound memory and change no
+    result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, split_bytes=split_bytes, kept_words=kept_words)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for begin, end in stretches(texts, STRETCH_BYTES):
+            for begin, end in stretches(texts, stretch_bytes):
                 for a, z, ids, n in encoder.encode(texts[begin:end]):
                     yield pa.record_batch([b.column("doc_id").slice(begin + a, z - a), _lists(ids, n, pa.int32())], ["doc_id", "ids"])
 
@@ -337,7 +363,9 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded (with doc_id and ids) with the text that its ids stand for: (doc_id, ids, text).
 
     Bytes that aren't UTF-8 become U+FFFD; null ids are no ids; ids beyond the
-    vocabulary stand for nothing.
+    vocabulary stand for nothing. Repeated rows give repeated results, an empty
+    table an empty one; very long lists are decoded whole; other columns are not
+    read.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 

@@ -31,7 +31,7 @@ def stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-__all__ = ["Words", "connected_components", "count_words", "id_and_bytes", "mixed", "scratch_path", "slice_hashes", "stretches", "written"]
+__all__ = ["FIRST_BYTES", "Words", "connected_components", "count_words", "eights", "id_and_bytes", "mixed", "scratch_path", "slice_hashes", "stretches", "written"]
 
 #: 1 for bytes of words: digits, letters, and all of UTF-8 beyond ASCII.
 _IS_WORD = np.zeros(256, np.bool_)
@@ -58,33 +58,33 @@ def count_words(texts: list[bytes]) -> int:
 
 
 #: For 0 to 8 bytes of a little-endian word: the bits that they take.
-_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Sets slices of different lengths apart.
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _eights(buf: np.ndarray) -> np.ndarray:
+def eights(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each byte of buf on, as one integer; zeros follow buf."""
     padded = np.concatenate((buf, np.zeros(8, np.uint8)))
     return np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
 
 
 def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, prefixes: dict | None = None) -> np.ndarray:
-    """64 bits of each slice of buf, an array of bytes or of other integers; eight bytes a step.
+    """64 bits of each slice of buf, an array of bytes; eight bytes a step. The length is hashed apart from the bytes.
 
     prefixes: for each length in it, 8 bytes at most, gets the slices that are
     longer and the hashes of their beginnings.
     """
-    if buf.itemsize > 1:
-        start, end, buf = start * buf.itemsize, end * buf.itemsize, buf.view(np.uint8)
-    eights, lengths = _eights(buf), end - start
-    word = eights[start]
-    out = mixed((word & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64))
+    every, lengths = eights(buf), end - start
+    word = every[start]
+    out = mixed((word & FIRST_BYTES[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) * _LENGTH))
     for n in prefixes or ():
         longer = np.flatnonzero(lengths > n)
-        prefixes[n] = (longer, mixed((word[longer] & _FIRST_BYTES[n]) + np.uint64(n)))
+        prefixes[n] = (longer, mixed((word[longer] & FIRST_BYTES[n]) ^ (np.array([n], np.uint64) * _LENGTH)))
     alive, done = np.flatnonzero(lengths > 8), 8
     while len(alive):
         left = lengths[alive] - done
-        out[alive] = mixed(out[alive] ^ (eights[start[alive] + done] & _FIRST_BYTES[np.minimum(left, 8)]))
+        out[alive] = mixed(out[alive] ^ (every[start[alive] + done] & FIRST_BYTES[np.minimum(left, 8)]))
         alive, done = alive[left > 8], done + 8
     return out
 

@@ -10,6 +10,7 @@ planes from the last to the first.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,10 +26,12 @@ from tokenizers import Tokenizer
 from cargohold.llm.bpe import SPACE, STRETCH_BYTES, Encoder, Vocabulary, gathered
 from cargohold.llm.common import id_and_bytes, scratch_path, stretches
 
-#: Tokens of a shard; a longer document makes several rows.
+#: Tokens of a shard; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 21
 #: Bits between two entries of the directory of ranks.
 BLOCK = 4096
+#: Bytes of text in a partition that is packed, on average.
+PART_BYTES = 64 << 20
 
 
 class WaveletMatrix:
@@ -59,13 +62,36 @@ class WaveletMatrix:
     def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
         return (self.planes[k][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
 
+    def _blocks(self, k: int, block: np.ndarray) -> np.ndarray:
+        """(n, bytes) of these blocks of plane k; zeros follow the plane."""
+        at = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
+        return np.where(at < len(self.planes[k]), self.planes[k][np.minimum(at, len(self.planes[k]) - 1)], 0) if len(self.planes[k]) else np.zeros(at.shape, np.uint8)
+
     def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Ones of plane k before each place."""
-        block = at // BLOCK
-        out = self.ranks[k][block].astype(np.int64)
-        for i, (b, a) in enumerate(zip(block.tolist(), at.tolist(), strict=True)):
-            byte = self.planes[k][b * (BLOCK // 8) : a >> 3]
-            out[i] += int(np.bitwise_count(byte).sum()) + (int(self.planes[k][a >> 3] >> (8 - (a & 7))).bit_count() if a & 7 else 0)
+        """Ones of plane k before each place: by the directory, then within one block."""
+        out = self.ranks[k][at // BLOCK].astype(np.int64)
+        for i in range(0, len(at), 4096):
+            own = at[i : i + 4096]
+            bits = np.clip(own[:, None] % BLOCK - np.arange(0, BLOCK, 8), 0, 8)  # of each byte
+            out[i : i + 4096] += np.bitwise_count(self._blocks(k, own // BLOCK) & (0xFF00 >> bits).astype(np.uint8)).sum(axis=1, dtype=np.int64)
+        return out
+
+    def _select(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """The places of the nth (from 0) bits of this value in plane k: the block by the directory, then within it."""
+        before = self.ranks[k].astype(np.int64)
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
+        block = np.searchsorted(before, nth, side="right") - 1
+        out = np.zeros(len(nth), np.int64)
+        for i in range(0, len(nth), 4096):
+            own = slice(i, i + 4096)
+            here, which = np.unique(block[own], return_inverse=True)
+            bits = np.unpackbits(self._blocks(k, here), axis=1)
+            seen = np.cumsum(bits == bit, axis=1, dtype=np.int32)
+            # each block's running counts are ascending, and shifted so that blocks follow each other
+            shifted = (seen + np.arange(len(here))[:, None] * (BLOCK + 1)).ravel()
+            at = np.searchsorted(shifted, which * (BLOCK + 1) + (nth[own] - before[block[own]]) + 1)
+            out[own] = block[own] * BLOCK + at - which * BLOCK
         return out
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -104,8 +130,7 @@ class WaveletMatrix:
             low, high = (self.zeros[k] + a, self.zeros[k] + b) if bit else (low - a, high - b)
         at = np.arange(low, high)
         for k in reversed(range(len(path))):
-            bits = np.unpackbits(self.planes[k], count=self.n)
-            at = np.flatnonzero(bits)[at - self.zeros[k]] if path[k] else np.flatnonzero(bits == 0)[at]
+            at = self._select(k, path[k], at - self.zeros[k] * path[k])
         return at
 
     def ids(self) -> np.ndarray:
@@ -120,7 +145,7 @@ class WaveletMatrix:
         return self.symbols[now]
 
 
-def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 64, joined: int = 256) -> Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 64, joined: int = 256) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Encodes pre-tokens with the tokenizers library, as Vocabulary.encode_words does.
 
     A pre-token that is a space and a run can be encoded in one call with the
@@ -136,19 +161,20 @@ def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 64, joined:
         for k in range(0, len(texts), at_once):  # few results of the library at a time
             yield from (e.ids for e in tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False))
 
-    def encode(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chars = np.frombuffer(text.encode("utf-32-le"), np.int32)
-        start = np.cumsum(sizes) - sizes
-        second = vocabulary.classes[chars[np.minimum(start + 1, len(chars) - 1)]]
-        is_led = (chars[start] == 0x20) & (sizes > 1) & (second != SPACE)
+    def encode(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.int32)
+        start = np.cumsum(lengths) - lengths
+        is_led = (raw[start] == 0x20) & (lengths > 1)
+        second = (np.cumsum(raw & 0xC0 != 0x80) - 1)[np.minimum(start + 1, len(raw) - 1)]
+        is_led &= vocabulary.classes[chars[second]] != SPACE
         order = np.concatenate((np.flatnonzero(is_led), np.flatnonzero(~is_led)))
-        ordered = gathered(chars, start[order], sizes[order]).astype("<i4").tobytes().decode("utf-32-le")
-        ends, n_led = np.append(0, np.cumsum(sizes[order])), int(is_led.sum())
-        n_bytes = np.diff(np.append(np.flatnonzero(np.frombuffer(raw := ordered.encode(), np.uint8) & 0xC0 != 0x80), len(raw))[ends])
-        cuts = [*range(0, n_led, joined), *range(n_led, len(sizes))]  # where a call's words begin
-        bounds = [*cuts, len(sizes)]
-        length, parts = np.zeros(len(sizes), np.int64), []
-        texts = [ordered[a:b] for a, b in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True)]
+        n_bytes = lengths[order]
+        ordered = gathered(raw, start[order], n_bytes).tobytes()
+        ends, n_led = np.append(0, np.cumsum(n_bytes)), int(is_led.sum())
+        cuts = [*range(0, n_led, joined), *range(n_led, len(lengths))]  # where a call's words begin
+        bounds = [*cuts, len(lengths)]
+        length, parts = np.zeros(len(lengths), np.int64), []
+        texts = [ordered[a:b].decode() for a, b in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True)]
         for a, b, found in zip(bounds[:-1], bounds[1:], encoded(texts), strict=True):
             if b - a == 1:
                 length[a] = len(found)
@@ -158,9 +184,9 @@ def library_words(spec: str, vocabulary: Vocabulary, at_once: int = 64, joined:
             length[a:b] = np.diff(np.searchsorted(np.cumsum(vocabulary.length[ids]), np.cumsum(n_bytes[a:b])) + 1, prepend=0)
             parts.append(found)
         flat = np.fromiter(chain.from_iterable(parts), np.int32)
-        from_ = np.zeros(len(sizes), np.int64)
+        from_ = np.zeros(len(lengths), np.int64)
         from_[order] = np.cumsum(length) - length
-        back = np.zeros(len(sizes), np.int64)
+        back = np.zeros(len(lengths), np.int64)
         back[order] = length
         return gathered(flat, from_, back), back
 
@@ -198,9 +224,9 @@ def id_type(largest: int) -> str:
 
 
 def in_order(docs: DataFrame, partitions: int) -> DataFrame:
-    """docs in ascending ranges of doc_id, each sorted; null ids come first."""
-    by = F.col("doc_id").asc_nulls_first()
-    return docs.repartitionByRange(partitions, by).sortWithinPartitions(by)
+    """docs in ascending ranges of doc_id, each sorted; null ids come first, and rows of one id lie by a hash of the text."""
+    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    return docs.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
 
 
 def packing(kind: str, shard_tokens: int = SHARD_TOKENS) -> Callable[[Batches], Batches]:
@@ -273,18 +299,22 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     return shards.withColumn("inside", inside).join(before, "part").select("part", "shard", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def store_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+def store_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> str:
     """Encodes docs, writes the token files under path (a scratch path if None) and returns it.
 
     A null text is the empty text, of which only end_id is written. Rows that
-    repeat a doc_id lie next to each other. An empty table gives files without
-    rows. Other columns are not read.
+    repeat a doc_id lie next to each other, dealt over partitions by a hash of
+    the text where they are many. A text longer than a shard is a shard of its
+    own. An empty table gives files without rows. Other columns are not read.
+    Partitions hold PART_BYTES of text on average, whatever the input's size.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     kind = id_type(max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id))
-    encode, pack = encoding(spark, tokenizer_path, end_id, kind), packing(kind)
-    ordered = in_order(id_and_bytes(docs, id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    encode, pack = encoding(spark, tokenizer_path, end_id, kind), packing(kind, shard_tokens)
+    rows = id_and_bytes(docs, id_col, text_col)
+    n_bytes = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    ordered = in_order(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / PART_BYTES)))
     # Spark's writer commits whole tasks: a lost executor leaves nothing half written
     ordered.mapInArrow(lambda batches: pack(encode(batches)), _FILE).write.parquet(path)
     return path

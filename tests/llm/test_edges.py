@@ -269,13 +269,9 @@ def test_bpe_and_token_files(spark, tmp_path):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab '\n\tsdmtrevl<|endoftext|>é12!")), max_size=60))
 def test_bpe_equals_the_library(text):
-    if "v" not in CACHE:
-        CACHE["v"], CACHE["t"] = bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
-        with open(PATH, encoding="utf-8") as f:
-            CACHE["lib"] = token_files.library_words(f.read(), CACHE["v"])
-    want = CACHE["t"].encode(text, add_special_tokens=False).ids
-    for words in (None, CACHE["lib"]):
-        _, _, ids, n = next(bpe.Encoder(CACHE["v"], words).encode([text.encode()]))
+    for encoder in both_encoders():
+        want = CACHE["t"].encode(text, add_special_tokens=False).ids
+        _, _, ids, n = next(encoder.encode([text.encode()]))
         assert ids.tolist() == want and n.tolist() == [len(want)]
 
 
@@ -387,12 +383,58 @@ def test_license_inheritance_takes_the_nearest(spark):
     assert [got[i] for i in (3, 4, 5, 6)] == [("MIT", ""), ("Apache-2.0", "p/q"), ("MIT", ""), ("Apache-2.0", "p/q")]
 
 
-@pytest.mark.parametrize("own", [True, False])
-def test_bpe_keeps_latin_and_wide_pre_tokens_apart(own):
-    """One encoder meets ranges of one byte and of four bytes a code point, in both orders."""
-    v, library = bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
-    latin, wide = "1 / d at é the caf\xe9", ". , a 瑟 中 the caf\xe9 %x! !x!\0 ! !\0 %"
-    for texts in ([latin, wide, latin], [wide, latin, wide]):
-        encoder = bpe.Encoder(v) if own else bpe.Encoder(v, token_files.library_words(library.to_str(), v))
-        for t in texts:
-            assert [ids.tolist() for _, _, ids, _ in encoder.encode([t.encode()])] == [library.encode(t, add_special_tokens=False).ids]
+MIXED = ["1 / d at \xe9 the caf\xe9", ". , a \u745f \u4e2d the caf\xe9 %x! !x!\0 ! !\0 %", "\u0416. end!", "x 1 (1) $5", "\u201cquoted\u201d and plain", "\U0001f600 don't internationally", "\0", "internationalisation internationalizing <|endoftext|>\0\0 %"]
+
+
+def both_encoders(**sizes):
+    if "v" not in CACHE:
+        CACHE["v"], CACHE["t"] = bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
+        with open(PATH, encoding="utf-8") as f:
+            CACHE["lib"] = token_files.library_words(f.read(), CACHE["v"])
+    return [bpe.Encoder(CACHE["v"], words, **sizes) for words in (None, CACHE["lib"])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(MIXED), st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab1.!% '\0\xe9\u4e2d")), max_size=20)), min_size=1, max_size=4), min_size=1, max_size=6), st.sampled_from([4, 40, 1 << 20]), st.sampled_from([3, 2_000_000]), st.sampled_from([None, 0, 3]))
+def test_one_encoder_over_mixed_texts(batches, split_bytes, kept_words, hash_bits):
+    """One encoder meets stretches of one byte and of four bytes a code point, forgets, and meets pre-tokens that share a hash."""
+    exact = bpe.slice_hashes
+    try:
+        if hash_bits is not None:
+            bpe.slice_hashes = lambda *a: exact(*a) & np.uint64(hash_bits)
+        for encoder in both_encoders(split_bytes=split_bytes, kept_words=kept_words):
+            for texts in batches:
+                flat, counts = [], []
+                for _, _, ids, n in encoder.encode([t.encode() for t in texts]):
+                    flat += ids.tolist()
+                    counts += n.tolist()
+                want = [CACHE["t"].encode(t, add_special_tokens=False).ids for t in texts]
+                assert counts == list(map(len, want)) and flat == [i for x in want for i in x]
+    finally:
+        bpe.slice_hashes = exact
+
+
+def test_mixed_widths_through_spark(spark, tmp_path):
+    """Every text once per neighbour, so that tasks meet the widths in every order, at stretches of a few bytes and of megabytes."""
+    texts = [t for k in range(len(MIXED)) for t in (MIXED[k:] + MIXED[:k])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    t = Tokenizer.from_file(PATH)
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    for sizes in ({}, {"stretch_bytes": 30, "split_bytes": 10, "kept_words": 5}):
+        encoded = bpe.encode(docs, PATH, **sizes)
+        assert {r.doc_id: r.ids for r in encoded.collect()} == want
+        assert {r.doc_id: r.text for r in bpe.decode(encoded, PATH).collect()} == dict(enumerate(texts))
+    for shard_tokens in (7, 1 << 20):
+        path = token_files.store_tokens(docs, PATH, 2, str(tmp_path / f"t{shard_tokens}"), shard_tokens=shard_tokens)
+        rows = token_files.stored_documents(spark, path).orderBy("doc_id").collect()
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*x, 2] for i, x in want.items()}
+        assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
+def test_wavelet_select_over_many_blocks():
+    ids = np.random.default_rng(2).integers(0, 5, 50_001)
+    ids[20_000:30_000] = 3
+    w = token_files.WaveletMatrix.built(ids)
+    for x in range(5):
+        assert np.array_equal(w.occurrences(x), np.flatnonzero(ids == x))
+        assert [w.rank(x, at) for at in (0, 1, 4096, 30_000, 50_001)] == [int((ids[:at] == x).sum()) for at in (0, 1, 4096, 30_000, 50_001)]
