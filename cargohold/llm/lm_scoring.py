@@ -1,118 +1,266 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Documents are dealt into chunks. Each chunk explodes its n-grams of all orders,
-counts them, and sends the distinct ones, cut by hash into buckets, to the count
-tables. A bucket adds up what all chunks have sent, which is the corpus count of
-each of its n-grams, and joins the counts back to the n-grams of every chunk.
-The chunk then looks up its words' n-grams, backs off where one is missing, and
-sums the logarithms per document.
-
-An n-gram that every document has is one entry per chunk, and n-grams travel as
-sorted hashes of 64 bits in their bytes' planes, which compress well. A document
-is scored against all others: its own counts are taken off.
+Documents are packed into chunks, a compressed row each. A chunk explodes its
+n-grams of all orders, counts them, and sends its distinct ones to the count
+tables, which are partitioned by hash: one row per chunk and hash range, with
+the n-grams' hashes and counts as arrays. A count table adds up what all chunks
+have sent and answers each chunk with what the others have of its n-grams; an
+n-gram that no other chunk has, as most have not, needs no answer. The chunk
+joins the counts to its words' n-grams, backs off where one is missing, and sums
+the logarithms per document.
+
+A row never holds more than one chunk's n-grams of one range, however often an
+n-gram occurs, so hot n-grams weigh as much as others. A chunk sends at most
+2**FAN_BITS rows. Corpora that need more ranges than that are counted in levels:
+the rows of as many chunks are merged first, cut by the next bits of the hash,
+and sent on, and the answers come back the same way. Rows thus grow in proportion
+to the corpus, but for the number of levels (one up to 64 GB of text, two up to
+64 TB).
+
+A document is scored against all others: its own counts are taken off.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import Words, count_words, id_and_bytes, mixed, stretches
+from cargohold.llm.common import Words, count_words, id_and_bytes, mixed, written
 
-ORDER, BACKOFF = 2, 0.4
-#: Bytes of text in a chunk and of the corpus text that meets in a bucket, on average and at least; at most; chunks and buckets at least.
-CHUNK_BYTES, BUCKET_BYTES, MOST_BYTES, LEAST = 5 << 20, 16 << 20, 64 << 20, 64
+ORDER, BACKOFF = 3, 0.4
+#: Bytes of text in a chunk (a longer text is a chunk of its own), and of the corpus text whose n-grams meet in a hash range, on average.
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+#: Bits of the hash that cut a row's n-grams on their way to the next level.
+FAN_BITS = 10
+#: Planes of a difference of sorted hashes that are as good as random, and not compressed.
+_RANDOM_PLANES = 5
+
+
+@functools.cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@functools.cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted distinct 64-bit integers as the byte planes of their differences."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    planes = np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    return planes[:_RANDOM_PLANES].tobytes() + _compressor().compress(planes[_RANDOM_PLANES:].tobytes())
 
 
-def _unpacked(cell: bytes) -> np.ndarray:
-    planes = np.frombuffer(cell, np.uint8).reshape(8, -1)
+def _unpacked(cell: bytes, n: int) -> np.ndarray:
+    low = n * _RANDOM_PLANES
+    planes = np.frombuffer(cell[:low] + _decompressor().decompress(cell[low:]), np.uint8).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _packed_counts(x: np.ndarray) -> bytes:
+    """Non-negative integers, most of them zero: which are not, and those."""
+    some = x[x > 0]
+    width = max(1, (int(some.max(initial=0)).bit_length() + 7) // 8)
+    values = np.ascontiguousarray(some.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + _compressor().compress(np.packbits(x > 0).tobytes() + values.tobytes())
+
+
+def _unpacked_counts(cell: bytes, n: int) -> np.ndarray:
+    raw, bits = np.frombuffer(_decompressor().decompress(cell[1:]), np.uint8), (n + 7) // 8
+    out = np.zeros(n, np.int64)
+    some = np.unpackbits(raw[:bits], count=n).view(np.bool_)
+    for k, plane in enumerate(raw[bits:].reshape(cell[0], -1)):
+        out[some] += plane.astype(np.int64) << (8 * k)
+    return out
+
+
 class Ngrams:
     """The n-grams of a chunk's texts, up to an order.
 
-    keys: a hash of each n-gram that ends at a word, all of order 1, then those
-    of order 2 that fit in their document, and so on. word: the word each ends
-    at. Their sorted distinct values are `distinct`, found `count` times.
+    An n-gram is known by a hash; `distinct` has the sorted ones of all orders,
+    found `count` times in the chunk. For each order: the words that its n-grams
+    end at, their places in `distinct`, and how often the word's document has
+    them.
     """
 
     def __init__(self, texts: list[bytes], order: int):
         words = Words(texts)
         self.n_words = words.counts(len(texts))
         self.doc, self.n = words.doc, len(words.hash)
-        first = (np.cumsum(self.n_words) - self.n_words)[words.doc]
-        depth = np.arange(self.n) - first  # words before it in the document
-        h, keys, ends = words.hash, [words.hash], [np.arange(self.n)]
-        for o in range(2, order + 1):
-            h = mixed(np.append(np.uint64(0), h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + words.hash + np.uint64(o))
-            fit = np.flatnonzero(depth >= o - 1)
-            keys.append(h[fit])
-            ends.append(fit)
-        self.order, self.sizes = order, [len(k) for k in keys]
-        self.word, keys = np.concatenate(ends), np.concatenate(keys)
-        self.by = np.argsort(keys, kind="stable")
-        in_order, doc = keys[self.by], self.doc[self.word[self.by]]
-        new = np.append(True, in_order[1:] != in_order[:-1])[: len(keys)]
-        self.distinct, self.of = in_order[new], np.cumsum(new) - 1
-        self.count = np.bincount(self.of, minlength=len(self.distinct))
-        # occurrences of a key stand in order of documents, so a document's own are neighbours
-        own = new | np.append(True, doc[1:] != doc[:-1])[: len(keys)]
-        start = np.flatnonzero(own)
-        self.own = np.diff(np.append(start, len(keys)))[np.cumsum(own) - 1]
+        depth = np.arange(self.n) - (np.cumsum(self.n_words) - self.n_words)[words.doc]  # words before it in the document
+        self.ends, of, self.own, distinct, count = [], [], [], [], []
+        h = words.hash
+        for o in range(1, order + 1):
+            if o > 1:
+                h = mixed(np.append(np.uint64(0), h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + words.hash + np.uint64(o))
+            fit = np.flatnonzero(depth >= o - 1).astype(np.int32)
+            keys = h[fit]
+            by = np.argsort(keys, kind="stable")
+            in_order, doc = keys[by], self.doc[fit[by]]
+            new = np.append(True, in_order[1:] != in_order[:-1])[: len(keys)]
+            # occurrences of a key stand in order of documents, so a document's own are neighbours
+            start = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1])[: len(keys)])
+            size = np.diff(np.append(start, len(keys)))
+            place, own = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
+            place[by], own[by] = np.cumsum(new, dtype=np.int32) - 1, np.repeat(size, size)
+            self.ends.append(fit)
+            of.append(place)
+            self.own.append(own)
+            distinct.append(in_order[new])
+            count.append(np.diff(np.append(np.flatnonzero(new), len(keys))))
+        every = np.concatenate(distinct)
+        by = np.argsort(every, kind="stable")
+        self.distinct, self.count = every[by], np.concatenate(count)[by]
+        back = np.empty(len(every), np.int32)
+        back[by] = np.arange(len(every), dtype=np.int32)
+        base = np.cumsum([0, *map(len, distinct)])
+        self.of = [back[a + x] for a, x in zip(base[:-1].tolist(), of, strict=True)]
 
     def scores(self, totals: np.ndarray, corpus_words: int, backoff: float, exclude_self: bool) -> np.ndarray:
-        """Of each text: the sum over its words of log10 of the backed-off relative frequency."""
-        counts = np.zeros(len(self.by), np.int64)
-        counts[self.by] = totals[self.of] - (self.own if exclude_self else 0)
-        by_order, at = [], 0
-        for size in self.sizes:
-            full = np.zeros(self.n, np.int64)
-            full[self.word[at : at + size]] = counts[at : at + size]
-            by_order.append(full)
-            at += size
+        """Of each text: the sum over its words of log10 of the backed-off relative frequency. totals: of `distinct`."""
         corpus = np.maximum(corpus_words - (self.n_words[self.doc] if exclude_self else 0), 1)
-        score = np.log10(np.maximum(by_order[0], 1)) - np.log10(corpus)
-        for o in range(2, self.order + 1):  # the higher order wins where it has been seen
-            context = np.append(0, by_order[o - 2][:-1])
-            fits = np.zeros(self.n, np.bool_)
-            fits[self.word[sum(self.sizes[: o - 1]) : sum(self.sizes[:o])]] = True
-            seen = fits & (by_order[o - 1] > 0)
-            backed = np.where(fits, score + math.log10(backoff), score)
-            score = np.where(seen, np.log10(np.maximum(by_order[o - 1], 1)) - np.log10(np.maximum(context, 1)), backed)
+        score, context = np.zeros(self.n), np.zeros(0, np.int64)
+        for o, (ends, of, own) in enumerate(zip(self.ends, self.of, self.own, strict=True), 1):
+            count = np.zeros(self.n, np.int64)
+            count[ends] = totals[of] - (own if exclude_self else 0)
+            if o == 1:
+                score = np.log10(np.maximum(count, 1)) - np.log10(corpus)
+            else:  # the higher order wins where it has been seen
+                fits = np.zeros(self.n, np.bool_)
+                fits[ends] = True
+                seen = fits & (count > 0)
+                backed = np.where(fits, score + math.log10(backoff), score)
+                score = np.where(seen, np.log10(np.maximum(count, 1)) - np.log10(np.maximum(context, 1)), backed)
+            context = np.append(0, count[:-1])  # of the n-gram that ends at the word before
         return np.bincount(self.doc, score, minlength=len(self.n_words)).astype(np.float64)
 
 
-def _size(least: int, corpus_bytes: int) -> int:
-    """Bytes of a chunk or bucket. A row has one chunk's n-grams of one bucket, so both grow with the root of the corpus, up to MOST_BYTES, to keep some in each row."""
-    return max(least, min(MOST_BYTES, math.isqrt(80 * corpus_bytes)))
-
+def _cut(keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges, by all bits above the lowest `shift`, that sorted keys lie in: (range numbers, bounds)."""
+    prefix = keys >> np.uint64(shift)
+    first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(keys)])
+    return prefix[first].astype(np.int64), np.append(first, len(keys))
 
-def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of 2**bits equal ranges of hashes begins among sorted keys, and their end."""
-    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
 
+def _chunked(rows: DataFrame, chunk_bytes: int, side: int) -> DataFrame:
+    """(chunk, n_words, ids, sizes, texts): texts one after the other, compressed."""
 
-def _corpus_words(rows: DataFrame) -> int:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            cells = [(part << 33) + 2 * k + side, count_words(held), ids, list(map(len, held)), _compressor().compress(b"".join(held))]
+            return pa.record_batch([pa.array([c], t.type) for c, t in zip(cells, schema, strict=True)], schema)
+
         for b in batches:
-            texts = b.column("text").to_pylist()
-            yield pa.record_batch([pa.array([sum(count_words(texts[a:z]) for a, z in stretches(texts, CHUNK_BYTES))])], ["n"])
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if held and n + len(text) > chunk_bytes:
+                    yield row()
+                    k, held, ids, n = k + 1, [], [], 0
+                held.append(text)
+                ids.append(i)
+                n += len(text)
+        if held:
+            yield row()
+
+    schema = pa.schema([("chunk", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
+    return written(rows.mapInArrow(of, "chunk long, n_words long, ids array<long>, sizes array<long>, texts binary"), "lm_chunks")
+
+
+def _texts(sizes: list[int], cell: bytes) -> list[bytes]:
+    raw, ends = _decompressor().decompress(cell), np.cumsum([0, *sizes]).tolist()
+    return [raw[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
-    return rows.select("text").mapInArrow(of, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
+_SENT = "node long, bucket long, n long, keys binary, counts binary, adds boolean"
+_SENT_SCHEMA = pa.schema([("node", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("adds", pa.bool_())])
+_ANSWER = "node long, bucket long, adds boolean, more binary"
 
-def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, backoff: float = BACKOFF, exclude_self: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_ANSWER_SCHEMA = pa.schema([("node", pa.int64()), ("bucket", pa.int64()), ("adds", pa.bool_()), ("more", pa.binary())])
+
+
+def _sent(node: int, keys: np.ndarray, count: np.ndarray, adds: bool, shift: int) -> pa.RecordBatch:
+    bucket, at = _cut(keys, shift)
+    ranges = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    cells = [[node] * len(ranges), bucket, np.diff(at), [_packed(keys[a:z]) for a, z in ranges], [_packed_counts(count[a:z] - 1) for a, z in ranges], [adds] * len(ranges)]
+    return pa.record_batch([pa.array(c, t.type) for c, t in zip(cells, _SENT_SCHEMA, strict=True)], _SENT_SCHEMA)
+
+
+class _Merged:
+    """The rows that meet in a hash range: their sorted distinct keys, what they add up to, and where each row's keys lie among them."""
+
+    def __init__(self, t: pa.Table):
+        self.rows = list(zip(t["node"].to_pylist(), t["bucket"].to_pylist(), t["adds"].to_pylist(), strict=True))
+        sizes = t["n"].to_pylist()
+        keys = [_unpacked(c, n) for c, n in zip(t["keys"].to_pylist(), sizes, strict=True)]
+        # what a row itself adds: nothing if it only asks
+        self.counts = [(_unpacked_counts(c, n) + 1) * a for c, n, a in zip(t["counts"].to_pylist(), sizes, t["adds"].to_pylist(), strict=True)]
+        every = np.concatenate(keys)
+        by = np.argsort(every, kind="stable")
+        in_order = every[by]
+        new = np.append(True, in_order[1:] != in_order[:-1])
+        self.keys = in_order[new]
+        of = np.empty(len(every), np.int32)
+        of[by] = np.cumsum(new, dtype=np.int32) - 1
+        self.of = np.split(of, np.cumsum(sizes)[:-1])
+        self.total = np.zeros(len(self.keys), np.int64)
+        for x, n in zip(self.of, self.counts, strict=True):
+            self.total[x] += n
+
+    def answers(self, more: np.ndarray | int = 0) -> pa.Table:
+        """Of each row: what others have of its keys, without rows that only have their own. more: what there is besides these rows."""
+        total = self.total + more
+        found = ((row, total[x] - n) for row, x, n in zip(self.rows, self.of, self.counts, strict=True))
+        kept = [(*row, _packed_counts(x)) for row, x in found if x.any()]
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*kept, strict=True) if kept else [()] * 4, _ANSWER_SCHEMA, strict=True)], _ANSWER_SCHEMA)
+
+
+def _answered(sent: DataFrame, nodes: int, levels: int, bits: int, depth: int = 1) -> DataFrame:
+    """(node, bucket, more) for sent rows that are cut by depth * bits bits of the hash."""
+    if depth == levels:
+        return sent.groupBy("bucket").applyInArrow(lambda key, t: _Merged(t).answers(), _ANSWER)
+    groups = math.ceil(nodes / (1 << bits))
+    grouped = sent.withColumn("of", F.pmod(F.xxhash64("node"), F.lit(groups)))
+    shift = 64 - bits * (depth + 1)
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        m = _Merged(t)
+        asks = m.total == 0  # keys that are only asked for
+        parts = [_sent(key[0].as_py(), m.keys[~asks], m.total[~asks], True, shift), _sent(key[0].as_py(), m.keys[asks], np.ones(int(asks.sum()), np.int64), False, shift)]
+        return pa.Table.from_batches(parts)
+
+    above = _answered(grouped.groupBy("of", "bucket").applyInArrow(merge, _SENT), groups, levels, bits, depth + 1)
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise ValueError("an answer without a question")
+        m = _Merged(left)
+        more = np.zeros(len(m.keys), np.int64)
+        answered = {}
+        for bucket, adds, cell in zip(right["bucket"].to_pylist(), right["adds"].to_pylist(), right["more"].to_pylist(), strict=True):
+            answered[bucket, adds] = cell
+        asks = m.total == 0
+        for adds, at in ((True, np.flatnonzero(~asks)), (False, np.flatnonzero(asks))):
+            bucket, ends = _cut(m.keys[at], shift)
+            for b, a, z in zip(bucket.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if (b, adds) in answered:
+                    more[at[a:z]] = _unpacked_counts(answered[b, adds], z - a)
+        return m.answers(more)
+
+    below = above.withColumn("prefix", F.shiftright("bucket", bits))
+    return grouped.groupBy("of", "bucket").cogroup(below.groupBy("node", "prefix")).applyInArrow(back, _ANSWER)
+
+
+def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, backoff: float = BACKOFF, exclude_self: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, score.
 
     score: the sum over the words of log10 S, where S is the count of the n-gram
@@ -124,57 +272,42 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z
     lower-cased. A null or empty text has no words and the score 0; repeated
-    rows count and are scored each; an empty table gives an empty result; other
-    columns are not read. N-grams are told apart by 64 bits.
+    rows count and are scored each; a very long text is scored whole, in a chunk
+    of its own; an empty table gives an empty result; other columns are not
+    read. N-grams are told apart by 64 bits. The sizes bound memory and change
+    no result.
     """
-    rows = id_and_bytes(docs, id_col, text_col)
-    size = F.coalesce(F.sum(F.length("text")), F.lit(0))
-    total = (rows if corpus is None else id_and_bytes(corpus, id_col, text_col)).agg(size).first()[0]
-    own = total if corpus is None else rows.agg(size).first()[0]
-    bits = max(LEAST, math.ceil(total / _size(BUCKET_BYTES, total))).bit_length()
-
-    def dealt(rows: DataFrame, n_bytes: int, side: int) -> DataFrame:
-        return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(LEAST, math.ceil(n_bytes / _size(CHUNK_BYTES, total))))) * 2 + side)
-
-    def ask(key: tuple, t: pa.Table) -> pa.Table:
-        grams = Ngrams(t["text"].to_pylist(), order)
-        cut = _bounds(grams.distinct, bits)
-        full = np.flatnonzero(np.diff(cut))
-        count = grams.count.astype("<u4")
-        ranges = [(cut[b], cut[b + 1]) for b in full]
-        keys = pa.array([_packed(grams.distinct[a:z]) for a, z in ranges], pa.binary())
-        counts = pa.array([count[a:z].tobytes() for a, z in ranges], pa.binary())
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "bucket": pa.array(full), "keys": keys, "counts": counts})
-
-    def answer(key: tuple, t: pa.Table) -> pa.Table:
-        keys = [_unpacked(x) for x in t["keys"].to_pylist()]
-        ends = np.cumsum([len(k) for k in keys])
-        every = np.concatenate(keys)
-        counts = np.concatenate([np.frombuffer(x, "<u4") * np.int64(a) for x, a in zip(t["counts"].to_pylist(), t["adds"].to_pylist(), strict=True)])
-        by = np.argsort(every, kind="stable")
-        in_order = every[by]
-        new = np.append(True, in_order[1:] != in_order[:-1])
-        summed = np.empty(len(every), np.int64)
-        summed[by] = np.add.reduceat(counts[by], np.flatnonzero(new))[np.cumsum(new) - 1]
-        asks = [(c, x) for c, x, a in zip(t["chunk"].to_pylist(), np.split(summed, ends[:-1]), t["asks"].to_pylist(), strict=True) if a]
-        kind = "<u4" if summed.max(initial=0) < 1 << 32 else "<u8"
-        return pa.table({"chunk": pa.array([c for c, _ in asks], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(asks), pa.int64()), "totals": pa.array([x.astype(kind).tobytes() for _, x in asks], pa.binary()), "width": pa.array([int(kind[2])] * len(asks), pa.int32())})
-
-    asked = "chunk long, bucket long, keys binary, counts binary"
-    mine = dealt(rows, own, 0)
-    requests = mine.groupBy("chunk").applyInArrow(ask, asked).withColumn("asks", F.lit(True)).withColumn("adds", F.lit(corpus is None))
-    if corpus is None:
-        counted = requests
-    else:
-        known = dealt(id_and_bytes(corpus, id_col, text_col), total, 1).groupBy("chunk").applyInArrow(ask, asked)
-        counted = known.withColumn("asks", F.lit(False)).withColumn("adds", F.lit(True)).unionByName(requests)
-    answers = counted.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary, width int")
-    corpus_words = _corpus_words(rows if corpus is None else id_and_bytes(corpus, id_col, text_col))
+    chunks = _chunked(id_and_bytes(docs, id_col, text_col), chunk_bytes, 0)
+    known = chunks if corpus is None else _chunked(id_and_bytes(corpus, id_col, text_col), chunk_bytes, 1)
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    n_chunks, corpus_words, n_bytes = known.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    inside = corpus is None
+    levels = max(1, math.ceil(math.log2(max(1.0, n_bytes / bucket_bytes)) / fan_bits))
+
+    def asked(rows: DataFrame, adds: bool) -> DataFrame:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):  # a chunk at a time
+                    grams = Ngrams(_texts(b.column("sizes")[k].as_py(), b.column("texts")[k].as_py()), order)
+                    yield _sent(b.column("chunk")[k].as_py(), grams.distinct, grams.count, adds, 64 - fan_bits)
+
+        return rows.select("chunk", "sizes", "texts").mapInArrow(of, _SENT)
+
+    sent = asked(chunks, inside)
+    nodes = n_chunks
+    if not inside:
+        sent, nodes = sent.unionByName(asked(known, True)), n_chunks + chunks.count()
+    # chunks of docs are even; those of the corpus only add
+    answers = _answered(sent, nodes, levels, fan_bits).withColumnRenamed("node", "chunk").filter("chunk % 2 = 0")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = Ngrams(left["text"].to_pylist(), order)
-        cells = sorted(zip(right["bucket"].to_pylist(), right["totals"].to_pylist(), right["width"].to_pylist(), strict=True))
-        totals = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, f"<u{w}").astype(np.int64) for _, x, w in cells)])
-        return pa.table({"doc_id": left["doc_id"], "n_words": pa.array(grams.n_words), "score": pa.array(grams.scores(totals, corpus_words, backoff, exclude_self))})
-
-    return mine.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")
+        grams = Ngrams(_texts(left["sizes"][0].as_py(), left["texts"][0].as_py()), order)
+        totals = grams.count.copy() if inside else np.zeros(len(grams.distinct), np.int64)
+        bucket, at = _cut(grams.distinct, 64 - fan_bits)
+        own = {b: (a, z) for b, a, z in zip(bucket.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        for b, cell in zip(right["bucket"].to_pylist(), right["more"].to_pylist(), strict=True):
+            a, z = own[b]
+            totals[a:z] += _unpacked_counts(cell, z - a)
+        return pa.table({"doc_id": pa.array(left["ids"][0].as_py(), pa.int64()), "n_words": pa.array(grams.n_words), "score": pa.array(grams.scores(totals, corpus_words, backoff, exclude_self))})
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")

@@ -124,22 +124,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP4_SQL = f"""
 WITH doc AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents),
-word AS (SELECT doc_id, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM doc),
-pair AS (SELECT doc_id, i, b, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM word),
-uni AS (SELECT doc_id, b, count(*) AS n FROM word GROUP BY ALL),
-uni_all AS (SELECT b, sum(n) AS n FROM uni GROUP BY b),
-bi AS (SELECT doc_id, a, b, count(*) AS n FROM pair WHERE a IS NOT NULL GROUP BY ALL),
-bi_all AS (SELECT a, b, sum(n) AS n FROM bi GROUP BY ALL),
+word AS (SELECT doc_id, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM doc),
+gram AS (SELECT doc_id, i, c, lag(c) OVER d AS b, lag(c, 2) OVER d AS a FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+uni AS (SELECT doc_id, c, count(*) AS n FROM word GROUP BY ALL),
+uni_all AS (SELECT c, sum(n) AS n FROM uni GROUP BY ALL),
+bi AS (SELECT doc_id, b, c, count(*) AS n FROM gram WHERE b IS NOT NULL GROUP BY ALL),
+bi_all AS (SELECT b, c, sum(n) AS n FROM bi GROUP BY ALL),
+tri AS (SELECT doc_id, a, b, c, count(*) AS n FROM gram WHERE a IS NOT NULL GROUP BY ALL),
+tri_all AS (SELECT a, b, c, sum(n) AS n FROM tri GROUP BY ALL),
 size AS (SELECT doc_id, len(w) AS n FROM doc),
 total AS (SELECT sum(n) AS n FROM size),
-found AS (SELECT pair.doc_id, pair.a, bi_all.n - bi.n AS n_ab, ua.n - oa.n AS n_a, ub.n - ob.n AS n_b, greatest(total.n - size.n, 1) AS n_all
-          FROM pair JOIN size USING (doc_id) CROSS JOIN total
-          LEFT JOIN bi ON bi.doc_id = pair.doc_id AND bi.a = pair.a AND bi.b = pair.b
-          LEFT JOIN bi_all ON bi_all.a = pair.a AND bi_all.b = pair.b
-          JOIN uni ob ON ob.doc_id = pair.doc_id AND ob.b = pair.b JOIN uni_all ub ON ub.b = pair.b
-          LEFT JOIN uni oa ON oa.doc_id = pair.doc_id AND oa.b = pair.a LEFT JOIN uni_all ua ON ua.b = pair.a),
-scored AS (SELECT doc_id, sum(CASE WHEN n_ab > 0 THEN log10(n_ab) - log10(n_a)
-                                   ELSE log10(greatest(n_b, 1)) - log10(n_all) + CASE WHEN a IS NULL THEN 0 ELSE log10(0.4) END END) AS s
+others_1 AS (SELECT doc_id, c, uni_all.n - uni.n AS n FROM uni JOIN uni_all USING (c)),
+others_2 AS (SELECT doc_id, b, c, bi_all.n - bi.n AS n FROM bi JOIN bi_all USING (b, c)),
+others_3 AS (SELECT doc_id, a, b, c, tri_all.n - tri.n AS n FROM tri JOIN tri_all USING (a, b, c)),
+found AS (SELECT g.doc_id, g.a, g.b, t.n AS n_abc, ab.n AS n_ab, bc.n AS n_bc, ub.n AS n_b, uc.n AS n_c, greatest(total.n - size.n, 1) AS n_all
+          FROM gram g JOIN size USING (doc_id) CROSS JOIN total JOIN others_1 uc ON uc.doc_id = g.doc_id AND uc.c = g.c
+          LEFT JOIN others_1 ub ON ub.doc_id = g.doc_id AND ub.c = g.b
+          LEFT JOIN others_2 bc ON bc.doc_id = g.doc_id AND bc.b = g.b AND bc.c = g.c
+          LEFT JOIN others_2 ab ON ab.doc_id = g.doc_id AND ab.b = g.a AND ab.c = g.b
+          LEFT JOIN others_3 t ON t.doc_id = g.doc_id AND t.a = g.a AND t.b = g.b AND t.c = g.c),
+scored AS (SELECT doc_id, sum(CASE WHEN n_abc > 0 THEN log10(n_abc) - log10(n_ab)
+                                   WHEN n_bc > 0 THEN log10(n_bc) - log10(n_b) + CASE WHEN a IS NULL THEN 0 ELSE log10(0.4) END
+                                   ELSE log10(greatest(n_c, 1)) - log10(n_all) + CASE WHEN b IS NULL THEN 0 WHEN a IS NULL THEN log10(0.4) ELSE 2 * log10(0.4) END END) AS s
            FROM found GROUP BY doc_id)
 SELECT doc_id, CAST(size.n AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS score FROM size LEFT JOIN scored USING (doc_id)
 """

@@ -203,6 +203,21 @@ def test_lm_scores(spark, order):
     want = sorted(plain_scores(texts, [r.text for r in corpus.collect()], order, False))
     assert np.allclose(sorted((r.n_words, r.score) for r in held.collect()), want)
     assert lm_scoring.lm_scores(empty(spark), order=order).count() == 0
+    if order == 3:  # many chunks, and count tables in three levels
+        small = {"chunk_bytes": 40, "bucket_bytes": 60, "fan_bits": 1}
+        got = sorted((r.n_words, r.score) for r in lm_scoring.lm_scores(docs, order=order, **small).collect())
+        assert np.allclose(got, sorted(plain_scores(texts, texts, order, True)))
+        held = lm_scoring.lm_scores(docs, corpus, order, exclude_self=False, **small)
+        assert np.allclose(sorted((r.n_words, r.score) for r in held.collect()), want)
+
+
+@settings(max_examples=40)
+@given(st.sets(st.integers(0, (1 << 64) - 1), max_size=50), st.lists(st.sampled_from([0, 0, 0, 1, 255, 256, 1 << 40]), max_size=50))
+def test_packed_ngrams(keys, counts):
+    keys = np.array(sorted(keys), np.uint64)
+    assert np.array_equal(lm_scoring._unpacked(lm_scoring._packed(keys), len(keys)), keys)
+    counts = np.array(counts, np.int64)
+    assert np.array_equal(lm_scoring._unpacked_counts(lm_scoring._packed_counts(counts), len(counts)), counts)
 
 
 def plain_line_dedup(texts, least):
