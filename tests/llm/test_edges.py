@@ -96,11 +96,35 @@ def test_links_are_complete(spark):
         if all(root[a] == root[b] for a in fps for b in fps if (a ^ b).bit_count() <= 2):
             break
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    for bits in (1, 2, 4):
-        got = {r.node % (1 << 64): r.component % (1 << 64) for r in connected_components(simhash.links(df, bits)).collect()}
+    true = {(min(a, b, key=signed), max(a, b, key=signed)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2}
+    for bits, most in ((1, 64), (2, 64), (4, 64), (8, 1000), (2, 2), (4, 5)):
+        edges = simhash.links(df, bits, most)
+        found = {(r.a % (1 << 64), r.b % (1 << 64)) for r in edges.collect()}
+        assert found <= true and (most < 64 or found == true)
+        got = {r.node % (1 << 64): r.component % (1 << 64) for r in connected_components(edges).collect()}
         assert all(got.get(x, x) == root[x] for x in fps)
 
 
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=8), st.sampled_from([1, 2, 4, 8]), st.lists(st.integers(0, 63), max_size=2))
+def test_grid_neighbours_share_a_cell(fps, bits, flips):
+    """A fingerprint and one with two bits changed meet in a cell, and all that meet in a cell are within distance 2."""
+    other = fps[0]
+    for f in flips:
+        other ^= 1 << f
+    x = np.array([*fps, other], np.uint64)
+    cells, i = simhash._around(simhash._cell_of(x, bits), bits)
+    own = [set(cells[i == k].tolist()) for k in range(len(x))]
+    assert own[0] & own[-1]
+    counts = simhash.segment_popcounts(x, bits).astype(int)
+    for a in range(len(x)):
+        for b in range(len(x)):
+            assert bool(own[a] & own[b]) == (np.abs(counts[a] - counts[b]).sum() <= 2)
+
+
 @given(st.integers(0, (1 << 64) - 1), st.integers(0, (1 << 64) - 1), st.sampled_from([1, 2, 4, 8]))
 def test_popcounts_bound_from_below(a, b, bits):
     p = simhash.segment_popcounts(np.array([a, b], np.uint64), bits).astype(int)
