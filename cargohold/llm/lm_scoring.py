@@ -33,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import Words, count_words, id_and_bytes, mixed, written
+from cargohold.llm.common import Words, count_words, id_and_bytes, mixed, stretches, written
 
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and of the corpus text whose n-grams meet in a hash range, on average.
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+#: Bytes of text whose words are found at once.
+STEP_BYTES = 2 << 20
 #: Bits of the hash that cut a row's n-grams on their way to the next level.
 FAN_BITS = 10
 #: Planes of a difference of sorted hashes that are as good as random, and not compressed.
@@ -49,6 +51,11 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=1)
 
 
+@functools.cache
+def _text_compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=6)
+
+
 @functools.cache
 def _decompressor() -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor()
@@ -87,43 +94,66 @@ class Ngrams:
     """The n-grams of a chunk's texts, up to an order.
 
     An n-gram is known by a hash; `distinct` has the sorted ones of all orders,
-    found `count` times in the chunk. For each order: the words that its n-grams
-    end at, their places in `distinct`, and how often the word's document has
-    them.
+    found `count` times in the chunk. Unless only those are asked for, there are
+    for each order the words that its n-grams end at, their places in
+    `distinct`, and how often the word's document has them.
     """
 
-    def __init__(self, texts: list[bytes], order: int):
-        words = Words(texts)
-        self.n_words = words.counts(len(texts))
-        self.doc, self.n = words.doc, len(words.hash)
-        depth = np.arange(self.n) - (np.cumsum(self.n_words) - self.n_words)[words.doc]  # words before it in the document
+    def __init__(self, texts: list[bytes], order: int, only_counts: bool = False):
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, z in stretches(texts, STEP_BYTES):
+            words = Words(texts[a:z])
+            hashes.append(words.hash)
+            counts.append(words.counts(z - a))
+        del texts
+        self.n_words, word = np.concatenate(counts), np.concatenate(hashes)
+        self.doc, self.n = np.repeat(np.arange(len(self.n_words), dtype=np.int32), self.n_words), len(word)
+        first = np.cumsum(self.n_words) - self.n_words
+        starts = np.zeros(self.n + 1, np.bool_)
+        starts[first] = True  # where a document begins; one place beyond the last word for empty ones
         self.ends, of, self.own, distinct, count = [], [], [], [], []
-        h = words.hash
+        h, early = word, np.zeros(self.n, np.bool_)  # words with too few before them
         for o in range(1, order + 1):
             if o > 1:
-                h = mixed(np.append(np.uint64(0), h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + words.hash + np.uint64(o))
-            fit = np.flatnonzero(depth >= o - 1).astype(np.int32)
+                h = mixed(np.append(np.uint64(0), h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(o))
+                early[o - 2 :] |= starts[: self.n - (o - 2)]
+            fit = np.flatnonzero(~early).astype(np.int32)
             keys = h[fit]
-            by = np.argsort(keys, kind="stable")
-            in_order, doc = keys[by], self.doc[fit[by]]
+            if only_counts:
+                in_order = np.sort(keys)
+            else:
+                by = np.argsort(keys).astype(np.int32)
+                in_order = keys[by]
             new = np.append(True, in_order[1:] != in_order[:-1])[: len(keys)]
-            # occurrences of a key stand in order of documents, so a document's own are neighbours
-            start = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1])[: len(keys)])
-            size = np.diff(np.append(start, len(keys)))
-            place, own = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
-            place[by], own[by] = np.cumsum(new, dtype=np.int32) - 1, np.repeat(size, size)
-            self.ends.append(fit)
-            of.append(place)
-            self.own.append(own)
             distinct.append(in_order[new])
             count.append(np.diff(np.append(np.flatnonzero(new), len(keys))))
+            if only_counts:
+                continue
+            place = np.empty(len(keys), np.int32)
+            place[by] = np.cumsum(new, dtype=np.int32) - 1
+            self.ends.append(fit)
+            of.append(place)
+            self.own.append(self._own(place, self.doc[fit], count[-1]))
         every = np.concatenate(distinct)
-        by = np.argsort(every, kind="stable")
+        by = np.argsort(every).astype(np.int32)
         self.distinct, self.count = every[by], np.concatenate(count)[by]
         back = np.empty(len(every), np.int32)
         back[by] = np.arange(len(every), dtype=np.int32)
         base = np.cumsum([0, *map(len, distinct)])
-        self.of = [back[a + x] for a, x in zip(base[:-1].tolist(), of, strict=True)]
+        self.of = [back[a + x] for a, x in zip(base[:-1].tolist(), of, strict=False)]
+
+    @staticmethod
+    def _own(place: np.ndarray, doc: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """For each occurrence of an n-gram, those in the same document. Occurrences stand in order of documents."""
+        own = np.ones(len(place), np.int32)
+        at = np.flatnonzero(count[place] > 1)
+        code = np.sort(place[at].astype(np.int64) << 32 | at)  # by n-gram, then by document
+        at = code & 0xFFFFFFFF
+        gram, doc = code >> 32, doc[at]
+        start = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))[: len(at)])
+        size = np.diff(np.append(start, len(at)))
+        own[at] = np.repeat(size, size)
+        return own
 
     def scores(self, totals: np.ndarray, corpus_words: int, backoff: float, exclude_self: bool) -> np.ndarray:
         """Of each text: the sum over its words of log10 of the backed-off relative frequency. totals: of `distinct`."""
@@ -158,7 +188,8 @@ def _chunked(rows: DataFrame, chunk_bytes: int, side: int) -> DataFrame:
         part, k, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row() -> pa.RecordBatch:
-            cells = [(part << 33) + 2 * k + side, count_words(held), ids, list(map(len, held)), _compressor().compress(b"".join(held))]
+            words = sum(count_words(held[a:z]) for a, z in stretches(held, STEP_BYTES))
+            cells = [(part << 33) + 2 * k + side, words, ids, list(map(len, held)), _text_compressor().compress(b"".join(held))]
             return pa.record_batch([pa.array([c], t.type) for c, t in zip(cells, schema, strict=True)], schema)
 
         for b in batches:
@@ -205,7 +236,7 @@ class _Merged:
         # what a row itself adds: nothing if it only asks
         self.counts = [(_unpacked_counts(c, n) + 1) * a for c, n, a in zip(t["counts"].to_pylist(), sizes, t["adds"].to_pylist(), strict=True)]
         every = np.concatenate(keys)
-        by = np.argsort(every, kind="stable")
+        by = np.argsort(every).astype(np.int32)
         in_order = every[by]
         new = np.append(True, in_order[1:] != in_order[:-1])
         self.keys = in_order[new]
@@ -288,7 +319,7 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k in range(b.num_rows):  # a chunk at a time
-                    grams = Ngrams(_texts(b.column("sizes")[k].as_py(), b.column("texts")[k].as_py()), order)
+                    grams = Ngrams(_texts(b.column("sizes")[k].as_py(), b.column("texts")[k].as_py()), order, only_counts=True)
                     yield _sent(b.column("chunk")[k].as_py(), grams.distinct, grams.count, adds, 64 - fan_bits)
 
         return rows.select("chunk", "sizes", "texts").mapInArrow(of, _SENT)
