@@ -180,17 +180,67 @@ def test_decontamination(spark):
     assert decontamination.contamination(empty(spark), benchmark).count() == 0
 
 
-@settings(max_examples=60)
-@given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=6), min_size=1, max_size=5))
-def test_suffix_array(text, windows):
-    text, width = np.array(text, np.int64), max(map(len, windows))
+@settings(max_examples=100)
+@given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=9), min_size=1, max_size=5))
+def test_suffix_array(text, items):
+    """Ranges by binary search are all occurrences, and a neighbour has the longest common prefix."""
+    text, width = np.array([*text, 0], np.int32), max(map(len, items))
     order = decontamination.suffix_array(text, width)
-    padded = np.full((len(windows), width), -1)
-    for k, w in enumerate(windows):
-        padded[k, : len(w)] = w
-    low, high = decontamination.equal_ranges(text, order, padded, np.array([len(w) for w in windows]))
-    for k, w in enumerate(windows):
+    ids, stop = np.concatenate([np.array(w, np.int32) for w in items]), np.cumsum(list(map(len, items)))
+    at = stop - list(map(len, items))
+    padded = np.append(text, np.zeros(width, np.int32))
+    low, high = (decontamination.searched(padded, order, ids, at, stop, past) for past in (False, True))
+    for k, w in enumerate(items):
         assert sorted(order[low[k] : high[k]].tolist()) == [i for i in range(len(text)) if text[i : i + len(w)].tolist() == w]
+        longest = max(next((j for j in range(len(w)) if i + j >= len(text) or text[i + j] != w[j]), len(w)) for i in range(len(text)))
+        near = [order[j] for j in (low[k] - 1, low[k]) if 0 <= j < len(order)]
+        assert max(decontamination._common(padded, np.array([i]), ids, at[k : k + 1], np.array([len(w)]))[0] for i in near) == longest
+
+
+WORD = st.sampled_from("a b c d".split())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(WORD, max_size=12), min_size=1, max_size=4), st.lists(st.lists(WORD, max_size=9), min_size=1, max_size=6), st.integers(1, 5), st.sampled_from([1, 2]))
+def test_shard_finds_every_window(docs, items, window, n_blocks):
+    """Hits, items and longest matches against plain loops, for benchmarks in one block and in two."""
+
+    class Block:
+        def __init__(self, part):
+            self.value = decontamination.TestItems([(str(k), " ".join(w).encode()) for k, w in part], window)
+
+    parts = list(enumerate(items))
+    s = decontamination.Shard([" ".join(w).encode() for w in docs], [Block(parts[k::n_blocks]) for k in range(n_blocks)], True, True)
+    for d, w in enumerate(docs):
+        hit, names = set(), set()
+        for k, item in parts:
+            n = min(window, len(item))
+            for i in range(len(item) - n + 1 if n else 0):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == item[i : i + n]:
+                        hit |= set(range(p, p + n))
+                        names.add(str(k))
+        assert (s.n_hit[d], s.items[d]) == (len(hit), names)
+        assert {m[0] for m in s.matches[d]} == names
+        for name, i, p, n in s.matches[d]:
+            item = items[int(name)]
+            assert item[i : i + n] == w[p : p + n] and n >= min(window, len(item))
+            assert i + n == len(item) or p + n == len(w) or item[i + n] != w[p + n]
+
+
+def test_decontamination_in_blocks_and_passes(spark):
+    """Many blocks, several passes, and a document longer than a shard, against one block and pass."""
+    shared = " ".join(f"s{k}" for k in range(15))
+    items = [(k, f"own {k} words of item {k} {shared} and {k} more") for k in range(40)] + [(99, "brief")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"x {shared} y " * 50), (2, "nothing to see"), (3, items[7][1]), (4, "so brief it is"), (5, ("filler words only " * 450_000) + items[3][1]), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = [{r.doc_id: (r.n_words, r.n_hit, r.items, sorted(map(tuple, r.matches))) for r in decontamination.contamination(docs, benchmark, **sizes).collect()} for sizes in ({}, {"block_bytes": 200, "pass_blocks": 3})]
+    assert got[0] == got[1]
+    assert got[0][1][1] == 15 * 50 and len(got[0][1][2]) == 40 and len(got[0][1][3]) == 40  # one match an item, however often repeated
+    assert got[0][2][1:3] == (0, []) and got[0][4][1:3] == (1, ["99"]) and "3" in got[0][5][2] and got[0][6] == (0, 0, [], [])
+    for sizes in ({}, {"block_bytes": 200, "pass_blocks": 3}):
+        assert {r.doc_id for r in decontamination.decontaminated(docs, benchmark, **sizes).collect()} == {2, 6}
 
 
 def plain_scores(texts, corpus, order, exclude):
