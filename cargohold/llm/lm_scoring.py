@@ -91,87 +91,78 @@ def _unpacked_counts(cell: bytes, n: int) -> np.ndarray:
 
 
 class Ngrams:
-    """The n-grams of a chunk's texts, up to an order.
+    """The n-grams of texts, by a hash of each, up to an order. Orders are gone through one by one, so that only one order's are held."""
 
-    An n-gram is known by a hash; `distinct` has the sorted ones of all orders,
-    found `count` times in the chunk. Unless only those are asked for, there are
-    for each order the words that its n-grams end at, their places in
-    `distinct`, and how often the word's document has them.
-    """
-
-    def __init__(self, texts: list[bytes], order: int, only_counts: bool = False):
+    def __init__(self, texts: list[bytes], order: int):
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, z in stretches(texts, STEP_BYTES):
             words = Words(texts[a:z])
             hashes.append(words.hash)
             counts.append(words.counts(z - a))
-        del texts
-        self.n_words, word = np.concatenate(counts), np.concatenate(hashes)
-        self.doc, self.n = np.repeat(np.arange(len(self.n_words), dtype=np.int32), self.n_words), len(word)
-        first = np.cumsum(self.n_words) - self.n_words
-        starts = np.zeros(self.n + 1, np.bool_)
-        starts[first] = True  # where a document begins; one place beyond the last word for empty ones
-        self.ends, of, self.own, distinct, count = [], [], [], [], []
-        h, early = word, np.zeros(self.n, np.bool_)  # words with too few before them
-        for o in range(1, order + 1):
+        self.order, self.n_words, self.word = order, np.concatenate(counts), np.concatenate(hashes)
+
+    def occurrences(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each order: the words that its n-grams end at, and those n-grams."""
+        n = len(self.word)
+        starts = np.zeros(n + 1, np.bool_)
+        starts[np.cumsum(self.n_words) - self.n_words] = True  # where a document begins; for empty ones at the end, beyond the last word
+        h, early = self.word, np.zeros(n, np.bool_)  # words with too few before them
+        for o in range(1, self.order + 1):
             if o > 1:
-                h = mixed(np.append(np.uint64(0), h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(o))
-                early[o - 2 :] |= starts[: self.n - (o - 2)]
+                h = mixed(np.append(np.uint64(0), h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + self.word + np.uint64(o))
+                early[o - 2 :] |= starts[: max(n - (o - 2), 0)]
             fit = np.flatnonzero(~early).astype(np.int32)
-            keys = h[fit]
-            if only_counts:
-                in_order = np.sort(keys)
-            else:
-                by = np.argsort(keys).astype(np.int32)
-                in_order = keys[by]
-            new = np.append(True, in_order[1:] != in_order[:-1])[: len(keys)]
-            distinct.append(in_order[new])
-            count.append(np.diff(np.append(np.flatnonzero(new), len(keys))))
-            if only_counts:
-                continue
-            place = np.empty(len(keys), np.int32)
-            place[by] = np.cumsum(new, dtype=np.int32) - 1
-            self.ends.append(fit)
-            of.append(place)
-            self.own.append(self._own(place, self.doc[fit], count[-1]))
+            yield fit, h[fit]
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct n-grams of all orders, and how often each is found."""
+        distinct, count = [], []
+        for _, keys in self.occurrences():
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            distinct.append(keys[first])
+            count.append(np.diff(np.append(first, len(keys))).astype(np.int32))
         every = np.concatenate(distinct)
-        by = np.argsort(every).astype(np.int32)
-        self.distinct, self.count = every[by], np.concatenate(count)[by]
-        back = np.empty(len(every), np.int32)
-        back[by] = np.arange(len(every), dtype=np.int32)
-        base = np.cumsum([0, *map(len, distinct)])
-        self.of = [back[a + x] for a, x in zip(base[:-1].tolist(), of, strict=False)]
-
-    @staticmethod
-    def _own(place: np.ndarray, doc: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """For each occurrence of an n-gram, those in the same document. Occurrences stand in order of documents."""
-        own = np.ones(len(place), np.int32)
-        at = np.flatnonzero(count[place] > 1)
-        code = np.sort(place[at].astype(np.int64) << 32 | at)  # by n-gram, then by document
-        at = code & 0xFFFFFFFF
-        gram, doc = code >> 32, doc[at]
-        start = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))[: len(at)])
-        size = np.diff(np.append(start, len(at)))
-        own[at] = np.repeat(size, size)
-        return own
-
-    def scores(self, totals: np.ndarray, corpus_words: int, backoff: float, exclude_self: bool) -> np.ndarray:
-        """Of each text: the sum over its words of log10 of the backed-off relative frequency. totals: of `distinct`."""
-        corpus = np.maximum(corpus_words - (self.n_words[self.doc] if exclude_self else 0), 1)
-        score, context = np.zeros(self.n), np.zeros(0, np.int64)
-        for o, (ends, of, own) in enumerate(zip(self.ends, self.of, self.own, strict=True), 1):
-            count = np.zeros(self.n, np.int64)
-            count[ends] = totals[of] - (own if exclude_self else 0)
+        by = np.argsort(every)
+        return every[by], np.concatenate(count)[by]
+
+    def scores(self, distinct: np.ndarray, totals: np.ndarray, corpus_words: int, backoff: float, exclude_self: bool) -> np.ndarray:
+        """Of each text: the sum over its words of log10 of the backed-off relative frequency. totals: of `distinct`, which has all n-grams of the texts."""
+        n = len(self.word)
+        doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        score, context = np.zeros(n), np.zeros(0, np.int64)
+        for o, (ends, keys) in enumerate(self.occurrences(), 1):
+            by = np.argsort(keys)
+            keys = keys[by]
+            new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            place = np.empty(len(keys), np.int64)
+            place[by] = np.cumsum(new) - 1
+            count = np.zeros(n, np.int64)
+            count[ends] = totals[np.searchsorted(distinct, keys[new])][place]
+            if exclude_self:
+                count[ends] -= _in_document(place, doc[ends])
             if o == 1:
-                score = np.log10(np.maximum(count, 1)) - np.log10(corpus)
+                corpus = np.maximum(corpus_words - (self.n_words if exclude_self else 0 * self.n_words), 1)
+                score = np.log10(np.maximum(count, 1)) - np.log10(corpus)[doc]
             else:  # the higher order wins where it has been seen
-                fits = np.zeros(self.n, np.bool_)
-                fits[ends] = True
-                seen = fits & (count > 0)
-                backed = np.where(fits, score + math.log10(backoff), score)
-                score = np.where(seen, np.log10(np.maximum(count, 1)) - np.log10(np.maximum(context, 1)), backed)
+                score[ends] += math.log10(backoff)
+                seen = np.flatnonzero(count > 0)
+                score[seen] = np.log10(count[seen]) - np.log10(np.maximum(context[seen], 1))
             context = np.append(0, count[:-1])  # of the n-gram that ends at the word before
-        return np.bincount(self.doc, score, minlength=len(self.n_words)).astype(np.float64)
+        return np.bincount(doc, score, minlength=len(self.n_words)).astype(np.float64)
+
+
+def _in_document(place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each occurrence of an n-gram, those in the same document. Occurrences stand in order of documents; place: the n-gram's number."""
+    own = np.ones(len(place), np.int64)
+    at = np.flatnonzero(np.bincount(place)[place] > 1)
+    code = np.sort(place[at] << 32 | at)  # by n-gram, then by document
+    at = code & 0xFFFFFFFF
+    gram, doc = code >> 32, doc[at]
+    start = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))[: len(at)])
+    size = np.diff(np.append(start, len(at)))
+    own[at] = np.repeat(size, size)
+    return own
 
 
 def _cut(keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,8 +310,8 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k in range(b.num_rows):  # a chunk at a time
-                    grams = Ngrams(_texts(b.column("sizes")[k].as_py(), b.column("texts")[k].as_py()), order, only_counts=True)
-                    yield _sent(b.column("chunk")[k].as_py(), grams.distinct, grams.count, adds, 64 - fan_bits)
+                    texts = _texts(b.column("sizes")[k].as_py(), b.column("texts")[k].as_py())
+                    yield _sent(b.column("chunk")[k].as_py(), *Ngrams(texts, order).counted(), adds, 64 - fan_bits)
 
         return rows.select("chunk", "sizes", "texts").mapInArrow(of, _SENT)
 
@@ -332,13 +323,19 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
     answers = _answered(sent, nodes, levels, fan_bits).withColumnRenamed("node", "chunk").filter("chunk % 2 = 0")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = Ngrams(_texts(left["sizes"][0].as_py(), left["texts"][0].as_py()), order)
-        totals = grams.count.copy() if inside else np.zeros(len(grams.distinct), np.int64)
-        bucket, at = _cut(grams.distinct, 64 - fan_bits)
+        texts = _texts(left["sizes"][0].as_py(), left["texts"][0].as_py())
+        distinct, count = Ngrams(texts, order).counted()
+        totals = count.astype(np.int64) if inside else np.zeros(len(distinct), np.int64)
+        bucket, at = _cut(distinct, 64 - fan_bits)
         own = {b: (a, z) for b, a, z in zip(bucket.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
         for b, cell in zip(right["bucket"].to_pylist(), right["more"].to_pylist(), strict=True):
             a, z = own[b]
             totals[a:z] += _unpacked_counts(cell, z - a)
-        return pa.table({"doc_id": pa.array(left["ids"][0].as_py(), pa.int64()), "n_words": pa.array(grams.n_words), "score": pa.array(grams.scores(totals, corpus_words, backoff, exclude_self))})
+        n_words, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, z in stretches(texts, STEP_BYTES):
+            grams = Ngrams(texts[a:z], order)
+            n_words.append(grams.n_words)
+            scores.append(grams.scores(distinct, totals, corpus_words, backoff, exclude_self))
+        return pa.table({"doc_id": pa.array(left["ids"][0].as_py(), pa.int64()), "n_words": pa.array(np.concatenate(n_words)), "score": pa.array(np.concatenate(scores))})
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")
