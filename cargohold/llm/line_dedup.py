@@ -1,20 +1,23 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference counts.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z
-lower-cased. The exact table counts, for each key, the documents that have it;
-each shard's cuckoo filter has the keys found in `min_docs` documents or more,
-whose lines go. Inserting and deleting documents changes the counts, and keys
-that cross the limit enter or leave their filter, so any insertion can be taken
-back. The filter keeps almost all lines away from the exact table; those it lets
-through are compared with it.
+lower-cased, known by its SHA-256. The exact table counts, for each key, the
+documents that have it; each shard's cuckoo filter has the keys found in
+`min_docs` documents or more, whose lines go. Inserting and deleting documents
+changes the counts, and keys that cross the limit enter or leave their filter,
+so any insertion can be taken back. The filter keeps almost all keys away from
+the exact table; those it lets through are compared with it.
 
 Lines are looked up once per key and chunk of documents, with the chunk's
 documents in a list, so a line that every document has makes a row per chunk and
-not per document.
+not per document. Whether a key's lines go is decided once per key, and joined
+back to the chunks' rows with the key salted, so a hot line's rows lie in many
+tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,7 +25,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ MIN_DOCS = 10
 CHUNK_BYTES = 4 << 20
 #: Keys of the exact table in a shard, on average, and shards at least.
 SHARD_KEYS, LEAST_SHARDS = 2_000_000, 128
+#: Tasks that the rows of one key are dealt over.
+SALTS = 64
 _FILTER = "shard long, slots binary, full boolean"
 
 
@@ -40,7 +44,7 @@ def key_of(line: bytes) -> bytes:
 
 
 def _digest(key: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(key)
+    return hashlib.sha256(key).digest()
 
 
 class CuckooFilter:
@@ -101,7 +105,8 @@ class CuckooFilter:
 
 
 def _words(digests: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 2)
+    """What the filters use of digests: their first 16 bytes as two words."""
+    return np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 4)[:, :2]
 
 
 @dataclass(frozen=True)
@@ -114,21 +119,26 @@ class LineIndex:
     min_docs: int
 
 
-def chunked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, docs): for each chunk of documents and each non-empty key in it, the ids of the rows that have it."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, row): row stands for the document in joins, whatever its doc_id; rows that share one are looked up together."""
+    return id_and_bytes(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def chunked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(key, docs): for each chunk of documents and each non-empty key in it, the documents (by `row`) that have it."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for a, z in stretches(texts, CHUNK_BYTES):
+            texts, rows = b.column("text").to_pylist(), b.column("row").to_pylist()
+            for a, z in stretches(texts, chunk_bytes):
                 found = defaultdict(list)
-                for text, i in zip(texts[a:z], ids[a:z], strict=True):
+                for text, i in zip(texts[a:z], rows[a:z], strict=True):
                     for key in set(map(key_of, text.split(b"\n"))):
                         if key:
-                            found[_digest(key)].append(i)
-                yield pa.record_batch([pa.array(found, pa.binary()), pa.array(found.values(), pa.list_(pa.int64()))], ["key", "docs"])
+                            found[key].append(i)
+                yield pa.record_batch([pa.array(list(map(_digest, found)), pa.binary()), pa.array(found.values(), pa.list_(pa.int64()))], ["key", "docs"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "key binary, docs array<long>")
+    return _rows(docs, id_col, text_col).select("text", "row").mapInArrow(of, "key binary, docs array<long>")
 
 
 def _sharded(df: DataFrame, shards: int) -> DataFrame:
@@ -186,17 +196,20 @@ def changed(index: LineIndex, inserted: DataFrame | None = None, deleted: DataFr
 
 
 def doomed(lines: DataFrame, index: LineIndex) -> DataFrame:
-    """(doc_id, keys): of each document in chunked lines, the keys whose lines go; documents without any don't appear."""
+    """(row, keys): of each document in chunked lines, the keys whose lines go; documents without any don't appear."""
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         hit = np.zeros(right.num_rows, np.bool_)
         if left.num_rows and right.num_rows:
             hit = CuckooFilter(np.frombuffer(left["slots"][0].as_py(), np.uint16).reshape(-1, 4)).contains(_words(right["key"]))
-        return right.select(["key", "docs"]).filter(pa.array(hit))
+        return right.select(["key"]).filter(pa.array(hit))
 
-    maybe = index.filters.groupBy("shard").cogroup(_sharded(lines, index.shards).groupBy("shard")).applyInArrow(probe, "key binary, docs array<long>")
-    hot = index.refs.filter(F.col("n") >= index.min_docs).select("key")
-    return maybe.join(hot, "key", "left_semi").select("key", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    asked = _sharded(lines.select("key").distinct(), index.shards)
+    maybe = index.filters.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(probe, "key binary")
+    gone = maybe.join(index.refs.filter(F.col("n") >= index.min_docs).select("key"), "key", "left_semi")
+    gone = gone.select("key", F.expr(f"explode(sequence(0L, {SALTS - 1}L))").alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.element_at("docs", 1), F.lit(SALTS)))
+    return salted.join(gone, ["key", "salt"], "left_semi").select("key", F.explode("docs").alias("row")).groupBy("row").agg(F.collect_set("key").alias("keys"))
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,8 +229,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
                 n_dropped.append(len(lines) - len(kept))
             yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
-    rows, gone = id_and_bytes(docs, id_col, text_col), gone.withColumnRenamed("doc_id", "of")
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["of"]), "left").select("doc_id", "text", "keys")
+    joined = _rows(docs, id_col, text_col).join(gone, "row", "left").select("doc_id", "text", "keys")
     return joined.mapInArrow(of, "doc_id long, text string, n_lines long, n_dropped long")
 
 
@@ -227,9 +239,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     All lines with such a key go, in every document; a document all of whose
     lines go has an empty text. Blank lines have no key and stay. A null or
     empty text is one empty line. Each row counts as a document, so repeated
-    rows count again; rows with the same or no doc_id are handled alike. Keys
-    are told apart by 128 bits. An empty table gives an empty result; other
-    columns are not read.
+    rows count again, and rows that repeat or lack a doc_id are documents each.
+    Keys are told apart by SHA-256. A very long text is split whole, alone in its
+    chunk. An empty table gives an empty result; other columns are not read.
     """
     lines = written(chunked_lines(docs, id_col, text_col), "lines")
     index = changed(empty_index(docs, lines.count(), min_docs), inserted=lines)

@@ -324,6 +324,32 @@ def test_lines_come_back_after_deletion(spark):
     assert index.refs.count() == 6
 
 
+def test_hot_line_over_many_chunks(spark):
+    """A line of every document, chunks of a document each, and rows without ids or with the same one."""
+    rows = [(None if i % 3 else 5, f" Every DOCUMENT has it \nown {i}\npair {i // 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    lines = line_dedup.chunked_lines(docs, chunk_bytes=1)
+    assert lines.groupBy("key").count().agg(F.max("count")).first()[0] == 300
+    index = line_dedup.changed(line_dedup.empty_index(docs, 10, 10), inserted=lines)
+    got = sorted((r.text, r.n_lines, r.n_dropped) for r in line_dedup.without_lines(docs, line_dedup.doomed(lines, index)).collect())
+    assert got == sorted(plain_line_dedup([t for _, t in rows], 10)) and all(n == 1 for _, _, n in got)
+
+
+def test_filter_that_overflows_is_built_anew(spark):
+    """One shard whose filter was made for a few keys gets hundreds."""
+
+    def texts(ids):
+        return line_dedup.chunked_lines(spark.createDataFrame([(d, "\n".join(f"line {i}" for i in ids)) for d in range(2)], "doc_id long, text string"))
+
+    index = line_dedup.changed(line_dedup.LineIndex(*(lambda x: (x.refs, x.filters))(line_dedup.empty_index(spark.range(1), 1)), 1, 2), inserted=texts(range(3)))
+    small = index.filters.first()
+    full = line_dedup.CuckooFilter(np.frombuffer(small.slots, np.uint16).reshape(-1, 4).copy())
+    assert not full.insert(np.random.default_rng(3).integers(0, 1 << 64, (500, 2), np.uint64))
+    index = line_dedup.changed(index, inserted=texts(range(3, 500)))
+    assert index.filters.count() == 1 and len(index.filters.first().slots) > len(small.slots)
+    assert line_dedup.doomed(texts(range(500)), index).selectExpr("size(keys)").collect() == [(500,), (500,)]
+
+
 @settings(max_examples=25)
 @given(st.integers(1, 400), st.integers(0, 2**32))
 def test_cuckoo_filter(n, seed):
