@@ -37,9 +37,9 @@ from cargohold.llm.common import Words, count_words, id_and_bytes, mixed, stretc
 
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and of the corpus text whose n-grams meet in a hash range, on average.
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
-#: Bytes of text whose words are found at once.
-STEP_BYTES = 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+#: Bytes of text whose words are found and scored at once, and bits of the hash by which a chunk's n-grams are counted in parts.
+STEP_BYTES, RANGE_BITS = 2 << 20, 3
 #: Bits of the hash that cut a row's n-grams on their way to the next level.
 FAN_BITS = 10
 #: Planes of a difference of sorted hashes that are as good as random, and not compressed.
@@ -53,7 +53,7 @@ def _compressor() -> zstandard.ZstdCompressor:
 
 @functools.cache
 def _text_compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=6)
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(6, enable_ldm=True, window_log=23))
 
 
 @functools.cache
@@ -114,17 +114,15 @@ class Ngrams:
             fit = np.flatnonzero(~early).astype(np.int32)
             yield fit, h[fit]
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted distinct n-grams of all orders, and how often each is found."""
-        distinct, count = [], []
-        for _, keys in self.occurrences():
+    def counted(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sorted distinct n-grams of all orders, and how often each is found; one of 2**bits equal ranges of hashes at a time, ascending."""
+        every = [keys for _, keys in self.occurrences()]
+        for part in range(1 << bits):
+            own = [k[k >> np.uint64(64 - bits) == np.uint64(part)] if bits else k for k in every]
+            keys = np.concatenate(own)
             keys.sort()
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-            distinct.append(keys[first])
-            count.append(np.diff(np.append(first, len(keys))).astype(np.int32))
-        every = np.concatenate(distinct)
-        by = np.argsort(every)
-        return every[by], np.concatenate(count)[by]
+            yield keys[first], np.diff(np.append(first, len(keys))).astype(np.int32)
 
     def scores(self, distinct: np.ndarray, totals: np.ndarray, corpus_words: int, backoff: float, exclude_self: bool) -> np.ndarray:
         """Of each text: the sum over its words of log10 of the backed-off relative frequency. totals: of `distinct`, which has all n-grams of the texts."""
@@ -303,7 +301,7 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
     known = chunks if corpus is None else _chunked(id_and_bytes(corpus, id_col, text_col), chunk_bytes, 1)
     size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     n_chunks, corpus_words, n_bytes = known.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
-    inside = corpus is None
+    inside, range_bits = corpus is None, min(RANGE_BITS, fan_bits)
     levels = max(1, math.ceil(math.log2(max(1.0, n_bytes / bucket_bytes)) / fan_bits))
 
     def asked(rows: DataFrame, adds: bool) -> DataFrame:
@@ -311,7 +309,8 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
             for b in batches:
                 for k in range(b.num_rows):  # a chunk at a time
                     texts = _texts(b.column("sizes")[k].as_py(), b.column("texts")[k].as_py())
-                    yield _sent(b.column("chunk")[k].as_py(), *Ngrams(texts, order).counted(), adds, 64 - fan_bits)
+                    for keys, count in Ngrams(texts, order).counted(range_bits):
+                        yield _sent(b.column("chunk")[k].as_py(), keys, count, adds, 64 - fan_bits)
 
         return rows.select("chunk", "sizes", "texts").mapInArrow(of, _SENT)
 
@@ -324,7 +323,7 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORD
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = _texts(left["sizes"][0].as_py(), left["texts"][0].as_py())
-        distinct, count = Ngrams(texts, order).counted()
+        distinct, count = map(np.concatenate, zip(*Ngrams(texts, order).counted(range_bits), strict=True))
         totals = count.astype(np.int64) if inside else np.zeros(len(distinct), np.int64)
         bucket, at = _cut(distinct, 64 - fan_bits)
         own = {b: (a, z) for b, a, z in zip(bucket.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
