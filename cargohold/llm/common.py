@@ -31,7 +31,7 @@ def stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-__all__ = ["FIRST_BYTES", "Words", "connected_components", "count_words", "eights", "id_and_bytes", "mixed", "scratch_path", "slice_hashes", "stretches", "written"]
+__all__ = ["FIRST_BYTES", "Words", "bucketed", "connected_components", "count_words", "eights", "id_and_bytes", "mixed", "scratch_path", "slice_hashes", "stretches", "written"]
 
 #: 1 for bytes of words: digits, letters, and all of UTF-8 beyond ASCII.
 _IS_WORD = np.zeros(256, np.bool_)
@@ -115,6 +115,17 @@ class Words:
         return np.bincount(self.doc, minlength=n_texts)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """df as a written table of n buckets by key: later groups by key need no shuffle of it. Its name is only kept while it is made."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay: the table is external
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph with edges (a, b): component is the least node reachable.
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import Words, count_words, id_and_bytes, mixed, stretches, written
+from cargohold.llm.common import Words, bucketed, count_words, id_and_bytes, mixed, stretches
 
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and of the corpus text whose n-grams meet in a hash range, on average.
@@ -193,7 +193,9 @@ def _chunked(rows: DataFrame, chunk_bytes: int, side: int) -> DataFrame:
             yield row()
 
     schema = pa.schema([("chunk", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
-    return written(rows.mapInArrow(of, "chunk long, n_words long, ids array<long>, sizes array<long>, texts binary"), "lm_chunks")
+    # whole chunks are read again when they are scored, and don't move then
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(rows.mapInArrow(of, "chunk long, n_words long, ids array<long>, sizes array<long>, texts binary"), "lm_chunks", "chunk", buckets)
 
 
 def _texts(sizes: list[int], cell: bytes) -> list[bytes]:
