@@ -7,7 +7,22 @@ from pyspark.sql import functions as F
 
 #: Hives by registry root, and bits of file attributes.
 HIVES = {0: "HKEY_CLASSES_ROOT", 1: "HKEY_CURRENT_USER", 2: "HKEY_LOCAL_MACHINE", 3: "HKEY_USERS"}
-READONLY, HIDDEN, SYSTEM, DIRECTORY, REPARSE, ENCRYPTED = 0x1, 0x2, 0x4, 0x10, 0x400, 0x4000
+READONLY, HIDDEN, SYSTEM, DIRECTORY, NORMAL, REPARSE, ENCRYPTED = 0x1, 0x2, 0x4, 0x10, 0x80, 0x400, 0x4000
+#: Languages, processors and checksum kinds of debug databases, in order of their codes; letters of packed stream names, and what they start at.
+LANGUAGES = (
+    "Information is not available", "C", "C++", "FORTRAN", "Microsoft Macro Assembler", "Pascal", "BASIC", "COBOL", "Linker-generated module", "Resource module converted with CVTRES tool",
+    "POGO optimized module generated with CVTPGD tool", "C#", "Visual Basic", "Intermediate Language Assembly", "Java", "JScript", "Unknown MSIL",
+)
+PROCESSORS = (
+    "Unavailable", "I386", "PENTIUM", "PENTIUMII", "PENTIUMPRO", "PENTIUMIII", "MIPS", "MIPSR4000", "MIPS16", "MIPS32", "MIPS64", "MIPSI", "MIPSII", "MIPSIII", "MIPSIV", "MIPSV",
+    "IA64", "IA64_1", "IA64_2", "TRICORE", "X64", "AMD64", "Unknown",
+)
+CHECKSUMS = ("None", "MD5", "SHA1", "Unknown")
+STREAM_LETTERS, STREAM_START = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz._", 0x3800
+#: Letters of the ASCII alphabet, which alone are folded where case doesn't count.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FIND_MODES = ("wildcard", "substring", "string")
+CHARSETS = ("US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16")
 
 
 def with_trailing(path: Column, sep: str = "\\") -> Column:
@@ -41,11 +56,11 @@ def duration_text(seconds: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """H8: in the largest unit that gives 1 or more, two decimals, and the bytes."""
-    out = F.format_string("%d B", n)
+    """H8: in the largest unit that gives 1 or more, two decimals, then `=` and the plain bytes; bytes alone where they are all there is to say, `0` for none."""
+    out = n.cast("string")
     for power, unit in ((10, "KB"), (20, "MB"), (30, "GB"), (40, "TB")):
-        out = F.when(n >= 2**power, F.concat(F.format_string(f"%.2f {unit} = ", F.bround(n / float(2**power), 2)), with_thousands(n))).otherwise(out)
-    return out
+        out = F.when(n >= 2**power, F.concat(F.format_string(f"%.2f {unit} = ", F.bround(n / float(2**power), 2)), n.cast("string"))).otherwise(out)
+    return F.when(n > 0, out).otherwise("0")
 
 
 def safe_name(name: Column) -> Column:
@@ -82,9 +97,22 @@ def url_name(url: Column) -> Column:
 
 
 def default_name(content_type: Column) -> Column:
-    """A name for an unnamed part."""
-    kind = F.lower(content_type)
-    return F.when(kind == "text/html", "index.html").when(kind.startswith("text/"), "file.txt").when(kind == "message/rfc822", "message.eml").when(kind.startswith("image/"), F.concat(F.lit("image."), F.substring_index(kind, "/", -1))).otherwise("file.bin")
+    """A name for an unnamed part, by its type and subtype; parameters after `;` don't count."""
+    full = F.trim(F.substring_index(content_type, ";", 1))
+    kind, sub = F.lower(F.substring_index(full, "/", 1)), F.lower(F.substring_index(full, "/", -1))
+    text = F.when(sub == "html", "index.html").when(sub == "richtext", "message.rtf").otherwise("message.txt")
+    return (
+        F.when(kind == "image", F.concat(F.lit("image."), F.substring_index(full, "/", -1)))
+        .when(kind == "text", text)
+        .when((kind == "application") & (sub == "postscript"), "document.ps")
+        .when((kind == "message") & (sub == "rfc822"), "message.eml")
+        .otherwise("file.dat")
+    )
+
+
+def part_name(disposition: Column, type_name: Column, location: Column, content_type: Column) -> Column:
+    """The name of a mail part: the first of these that leaves more than one character of an address, else one by its type."""
+    return F.coalesce(url_name(disposition), url_name(type_name), url_name(location), default_name(content_type))
 
 
 def short_name(s: Column) -> Column:
@@ -121,9 +149,88 @@ def drive_path(path: Column) -> Column:
     return F.when(path.rlike("^[A-Za-z]:"), F.concat(F.upper(F.substring(path, 1, 1)), F.lit("_"), F.substring(path, 3, 1 << 30))).otherwise(path)
 
 
-def sniffed_extension(head: Column) -> Column:
-    """An extension by the first bytes, given as text."""
-    return F.when(head.startswith("<?xml"), ".xml").when(head.startswith("DDS "), ".dds").when(head.startswith("\x89PNG"), ".png").when(head.startswith("BM"), ".bmp").otherwise(".txt")
+def extension(path: Column) -> Column:
+    """The name's last dot and what follows; empty without a dot."""
+    return F.regexp_extract(path, r"(\.[^./\\]*)$", 1)
+
+
+def inner_extension(path: Column, content: Column) -> Column:
+    """The extension of what a packed game file holds: by the first 20 bytes up to a zero for `.pck`, by a rule for `.pbd` and `.pbb`, else its own."""
+    old = extension(path)
+    head = F.substring_index(F.decode(F.substring(content, 1, 20), "ISO-8859-1"), "\0", 1)
+    inside = F.when(F.contains(head, F.lit("<?xml")), ".xml").when(head.startswith("DDS"), ".dds").otherwise(".txt")
+    return F.when(old == ".pck", F.coalesce(inside, F.lit(".txt"))).when(old == ".pbd", ".bod").when(old == ".pbb", ".bob").otherwise(old)
+
+
+def stream_name(packed: Column) -> Column:
+    """A packed stream name's letters, two in a character; null if a character is outside the range."""
+    letters = F.array(*map(F.lit, STREAM_LETTERS))
+    codes = F.transform(F.filter(F.split(packed, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - STREAM_START)
+
+    def unpacked(c: Column) -> Column:
+        high = F.shiftright(c, 6)
+        low = F.element_at(letters, c.bitwiseAND(63) + 1)
+        return F.when(high < 64, F.concat(low, F.element_at(letters, F.least(high, F.lit(63)) + 1))).when(high == 64, low).otherwise("!")
+
+    ok = F.forall(codes, lambda c: (c >= 0) & (c <= 64 * 65))
+    # a character of one letter ends the name
+    n = F.array_position(F.transform(codes, lambda c: F.shiftright(c, 6) == 64), True).cast("int")
+    return F.when(ok, F.array_join(F.transform(F.when(n > 0, F.slice(codes, 1, n)).otherwise(codes), unpacked), ""))
+
+
+def decoded_text(raw: Column, charset: Column) -> Column:
+    """Bytes as text by a column that names the charset, case aside; null for one that isn't known."""
+    out = F.lit(None).cast("string")
+    for name in CHARSETS:
+        out = F.when(F.upper(charset) == name, F.decode(raw, name)).otherwise(out)
+    return out
+
+
+def image_name(raw: Column) -> Column:
+    """A Unicode name of a disc image: UTF-8, or big-endian UTF-16 if a byte is below 32; without its version."""
+    wide = F.hex(raw).rlike("^(..)*[01]")
+    return F.regexp_replace(F.when(wide, F.decode(raw, "UTF-16BE")).otherwise(F.decode(raw, "UTF-8")), ";[^;]*$", "")
+
+
+def folded(s: Column) -> Column:
+    """A-Z in lower case, all else unchanged."""
+    return F.translate(s, _UPPER, _LOWER)
+
+
+def found_by(name: Column, search: str, mode: str = "wildcard", match_case: bool = False) -> Column:
+    """Whether a name fits: "string" as a whole, "substring" somewhere, "wildcard" with `*` for any run and `?` for one character. Only A-Z are folded."""
+    if mode not in FIND_MODES:
+        raise ValueError(f"mode is one of {FIND_MODES}")
+    text, want = (name, search) if match_case else (folded(name), search.translate(str.maketrans(_UPPER, _LOWER)))
+    if mode == "string":
+        return text == want
+    if mode == "substring":
+        return F.contains(text, F.lit(want))
+    return text.rlike("(?s)^" + "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else "\\" + c) for c in want) + r"\z")
+
+
+def find_bytes(content: Column, pattern: bytes) -> Column:
+    """The place, from 0, of the first occurrence of some bytes; null if there is none, or nothing is asked for."""
+    at = F.instr(F.decode(content, "ISO-8859-1"), pattern.decode("latin-1"))
+    return F.when((at > 0) & F.lit(len(pattern) > 0), at - 1)
+
+
+def coded_name(code: Column, names: tuple[str, ...], default: str = "Unknown") -> Column:
+    """The name at a code's place in LANGUAGES, PROCESSORS or CHECKSUMS (whose default is `-`)."""
+    return F.coalesce(F.when((code >= 0) & (code < len(names)), F.element_at(F.array(*map(F.lit, names)), F.least(code, F.lit(len(names) - 1)).cast("int") + 1)), F.lit(default))
+
+
+def crc16(content: Column) -> Column:
+    """I16: the CRC-16 of short binary values (polynomial 0x1021, from 0), as descriptor tags have it."""
+    size = F.octet_length(content)
+    codes = F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.hex(F.substring(content, i, F.lit(1))), 16, 10).cast("int"))
+
+    def step(crc: Column, byte: Column) -> Column:
+        x = F.shiftright(crc, 8).bitwiseXOR(byte)
+        x = x.bitwiseXOR(F.shiftright(x, 4))
+        return F.shiftleft(crc, 8).bitwiseXOR(F.shiftleft(x, 12)).bitwiseXOR(F.shiftleft(x, 5)).bitwiseXOR(x).bitwiseAND(0xFFFF)
+
+    return F.when(content.isNotNull(), F.aggregate(codes, F.lit(0), step))
 
 
 def attribute_flags(bits: Column) -> Column:
@@ -133,8 +240,9 @@ def attribute_flags(bits: Column) -> Column:
 
 
 def item_attributes(package_bits: Column) -> Column:
-    """Attribute bits of an installer's file row: 1, 2 and 4 are read-only, hidden and system."""
-    return package_bits.bitwiseAND(READONLY | HIDDEN | SYSTEM)
+    """Attribute bits of an installer's file row: 1, 2 and 4 are read-only, hidden and system; a file with none of them is a normal one."""
+    own = package_bits.bitwiseAND(READONLY | HIDDEN | SYSTEM)
+    return F.when(own == 0, F.lit(NORMAL).cast("long")).otherwise(own)
 
 
 def matches_filter(path: Column, masks: str, empty: bool = True) -> Column:

@@ -79,51 +79,80 @@ def unique_names(files: DataFrame) -> DataFrame:
     In order of item_index, a taken name becomes `base,N.ext`, or `base,N` without
     an extension, with the first free N from 2. Case counts. Where no name in a
     family looks like a renamed one, N is the number of the occurrence, which
-    splits hot names over tasks; other families, which are all names that differ
-    in such endings, are gone through in order.
+    splits hot names over tasks. Other families have names that differ in such
+    endings only; of those, names that no renamed one can meet are numbered like
+    the rest, and the others are gone through in order.
     """
-    dot = F.length("name") - F.length(F.substring_index("name", ".", -1))
-    base = F.when((F.instr("name", ".") > 0) & (dot > 1), F.substring(F.col("name"), F.lit(1), dot - 1)).otherwise(F.col("name"))
+    base = F.when(F.instr("name", ".") > 0, F.expr("substring(name, 1, length(name) - length(substring_index(name, '.', -1)) - 1)")).otherwise(F.col("name"))
     ext = F.substring(F.col("name"), F.length(base) + 1, F.length("name"))
     rows = files.withColumn("__base", base).withColumn("__ext", ext).withColumn("__family", F.concat(F.regexp_replace(F.col("__base"), r"(,\d+)+$", ""), F.lit("\0"), F.col("__ext")))
     keys = ["container_id", "parent_path", "__family"]
-    odd = rows.filter(F.col("__base").rlike(r",\d+$")).select(*keys).distinct()
-    plain = numbered(rows.join(odd, keys, "left_anti"), ["container_id", "parent_path", "name"], ["item_index"], "__n")
-    plain = plain.withColumn("new_name", F.when(F.col("__n") == 1, F.col("name")).otherwise(F.concat("__base", F.lit(","), F.col("__n").cast("string"), "__ext"))).drop("__n")
-
-    columns = plain.columns
+    odd = rows.filter(F.col("__base").rlike(r",\d+$")).select(*keys).distinct().withColumn("__odd", F.lit(True))
+    numbers = numbered(rows.join(odd, keys, "left"), ["container_id", "parent_path", "name"], ["item_index"], "__n")
+    plain = numbers.filter("__odd IS NULL").withColumn("new_name", F.when(F.col("__n") == 1, F.col("name")).otherwise(F.concat("__base", F.lit(","), F.col("__n").cast("string"), "__ext")))
+    columns = [*files.columns, "new_name"]
 
     def fold(t: pa.Table) -> pa.Table:
         taken: set[str] = set()
+        free: dict[str, int] = {}  # the least number of each name that may be free
         new = []
         t = t.sort_by("item_index")
         for name, b, e in zip(*(t[c].to_pylist() for c in ("name", "__base", "__ext")), strict=True):
-            n, use = 2, name
-            while use in taken:
-                use, n = f"{b},{n}{e}", n + 1
+            use = name
+            if use in taken:
+                n = free.get(name, 2)
+                while (use := f"{b},{n}{e}") in taken:
+                    n += 1
+                free[name] = n + 1
             taken.add(use)
             new.append(use)
         return t.append_column("new_name", pa.array(new, pa.string())).select(columns)
 
-    folded = rows.join(odd, keys, "left_semi").select(*(c for c in columns if c != "new_name")).groupBy(*keys).applyInArrow(fold, plain.schema)
-    return plain.unionByName(folded).drop("__base", "__ext", "__family")
+    folded = numbers.filter("__odd").groupBy(*keys).applyInArrow(fold, plain.select(*columns).schema)
+    return plain.select(*columns).unionByName(folded)
+
 
+def found_at(nodes: DataFrame, path: str, sep: str = SEP) -> DataFrame:
+    """D-5: the node of each container at an exact path; directories before files.
 
-def found_at(nodes: DataFrame, path: str) -> DataFrame:
-    """D-5: the node of each container at an exact path; directories before files."""
+    The empty path and one separator are the container itself, with index -1. A
+    path that begins with a separator or has two in a row is nothing; one that
+    ends with a separator is a directory.
+    """
+    bare = path[: -len(sep)] if path.endswith(sep) else path
+    if path in ("", sep):
+        return nodes.select("container_id").distinct().select("container_id", F.lit(-1).cast("long").alias("item_index"), F.lit(True).alias("is_dir"))
+    known = nodes.filter(F.lit(not path.startswith(sep) and sep * 2 not in bare) & (F.col("path") == bare) & (F.col("is_dir") | F.lit(bare == path)))
     best = F.min_by(F.struct("item_index", "is_dir"), F.struct(~F.col("is_dir"), F.col("item_index"))).alias("b")
-    return nodes.filter(F.col("path") == path).groupBy("container_id").agg(best).select("container_id", "b.item_index", "b.is_dir")
+    return known.groupBy("container_id").agg(best).select("container_id", "b.item_index", "b.is_dir")
 
 
 def changed_dir(current: Column, to: Column, sep: str = SEP) -> Column:
-    """D-6: the path after moving from current: absolute if it begins with a separator; `/` is a separator too. Null past the root."""
+    """D-6: the path after moving from current: absolute if it begins with a separator; `/` is a separator too. Null past the root and for an empty move."""
     target = F.translate(to, "/", sep) if sep != "/" else to
     full = F.when(target.startswith(sep), F.regexp_replace(target, "^[\\\\/]+", "")).otherwise(F.concat_ws(sep, F.when(current != "", current), target))
-    return F.regexp_replace(resolved(full, sep), "[\\\\/]+$", "")
+    return F.when(to != "", F.regexp_replace(resolved(full, sep), "[\\\\/]+$", ""))
+
+
+def entered(moves: DataFrame, nodes: DataFrame, sep: str = SEP) -> DataFrame:
+    """D-6: moves (container_id, current, to) with `target`, null where a step of the way isn't there.
+
+    nodes (container_id, path): all directories and files; a move may pass and end
+    at a file. Each step of a distinct move is looked up once.
+    """
+    to = F.translate("to", "/", sep) if sep != "/" else F.col("to")
+    # where each step of the move leads, from the start on
+    parts = F.filter(_parts(to, sep), lambda x: x != "")
+    lead = F.when(to.startswith(sep), F.lit("")).otherwise(F.col("current"))
+    prefixes = F.transform(F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(sep, F.when(lead != "", lead), F.array_join(F.slice(parts, 1, i), sep)))
+    steps = moves.select("container_id", "current", "to").distinct().withColumn("step", F.explode(prefixes)).withColumn("path", resolved(F.col("step"), sep)).filter("path <> ''")
+    lost = steps.join(nodes.select("container_id", "path").distinct(), ["container_id", "path"], "left_anti").select("container_id", "current", "to").distinct().withColumn("__lost", F.lit(True))
+    found = moves.join(lost, ["container_id", "current", "to"], "left")
+    return found.withColumn("target", F.when(F.col("__lost").isNull(), changed_dir(F.col("current"), F.col("to"), sep))).drop("__lost")
 
 
 def listed(nodes: DataFrame, parent: str) -> DataFrame:
-    """D-7: the children of a directory: directories, then files, each by name."""
+    """D-7, G7: the children of a directory: directories, then files, each by name."""
     return nodes.filter(F.col("parent_path") == parent).orderBy("container_id", F.desc("is_dir"), "name")
 
 
@@ -158,6 +187,13 @@ def totals(items: DataFrame) -> DataFrame:
     )
 
 
+def dir_counts(items: DataFrame, sep: str = SEP) -> DataFrame:
+    """D-10: (container_id, n_dirs): the directories that the container reports, or if it reports none those that its paths need."""
+    reported = items.groupBy("container_id").agg(F.count_if("is_dir").alias("__r"))
+    counted = all_dirs(items, sep).groupBy("container_id").agg(F.count("*").alias("__n"))
+    return reported.join(counted, "container_id", "left").select("container_id", F.when(F.col("__r") > 0, F.col("__r")).otherwise(F.coalesce("__n", F.lit(0))).alias("n_dirs"))
+
+
 def without_empty(dirs: DataFrame, files: DataFrame) -> DataFrame:
     """D-22: directories that have a file or a directory directly inside; not transitive."""
     held = files.select("container_id", F.col("parent_path").alias("path")).unionByName(dirs.select("container_id", F.col("parent_path").alias("path"))).distinct()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cargohold.functions import codecs
 from cargohold.functions import text as fn
 from cargohold.operators import installer, ordered, tree
+from cargohold.scratch import written
 from cargohold.sinks import extract
 from cargohold.sources import containers, writers
 from cargohold.sources.containers import first_module
@@ -71,8 +72,7 @@ JOIN (SELECT container_id, count(*) AS n_dirs FROM dirs GROUP BY 1) USING (conta
 def container_totals(spark, sf_dir):
     """F1, D-10: files, directories and bytes of each container."""
     items = archives(spark, sf_dir)
-    dirs = tree.all_dirs(items, "/").groupBy("container_id").agg(F.count("*").alias("n_dirs"))
-    return tree.totals(items).join(dirs, "container_id")
+    return tree.totals(items).join(tree.dir_counts(items, "/"), "container_id")
 
 
 @query(f"{_DIRS} SELECT container_id, path, -1::BIGINT AS item_index FROM dirs")
@@ -107,15 +107,18 @@ def list_dir(spark, sf_dir):
 @query(f"""WITH {_V1} SELECT container_id, min(item_index) AS item_index, false AS is_dir FROM v1 WHERE parent_path = 'en/2' AND name = 'doc_7.txt' GROUP BY 1""")
 def lookup_path(spark, sf_dir):
     """D-5: the node at a path of every container."""
-    return tree.found_at(tree.placed(archives(spark, sf_dir), "/"), "en/2/doc_7.txt")
+    return tree.found_at(tree.placed(archives(spark, sf_dir), "/"), "en/2/doc_7.txt", "/")
 
 
-@query(f"""WITH {_V1} SELECT container_id, item_index, CASE WHEN item_index % 3 = 0 THEN split_part(parent_path, '/', 1) || '/other' WHEN item_index % 3 = 1 THEN 'top/x' ELSE NULL END AS target FROM v1""")
+@query(f"""{_DIRS} SELECT container_id, item_index, CASE item_index % 4 WHEN 0 THEN CASE WHEN (container_id, split_part(parent_path, '/', 1) || '/1') IN (SELECT container_id, path FROM dirs) THEN split_part(parent_path, '/', 1) || '/1' END
+WHEN 1 THEN CASE WHEN (container_id, 'en/2') IN (SELECT container_id, path FROM dirs) THEN 'en/2' END WHEN 2 THEN parent_path || '/' || name END AS target FROM v1""")
 def change_dir(spark, sf_dir):
-    """D-6: relative, absolute and impossible moves from each item's directory."""
+    """D-6: moves from each item's directory: to one that may be there, absolutely, to a file, and past the root or through what isn't there."""
     items = tree.placed(archives(spark, sf_dir), "/")
-    to = F.when(F.col("item_index") % 3 == 0, "../other").when(F.col("item_index") % 3 == 1, "/top/./x").otherwise("../../../up")
-    return items.select("container_id", "item_index", tree.changed_dir(F.col("parent_path"), to, "/").alias("target"))
+    to = F.expr("CASE item_index % 4 WHEN 0 THEN '../1' WHEN 1 THEN '/en/./2/' WHEN 2 THEN name ELSE IF(item_index % 8 = 3, '../../../up', 'gone/..') END")
+    nodes = tree.all_dirs(items, "/").select("container_id", "path").unionByName(items.select("container_id", "path"))
+    found = tree.entered(items.select("container_id", "item_index", F.col("parent_path").alias("current"), to.alias("to")), nodes, "/")
+    return found.select("container_id", "item_index", "target")
 
 
 @query(f"""WITH {_V1} SELECT container_id, item_index, split_part(parent_path, '/', 2) || '/' || name AS path FROM v1 WHERE starts_with(parent_path, 'de/')""")
@@ -208,7 +211,7 @@ def sanitize_paths(spark, sf_dir):
 
 
 @query("""SELECT event_id, format('{:,}', event_id * 1000) AS thousands, strftime(ts, '%d.%m.%Y %H:%M:%S') AS time_text, strftime(ts, '%Y-%m-%d') AS date_text,
-printf('%02d:%02d:%02d', event_id // 3600, (event_id % 3600) // 60, event_id % 60) AS duration, CASE WHEN event_id >= 1048576 THEN printf('%.2f MB = ', event_id / 1048576.0) || format('{:,}', event_id) WHEN event_id >= 1024 THEN printf('%.2f KB = ', event_id / 1024.0) || format('{:,}', event_id) ELSE event_id || ' B' END AS size_text FROM events""")
+printf('%02d:%02d:%02d', event_id // 3600, (event_id % 3600) // 60, event_id % 60) AS duration, CASE WHEN event_id >= 1048576 THEN printf('%.2f MB = ', event_id / 1048576.0) || event_id WHEN event_id >= 1024 THEN printf('%.2f KB = ', event_id / 1024.0) || event_id ELSE event_id::VARCHAR END AS size_text FROM events""")
 def format_fields(spark, sf_dir):
     """H4 to H8: fields of the info panel."""
     e, n = table(spark, sf_dir, "events"), F.col("event_id")
@@ -286,17 +289,18 @@ def directories(spark, sf_dir):
     r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     rows = r.select(F.concat(F.lit("R"), "r_regionkey").alias("key"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     rows = rows.unionByName(n.select(F.concat(F.lit("N"), "n_nationkey").alias("key"), F.concat(F.lit("R"), "n_regionkey").alias("parent"), F.col("n_name").alias("name")))
-    return rows.unionByName(c.select(F.concat(F.lit("C"), "c_custkey").alias("key"), F.concat(F.lit("N"), "c_nationkey").alias("parent"), F.when(F.col("c_mktsegment") == "BUILDING", ".").otherwise(F.col("c_name")).alias("name")))
+    return rows.unionByName(c.select(F.concat(F.lit("C"), "c_custkey").alias("key"), F.when(F.col("c_custkey") % 9 == 0, "Lost").otherwise(F.concat(F.lit("N"), "c_nationkey")).alias("parent"), F.when(F.col("c_mktsegment") == "BUILDING", ".").otherwise(F.col("c_name")).alias("name")))
 
 
 _DIRECTORY = """d AS (SELECT 'R' || r_regionkey AS key, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_name FROM nation
-UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '.' ELSE c_name END FROM customer)"""
+UNION ALL SELECT 'C' || c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'Lost' ELSE 'N' || c_nationkey END, CASE WHEN c_mktsegment = 'BUILDING' THEN '.' ELSE c_name END FROM customer
+UNION ALL SELECT 'Lost', NULL, 'Lost')"""
 
 
 @query(f"""WITH RECURSIVE {_DIRECTORY}, t AS (SELECT key, name AS path, 0 AS level FROM d WHERE parent IS NULL UNION ALL
 SELECT d.key, CASE WHEN d.name = '.' THEN t.path ELSE t.path || '/' || d.name END, t.level + 1 FROM t JOIN d ON d.parent = t.key) SELECT key, path, level FROM t""")
 def dir_paths_recursive(spark, sf_dir):
-    """E3, D-8, D-12, D-15"""
+    """E3, D-8, D-12, D-15: a tree with dot folders, and with directories that only a parent key names."""
     return installer.dir_paths(directories(spark, sf_dir), "key", "parent", "name", "/")
 
 
@@ -318,39 +322,53 @@ def dir_anti(spark, sf_dir):
     return installer.kept_dirs(paths, used, nations.filter("n_name = 'NATION_3'"), "/")
 
 
-@query("""SELECT p_brand, lower(p_type) AS folded, min_by(p_type, p_partkey) AS name, count(*) AS n_merged FROM part GROUP BY ALL""")
+@query("""WITH d AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Top' WHEN 1 THEN 'TOP' ELSE 'other' END AS a, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS b FROM customer),
+first AS (SELECT lower(a) AS fa, min_by(a, k) AS a, count(*) AS n FROM d GROUP BY 1), second AS (SELECT lower(a) AS fa, lower(b) AS fb, min_by(b, k) AS b, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT a AS path, n AS n_merged FROM first UNION ALL SELECT a || '/' || b, s.n FROM second s JOIN first USING (fa)""")
 def merge_same_named(spark, sf_dir):
-    """D-16"""
-    return installer.merged_siblings(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_partkey")
+    """D-16: directories of the same name but for case are one, at every level, in the first spelling."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ("Top", "TOP", "other"))), (F.col("c_custkey") % 3 + 1).cast("int")).alias("a"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("b"))
+    dirs = c.select(F.concat(F.lit("A"), "c_custkey").alias("key"), F.lit(None).cast("string").alias("parent"), F.col("a").alias("name"), F.col("c_custkey").alias("o"))
+    dirs = dirs.unionByName(c.select(F.concat(F.lit("B"), "c_custkey").alias("key"), F.concat(F.lit("A"), "c_custkey").alias("parent"), F.col("b").alias("name"), F.lit(0).alias("o")))
+    return installer.merged_dirs(installer.dir_chains(dirs, "key", "parent", F.col("name"), F.col("o")), "/")
 
 
-@query("""SELECT l_suppkey, CASE WHEN bool_or(l_discount > 0.05) AND bool_or(NOT l_discount > 0.05) THEN 'mixed' WHEN bool_or(l_discount > 0.05) THEN 'cab' ELSE 'none' END AS compression FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey, CASE WHEN l_suppkey % 5 = 0 THEN 'none' WHEN l_suppkey % 7 = 0 THEN 'cab' WHEN bool_or(l_discount > 0.09) FILTER (WHERE l_linenumber < 7) AND bool_or(NOT l_discount > 0.09) FILTER (WHERE l_linenumber < 7) THEN 'mixed' ELSE 'cab' END AS compression FROM lineitem GROUP BY 1""")
 def compression_class(spark, sf_dir):
-    """F4"""
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(installer.compression_class(F.col("l_discount") > 0.05).alias("compression"))
+    """packages without media, packages that are said to be compressed, and others by their real files."""
+    attributes = F.when(F.col("l_discount") > 0.09, installer.COMPRESSED).otherwise(1)
+    found = installer.compression_class(attributes, F.col("l_linenumber") >= 7, F.col("l_suppkey") % 5 != 0, F.when(F.col("l_suppkey") % 7 == 0, 6).otherwise(4))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(found.alias("compression"))
 
 
 @query("""SELECT p_partkey, CASE WHEN b & 1 != 0 THEN 'R' ELSE '' END || CASE WHEN b & 2 != 0 THEN 'H' ELSE '' END || CASE WHEN b & 4 != 0 THEN 'S' ELSE '' END || CASE WHEN b & 16 != 0 THEN 'D' ELSE '' END
-|| CASE WHEN b & 1024 != 0 THEN 'L' ELSE '' END || CASE WHEN b & 16384 != 0 THEN 'E' ELSE '' END AS flags, (b & 7)::BIGINT AS item_bits FROM (SELECT p_partkey, p_partkey * 37 AS b FROM part)""")
+|| CASE WHEN b & 1024 != 0 THEN 'L' ELSE '' END || CASE WHEN b & 16384 != 0 THEN 'E' ELSE '' END AS flags, CASE WHEN b & 7 = 0 THEN 128 ELSE b & 7 END::BIGINT AS item_bits FROM (SELECT p_partkey, p_partkey * 37 AS b FROM part)""")
 def attr_bits(spark, sf_dir):
     """H20"""
     b = F.col("p_partkey") * 37
     return table(spark, sf_dir, "part").select("p_partkey", fn.attribute_flags(b).alias("flags"), fn.item_attributes(b).alias("item_bits"))
 
 
-@query("""WITH m AS (SELECT p_partkey, (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = p_size AND (s_suppkey % 3 = 0 OR s_suppkey % 3 = p_partkey % 3)) AS hit FROM part) SELECT p_partkey, s_name FROM m LEFT JOIN supplier ON s_suppkey = hit""")
+@query("""WITH m AS (SELECT p_partkey, (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = p_size AND (s_suppkey % 3 = 0 OR s_suppkey % 3 = p_partkey % 3) AND (s_suppkey % 2 = 0 OR s_suppkey % 2 = p_partkey % 2)) AS hit FROM part) SELECT p_partkey, s_name FROM m LEFT JOIN supplier ON s_suppkey = hit""")
 def theta_first_match(spark, sf_dir):
-    """The first record that agrees, where zero agrees with all."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"), (F.col("p_partkey") % 3).alias("crc"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("size"), (F.col("s_suppkey") % 3).alias("crc"), "s_name")
-    return installer.first_match(p, s, ["size"], (F.col("r_crc") == 0) | (F.col("r_crc") == F.col("l_crc")), "p_partkey", "s_suppkey", "s_name")
+    """The first record of the same size that agrees in checksum and offset, where zero agrees with all."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"), (F.col("p_partkey") % 3).alias("crc"), (F.col("p_partkey") % 2).alias("off"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("size"), (F.col("s_suppkey") % 3).alias("crc"), (F.col("s_suppkey") % 2).alias("off"), "s_name")
+    return installer.first_match(p, s, ["size"], ["crc", "off"], "p_partkey", "s_suppkey", "s_name")
 
 
-@query("""SELECT p_partkey, CASE p_size % 6 WHEN 2 THEN 'Automatic' WHEN 3 THEN 'On demand' WHEN 4 THEN 'Disabled' ELSE 'Unknown' END AS start_type FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN ' Boot Start' WHEN 1 THEN ' System Start' WHEN 2 THEN 'Automatic' WHEN 3 THEN ' Manual' WHEN 4 THEN ' Disabled' ELSE 'Unknown' END AS start_type,
+CASE p_size % 5 WHEN 1 THEN 'Kernel Driver' WHEN 2 THEN 'File System Driver' ELSE 'Unknown' END AS service_type,
+CASE p_size % 4 WHEN 1 THEN 'DLL file stored in a Binary table stream' WHEN 2 THEN 'EXE file stored in a Binary table stream' ELSE '-' END AS action FROM part""")
 def service_names(spark, sf_dir):
-    """E14, E15"""
-    code = F.col("p_size") % 6 + F.when(F.col("p_partkey") % 2 == 0, 0x1000).otherwise(0)
-    return table(spark, sf_dir, "part").select("p_partkey", installer.named_code(code, installer.START_TYPES, "Unknown", flags=0x1000).alias("start_type"))
+    """Names of service starts and types, and of custom actions with and without flags."""
+    action = F.col("p_size") % 4 + F.when(F.col("p_partkey") % 2 == 0, 0x40).otherwise(0) + F.when(F.col("p_partkey") % 3 == 0, 0x80).otherwise(0)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        installer.named_code(F.col("p_size") % 7, installer.START_TYPES, "Unknown").alias("start_type"),
+        installer.named_code(F.col("p_size") % 5, installer.SERVICE_TYPES, "Unknown").alias("service_type"),
+        installer.named_code(action, installer.CUSTOM_ACTIONS, "-", installer.ACTION_FLAGS).alias("action"),
+    )
 
 
 @query("""SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS last_text, bool_or(o_orderstatus = 'P') AS has_p, max(o_totalprice) AS most FROM orders GROUP BY 1""")
@@ -393,16 +411,18 @@ def topk_sizes(spark, sf_dir):
 # Round trips: tables become container bytes, which are listed and extracted again.
 
 
-def _packed(spark, sf_dir, write):
-    """Containers of eight documents each, written by `write` in the tasks."""
-    docs = table(spark, sf_dir, "documents").select(F.expr("concat('pack_', doc_id div 8)").alias("container_id"), "doc_id", F.expr("concat(lang, '\\\\doc_', doc_id, '.txt')").alias("path"), F.encode("text", "UTF-8").alias("content"))
+def _packed(spark, sf_dir, write, only_full=False):
+    """Containers of eight documents each, written by `write` in the tasks; null is the empty text. only_full: for formats that have no empty files."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select(F.expr("concat('pack_', doc_id div 8)").alias("container_id"), "doc_id", F.expr("concat(lang, '\\\\doc_', doc_id, '.txt')").alias("path"), F.encode("text", "UTF-8").alias("content"))
 
     def pack(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["doc_id"])
         found = write([(r["path"], r["content"], 1 + r["doc_id"]) for r in rows])
         return pa.table({"container_id": [rows[0]["container_id"] + suffix for suffix, _ in found], "content": [c for _, c in found]})
 
-    return docs.filter("length(content) > 0").groupBy("container_id").applyInArrow(pack, "container_id string, content binary")
+    docs = docs.filter("length(content) > 0") if only_full else docs
+    # a table, as listing and reading both need it
+    return written(docs.groupBy("container_id").applyInArrow(pack, "container_id string, content binary"), "packs")
 
 
 def _listed_contents(packs, module=None):
@@ -411,13 +431,13 @@ def _listed_contents(packs, module=None):
     return items.join(containers.contents_of(items, found).withColumnRenamed("status", "read"), ["container_id", "item_index"])
 
 
-_PACK = "SELECT 'pack_' || (doc_id // 8){0} AS container_id, replace(lang || '/doc_' || doc_id || '.txt', '/', '\\') AS path, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5, 'ok' AS read FROM documents WHERE text <> ''"
+_PACK = "SELECT 'pack_' || (doc_id // 8){0} AS container_id, replace(lang || '/doc_' || doc_id || '.txt', '/', '\\') AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(coalesce(text, '')) AS md5, 'ok' AS read FROM documents"
 
 
-@query(_PACK.format("").replace(" AS md5,", " AS md5, doc_id + 1 AS mtime,"))
+@query(_PACK.format("").replace(" AS md5,", " AS md5, doc_id + 1 AS mtime,") + " WHERE text <> ''")
 def vp_roundtrip(spark, sf_dir):
-    """B4, A4, D-20: documents packed into VP files, listed and extracted."""
-    found = _listed_contents(_packed(spark, sf_dir, lambda files: [("", writers.vp_bytes(files))]))
+    """B4, A4, D-20: documents packed into VP files, listed and extracted. In a VP file an entry without bytes is a directory, so it holds no empty documents."""
+    found = _listed_contents(_packed(spark, sf_dir, lambda files: [("", writers.vp_bytes(files))], only_full=True))
     return found.select("container_id", "path", "size", F.md5("content").alias("md5"), "mtime", "read")
 
 
@@ -453,10 +473,10 @@ def mbox_roundtrip(spark, sf_dir):
     return containers.items_of(containers.detected(boxes)).select("container_id", "path", "owner", "mtime")
 
 
-@query("""SELECT page_id::VARCHAR AS container_id, '{headers}' AS path, NULL AS md5 FROM pages UNION ALL SELECT page_id::VARCHAR, 'page.html', md5(html) FROM pages UNION ALL SELECT page_id::VARCHAR, '0002.plain', md5(url) FROM pages""")
+@query("""SELECT page_id::VARCHAR AS container_id, '{headers}' AS path, NULL AS md5 FROM pages UNION ALL SELECT page_id::VARCHAR, CASE WHEN page_id % 3 = 0 THEN 'page.html' WHEN page_id % 3 = 1 THEN 'named.htm' ELSE 'place.html' END, md5(html) FROM pages UNION ALL SELECT page_id::VARCHAR, 'message.txt', md5(url) FROM pages""")
 def eml_parts(spark, sf_dir):
     """Pages as messages with an attachment and a nameless part."""
-    eml = F.expr("""concat('MIME-Version: 1.0\nFrom: a@example.com\nContent-Type: multipart/mixed; boundary="xx"\n\n--xx\nContent-Type: text/html\nContent-Disposition: attachment; filename="page.html"\nContent-Transfer-Encoding: base64\n\n',
+    eml = F.expr("""concat('MIME-Version: 1.0\nFrom: a@example.com\nContent-Type: multipart/mixed; boundary="xx"\n\n--xx\nContent-Type: text/html', CASE page_id % 3 WHEN 0 THEN '; name="other.htm"\nContent-Disposition: attachment; filename="http://x.org/a/page.html?q=1"' WHEN 1 THEN '; name="c:\\\\d\\\\named.htm"\nContent-Disposition: attachment; filename="/"' ELSE '\nContent-Location: http://x.org/a/b/place.html' END, '\nContent-Transfer-Encoding: base64\n\n',
         base64(encode(html, 'UTF-8')), '\n--xx\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: base64\n\n', base64(encode(url, 'UTF-8')), '\n--xx--\n')""")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("container_id"), F.encode(eml, "UTF-8").alias("content"))
     found = _listed_contents(pages)

@@ -11,18 +11,20 @@ import email
 import email.policy
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargohold.functions.codecs import decoded_bytes, xor_index
-from cargohold.functions.text import mail_name
+from cargohold.functions.text import mail_name, part_name
+from cargohold.sources.options import DEFAULTS, merged
 
 _STRINGS, _LONGS = ("container_id", "module", "path", "owner", "codec", "content_id", "status"), ("item_index", "size", "packed_size", "mtime", "at", "length")
-_ITEM = pa.schema([(c, pa.string()) for c in _STRINGS] + [(c, pa.int64()) for c in _LONGS] + [("is_dir", pa.bool_()), ("hidden", pa.bool_()), ("inline", pa.binary())])
-ITEM = ", ".join([f"{c} string" for c in _STRINGS] + [f"{c} long" for c in _LONGS] + ["is_dir boolean", "hidden boolean", "inline binary"])
+_ITEM = pa.schema([(c, pa.string()) for c in _STRINGS] + [(c, pa.int64()) for c in _LONGS] + [("is_dir", pa.bool_()), ("hidden", pa.bool_()), ("inline", pa.binary()), ("names", pa.list_(pa.string()))])
+ITEM = ", ".join([f"{c} string" for c in _STRINGS] + [f"{c} long" for c in _LONGS] + ["is_dir boolean", "hidden boolean", "inline binary", "names array<string>"])
 _CONTENT = pa.schema([("container_id", pa.string()), ("item_index", pa.int64()), ("content", pa.binary()), ("status", pa.string())])
 Row = dict[str, object]
 
@@ -42,23 +44,24 @@ def detected(containers: DataFrame, module: str | None = None) -> DataFrame:
     """containers with `module` (B, C1, C5, O2): by the first bytes, or by extension where those say nothing."""
     head = F.hex(F.substring("content", 1, 6))
     n = F.octet_length("content")
-    text = F.decode(F.substring("content", 1, 2048), "ISO-8859-1")
+    # the whole header of a message, up to the first blank line, however long
+    header = F.regexp_extract(F.decode("content", "ISO-8859-1"), r"(?s)\A(.*?)(\r?\n\r?\n|\z)", 1)
     probes = [
         ("vp", head.startswith("56505650")),
         ("xcat", F.col("container_id").rlike(r"(?i)\.cat$")),
         ("mbox", head.startswith("46726F6D20") & (n >= 100)),
         ("bat", head.startswith("20067919") & (n >= 100)),
         ("pak", head.startswith("5041434B")),
-        ("mime", n.between(10, 100 << 20) & text.rlike(r"(?im)^(From|Message-ID|MIME-Version):")),
+        ("mime", n.between(10, 100 << 20) & header.rlike(r"(?im)^(From|Message-ID|MIME-Version):")),
     ]
     return containers.withColumn("module", F.lit(module) if module else first_module(probes))
 
 
-def _text(raw: bytes) -> str:
-    return raw.split(b"\0")[0].decode("utf-8", "replace")
+def _text(raw: bytes, charset: str = "utf-8") -> str:
+    return raw.split(b"\0")[0].decode(charset, "replace")
 
 
-def vp_rows(content: bytes) -> Iterator[Row]:
+def vp_rows(content: bytes, charset: str = "utf-8") -> Iterator[Row]:
     """B4, D-20: a flat index in which a directory row opens a directory and `..` closes one."""
     version, start, n = struct.unpack_from("<iii", content, 4)
     if version > 2:
@@ -66,7 +69,7 @@ def vp_rows(content: bytes) -> Iterator[Row]:
     stack: list[str] = []
     for k in range(n):
         at, size, raw, mtime = struct.unpack_from("<ii32si", content, start + 44 * k)
-        name = _text(raw)
+        name = _text(raw, charset)
         if name == "..":
             del stack[-1:]
             continue
@@ -76,21 +79,21 @@ def vp_rows(content: bytes) -> Iterator[Row]:
             stack.append(name)
 
 
-def pak_rows(content: bytes) -> Iterator[Row]:
+def pak_rows(content: bytes, charset: str = "utf-8") -> Iterator[Row]:
     """64-byte entries: name, offset, length."""
     start, size = struct.unpack_from("<II", content, 4)
     for k in range(size // 64):
         raw, at, n = struct.unpack_from("<56sII", content, start + 64 * k)
-        yield {"path": _text(raw).replace("/", "\\"), "size": n, "at": at, "length": n}
+        yield {"path": _text(raw, charset).replace("/", "\\"), "size": n, "at": at, "length": n}
 
 
-def xcat_rows(content: bytes) -> Iterator[Row]:
+def xcat_rows(content: bytes, charset: str = "latin-1") -> Iterator[Row]:
     """An index of lines `name size` after the data file's name; offsets are the running sum, in the data file beside it."""
     lines = [x for x in re.split(rb"[\0\r\n]+", xor_index(content)) if x]
     at = 0
     for line in lines[1:]:
         name, _, size = line.rpartition(b" ")
-        yield {"path": name.decode("latin-1").replace("/", "\\"), "size": int(size), "at": at, "length": int(size), "codec": "xor33"}
+        yield {"path": name.decode(charset, "replace").replace("/", "\\"), "size": int(size), "at": at, "length": int(size), "codec": "xor33"}
         at += int(size)
 
 
@@ -121,31 +124,44 @@ def bat_rows(content: bytes) -> Iterator[Row]:
         at += 48 + size
 
 
+def _header_text(value: object) -> str | None:
+    """A header's or parameter's value, decoded where it says so."""
+    if value is None:
+        return None
+    text = email.utils.collapse_rfc2231_value(value)
+    return str(email.header.make_header(email.header.decode_header(text))) if "=?" in text else str(text)
+
+
 def mime_rows(content: bytes) -> Iterator[Row]:
     """The headers, then the parts that aren't multipart, in the order of the walk."""
-    message = email.message_from_bytes(content, policy=email.policy.default)
-    headers = "".join(f"{k}: {v}\r\n" for k, v in message.items()).encode()
+    message = email.message_from_bytes(content, policy=email.policy.compat32)
+    headers = "".join(f"{k}: {v}\r\n" for k, v in message.items()).encode("utf-8", "surrogateescape")
     yield {"path": "{headers}", "size": len(headers), "inline": headers}
-    n = 0
     for part in message.walk():
         if part.is_multipart() and part.get_content_type() != "message/rfc822":
             continue
-        n += 1
         body = part.get_payload(0).as_bytes() if part.get_content_type() == "message/rfc822" else part.get_payload(decode=True) or b""
-        yield {"path": part.get_filename() or f"{n:04d}.{part.get_content_subtype()}", "size": len(body), "inline": body}
+        # what a name may come from, for part_name
+        from_ = [part.get_param("filename", None, "content-disposition"), part.get_param("name"), part["content-location"]]
+        yield {"path": "", "size": len(body), "inline": body, "names": [*map(_header_text, from_), part.get_content_type()]}
 
 
 #: A user's own decoder joins by name.
-DECODERS: dict[str, Callable[[bytes], Iterator[Row]]] = {"vp": vp_rows, "pak": pak_rows, "xcat": xcat_rows, "mbox": mbox_rows, "bat": bat_rows, "mime": mime_rows}
+DECODERS: dict[str, Callable[..., Iterator[Row]]] = {"vp": vp_rows, "pak": pak_rows, "xcat": xcat_rows, "mbox": mbox_rows, "bat": bat_rows, "mime": mime_rows}
 _KEEP_WHAT_WAS_READ = {"mbox", "bat"}
 
 
-def items_of(containers: DataFrame, decoders: dict[str, Callable[[bytes], Iterator[Row]]] | None = None) -> DataFrame:
+def items_of(containers: DataFrame, decoders: dict[str, Callable[..., Iterator[Row]]] | None = None, options: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Item rows of detected containers; of a container that can't be read one row with item_index null and a status (C2, D-11).
 
-    Mailboxes keep what could be read before a fault.
+    Mailboxes keep what could be read before a fault. options: a user's sections
+    of keys by module (C8, C9), merged over the defaults and given to the decoder
+    as keywords; a module whose section has `enabled` false is not read (C7).
     """
-    known = dict(decoders or DECODERS)
+    chosen = merged(DEFAULTS, options or {})
+    off = {m for m, x in chosen.items() if x.pop("enabled", "true").lower() in ("0", "false", "no")}
+    known = {m: partial(f, **chosen.get(m, {})) for m, f in (decoders or DECODERS).items() if m not in off}
+    containers = containers.filter(~F.col("module").isin(*off)) if off else containers
 
     def rows_of(cid: str, module: str, content: bytes) -> list[Row]:
         rows: list[Row] = []
@@ -166,7 +182,8 @@ def items_of(containers: DataFrame, decoders: dict[str, Callable[[bytes], Iterat
 
     rows = containers.filter("module IS NOT NULL AND content IS NOT NULL").select("container_id", "module", "content").mapInArrow(of, ITEM)
     mails = F.col("module").isin("mbox", "bat") & F.col("item_index").isNotNull()
-    return rows.withColumn("path", F.when(mails, mail_name(F.col("item_index"), F.col("path"))).otherwise(F.col("path")))
+    named = F.when(mails, mail_name(F.col("item_index"), F.col("path"))).when(F.col("names").isNotNull(), part_name(*(F.col("names")[k] for k in range(4)))).otherwise(F.col("path"))
+    return rows.withColumn("path", named).drop("names")
 
 
 def contents_of(items: DataFrame, containers: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 #: What each module understands, with defaults.
-DEFAULTS: dict[str, dict[str, str]] = {"mime": {"charset": "utf-8"}, "mbox": {"charset": "utf-8"}, "xcat": {"charset": "latin-1"}}
+DEFAULTS: dict[str, dict[str, str]] = {"vp": {"charset": "utf-8"}, "pak": {"charset": "utf-8"}, "xcat": {"charset": "latin-1"}}
 
 
 def merged(base: Mapping[str, Mapping[str, str]], user: Mapping[str, Mapping[str, str]]) -> dict[str, dict[str, str]]:

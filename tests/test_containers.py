@@ -98,3 +98,75 @@ def test_options_and_space(spark, tmp_path):
     assert got == {"mbox": {"charset": "b"}, "new": {"k": "v"}}
     plan = spark.createDataFrame([("write", 1 << 62), ("skip", 1 << 62)], "action string, size long")
     assert not extract.fits(plan, str(tmp_path)) and extract.fits(plan.filter("action = 'skip'"), str(tmp_path))
+
+
+def test_long_header_and_body_lines(spark):
+    """A header is searched up to its blank line, however long, and the body not at all."""
+    chain = b"".join(b"Received: from host%d\r\n" % i for i in range(500))
+    rows = [("far", chain + b"From: a@x.org\r\n\r\nbody"), ("body", b"Some text\n\nFrom: nobody\n"), ("no end", b"X: y\nMIME-Version: 1.0")]
+    assert {r.container_id: r.module for r in c.detected(spark.createDataFrame(rows, "container_id string, content binary")).collect()} == {"far": "mime", "body": None, "no end": "mime"}
+
+
+def test_part_names(spark):
+    """Disposition, then type, then location, each cut like an address; names of one character don't count."""
+    heads = {
+        b'Content-Type: text/plain; name="t.txt"\nContent-Disposition: attachment; filename="=?utf-8?q?caf=C3=A9=2Etxt?="': "caf\u00e9.txt",
+        b'Content-Type: text/plain; name="c:\\\\d\\\\t.txt"\nContent-Disposition: attachment; filename="x"': "t.txt",
+        b'Content-Type: image/png; name="/"\nContent-Location: http://x.org/a/pic.png?s=1': "pic.png",
+        b"Content-Type: image/PNG": "image.png",
+        b"Content-Type: text/richtext": "message.rtf",
+        b"Content-Type: text/css": "message.txt",
+        b"Content-Type: application/postscript": "document.ps",
+        b"Content-Type: application/zip": "file.dat",
+        b"X-None: 1": "message.txt",
+    }
+    mail = b"From: a@b\nContent-Type: multipart/mixed; boundary=q\n\n" + b"".join(b"--q\n" + h + b"\n\nx\n" for h in heads) + b"--q--\n"
+    _, items = listed(spark, [("m", mail)])
+    assert [r.path for r in items.orderBy("item_index").collect()] == ["{headers}", *heads.values()]
+
+
+def test_options_reach_decoders(spark):
+    name = "\u00e9.txt".encode("latin-1")
+    pak = struct.pack("<4sII", b"PACK", 12, 64) + struct.pack("<56sII", name, 12, 0)
+    found = c.detected(spark.createDataFrame([("p", pak)], "container_id string, content binary"))
+    assert c.items_of(found, options={"PAK": {"Charset": "latin-1"}}).first().path == "\u00e9.txt"
+    assert c.items_of(found).first().path == "\ufffd.txt"
+    assert c.items_of(found, options={"pak": {"enabled": "false"}}).count() == 0
+
+
+def test_empty_files_are_packed(spark):
+    found, items = listed(spark, [("p", writers.pak_bytes([("e", b"", 0), ("f", b"x", 0)]))])
+    got = {r.path: bytes(r.content) for r in items.join(c.contents_of(items, found).drop("status"), ["container_id", "item_index"]).collect()}
+    assert got == {"e": b"", "f": b"x"}
+
+
+def test_times_and_attributes_come_back(spark, tmp_path):
+    rows = [("c", 1, "a", b"1", 1, 1_000_000), ("c", 2, "b", b"2", 0, 0), ("c", 3, "d", b"3", None, None)]
+    schema = "container_id string, item_index long, target string, content binary, attributes long, mtime long"
+    for _ in range(2):  # the second time over a read-only file
+        status = extract.write_files(spark.createDataFrame(rows, schema), str(tmp_path))
+        assert {r.status for r in status.collect()} == {"ok"}
+    assert (tmp_path / "a").stat().st_mtime == 1_000_000 and (tmp_path / "a").stat().st_mode & 0o222 == 0
+    assert (tmp_path / "b").stat().st_mtime > 1_000_000 and (tmp_path / "b").stat().st_mode & 0o200
+
+
+def test_failed_write_leaves_nothing(tmp_path):
+    (tmp_path / "there").mkdir()
+    (tmp_path / "there" / "full").write_bytes(b"")
+    assert extract._put(str(tmp_path), "there", b"x", None, None).startswith("write_error")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["there"]
+
+
+def test_plan_keeps_containers_in_order(spark):
+    """Over several partitions, a container's rows follow each other by index."""
+    items = spark.createDataFrame([(f"c{i % 3}", i, f"a\\{i}") for i in range(200)], "container_id string, item_index long, path string").repartition(9)
+    plan = extract.planned(items, items.select("container_id", F.col("path").alias("target")).limit(0), "out", "full")
+    rows = plan.select(F.spark_partition_id().alias("p"), "container_id", "item_index").collect()
+    in_order = sorted((r.p, k, r.container_id, r.item_index) for k, r in enumerate(rows))
+    assert len({p for p, *_ in in_order}) > 1
+    assert [(cid, i) for _, _, cid, i in in_order] == sorted((cid, i) for _, _, cid, i in in_order)
+
+
+def test_beside(spark):
+    df = spark.createDataFrame([("file:/x/y/box.vp",), ("c:\\d\\a.pak",), ("alone",)], "p string")
+    assert [r[0] for r in df.select(extract.beside(F.col("p"))).collect()] == ["file:/x/y", "c:\\d", ""]

@@ -25,6 +25,38 @@ def test_collisions(spark):
     assert names(spark, "x.txt", "x.txt", "x,2.txt") == ["x.txt", "x,2.txt", "x,2,2.txt"]
 
 
+def test_dotted_names_collide(spark):
+    assert names(spark, ".x", ".x", "a.", "a.") == [".x", ",2.x", "a.", "a,2."]
+    assert names(spark, *["x,2.t"] * 3, "x.t", "x.t") == ["x,2.t", "x,2,2.t", "x,2,3.t", "x.t", "x,3.t"]
+
+
+def test_lookups(spark):
+    """The empty path and a separator are the container; a leading or doubled one is nothing; a trailing one a directory."""
+    nodes = items(spark, "d", r"d\f", "f", dirs=(0,))
+    found = {p: [(r.item_index, r.is_dir) for r in tree.found_at(nodes, p).collect()] for p in ("", "\\", "d", "d\\", "f", "f\\", r"\d", r"d\f", r"d\\f", "D")}
+    assert found == {"": [(-1, True)], "\\": [(-1, True)], "d": [(0, True)], "d\\": [(0, True)], "f": [(2, False)], "f\\": [], r"\d": [], r"d\f": [(1, False)], r"d\\f": [], "D": []}
+
+
+def test_moves(spark):
+    nodes = items(spark, "d", r"d\f", r"d\e", dirs=(0, 2)).select("container_id", "path")
+    cases = {("d", "e"): r"d\e", ("d", ".."): "", ("", ".."): None, ("d", "/d/f"): r"d\f", ("d", "gone"): None, ("d", "gone/.."): None, ("d", "e/../f/"): r"d\f", ("d", ""): None, ("d", "f/.."): "d", (r"d\e", "/"): ""}
+    moves = spark.createDataFrame([("c", *k) for k in cases], "container_id string, current string, to string")
+    assert {(r.current, r.to): r.target for r in tree.entered(moves, nodes).collect()} == cases
+
+
+def test_listing_order(spark):
+    nodes = items(spark, "b", "a", "Z", "z", "c", dirs=(3, 4))
+    assert [(r.name, r.is_dir) for r in tree.listed(nodes, "").collect()] == [("c", True), ("z", True), ("Z", False), ("a", False), ("b", False)]
+
+
+def test_dirs_are_counted_if_none_is_reported(spark):
+    assert tree.dir_counts(items(spark, r"a\b\c", r"a\d")).first().n_dirs == 2
+    assert tree.dir_counts(items(spark, r"a\b\c", "x", dirs=(1,))).first().n_dirs == 1
+    # a second row for a directory is no second directory, but is reported
+    twice = items(spark, "d", "d", dirs=(0, 1))
+    assert tree.all_dirs(twice).count() == 1 and tree.totals(twice).first().n_dirs_reported == 2
+
+
 def test_resolve(spark):
     cases = {r"a\b\c.txt": r"a\b\c.txt", r".\a.txt": "a.txt", r"a\..\b.txt": "b.txt", r"..\a.txt": None, r"a\\b.txt": r"a\b.txt", r"a\..\..\b": None, r"a\..\..\b\c\d": None, "": ""}
     df = spark.createDataFrame(list(cases.items()), "p string, want string").withColumn("got", tree.resolved(F.col("p")))
