@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargohold.scratch import scratch_path, written
@@ -19,6 +19,11 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """64 bits of a row's id and text, to tell rows apart that share or lack an id."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most so many bytes; a longer text is alone."""
     begin = size = 0
@@ -31,7 +36,7 @@ def stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-__all__ = ["FIRST_BYTES", "Words", "bucketed", "connected_components", "count_words", "eights", "id_and_bytes", "mixed", "scratch_path", "slice_hashes", "stretches", "written"]
+__all__ = ["FIRST_BYTES", "Words", "bucketed", "connected_components", "count_words", "eights", "id_and_bytes", "joined_hot", "mixed", "row_key", "scratch_path", "slice_hashes", "stretches", "written"]
 
 #: 1 for bytes of words: digits, letters, and all of UTF-8 beyond ASCII.
 _IS_WORD = np.zeros(256, np.bool_)
@@ -115,6 +120,22 @@ class Words:
         return np.bincount(self.doc, minlength=n_texts)
 
 
+#: A key with more than one in so many rows is hot, and there are at most so many hot keys.
+HOT = 1000
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined to table, which has a row for each key, with the number of rows that have it in `size` (dropped).
+
+    The rows of hot keys stay where they are: those at most HOT rows of table are broadcast.
+    """
+    total = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot, rest = (table.filter(F.expr(f"{size} * {HOT} {op} {total}L")).drop(size) for op in (">", "<="))
+    stay = rows.join(F.broadcast(hot), key)
+    move = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return stay.unionByName(move)
+
+
 def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     """df as a written table of n buckets by key: later groups by key need no shuffle of it. Its name is only kept while it is made."""
     spark = df.sparkSession

@@ -7,8 +7,8 @@ group sizes. A digest is looked up by hash, then compared byte by byte: members
 are repeats of a historical winner, nonmembers are grouped among themselves.
 
 Hot digests cost nothing: groups are pre-aggregated before they are shuffled,
-each distinct digest is looked up once, and the join of the answers to the rows
-is an equi-join that adaptive execution splits.
+each distinct digest is looked up once, and the few answers that many rows want
+are broadcast instead of gathering those rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import id_and_bytes, mixed, written
+from cargohold.llm.common import id_and_bytes, joined_hot, mixed, row_key, written
 
 #: Digests of a shard, on average: what one task holds at once; and shards at least.
 SHARD_DIGESTS, LEAST_SHARDS = 250_000, 64
@@ -30,14 +30,14 @@ _INDEX = "shard long, n long, sizes binary, bits binary, digests binary, winners
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of each whole text with A-Z lower-cased; null counts as empty."""
+    """(doc_id, row, digest): row_key and SHA-256 of each whole text with A-Z lower-cased; null counts as empty."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [hashlib.sha256(t.lower()).digest() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "digest"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), pa.array(found, pa.binary())], ["doc_id", "row", "digest"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, digest binary")
+    return id_and_bytes(docs, id_col, text_col).withColumn("row", row_key()).mapInArrow(of, "doc_id long, row long, digest binary")
 
 
 class PerfectHash:
@@ -132,7 +132,7 @@ def shard_count(n_digests: int) -> int:
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, digest, keep_id, group_size, kept, is_repeat.
+    """One row per row of docs: doc_id, row (its row_key), digest, keep_id, group_size, kept, is_repeat.
 
     history: the documents whose digests make the index, docs themselves if
     None. A text that the history has is a repeat of its winner (the largest
@@ -143,8 +143,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     Nulls: a null text is the empty text; null doc_ids lose against others, and
     a group of null doc_ids only has a null keep_id and is kept. Repeated rows
     (equal doc_id and text) are one document: kept or dropped together, each
-    counted in group_size. An empty table gives an empty result. Other columns
-    of docs are not read.
+    counted in group_size. An empty table gives an empty result; very long texts
+    count whole. Other columns of docs are not read.
     """
     rows = written(digests(docs, id_col, text_col), "digests")
     past = rows if history is None else written(digests(history, id_col, text_col), "history")
@@ -153,10 +153,10 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("own_id"), F.count("*").alias("own_size"))
     known = lookup(groups.select("digest"), index, shards)
     decided = groups.join(known.withColumn("is_repeat", F.lit(True)), "digest", "left").select(
-        "digest",
+        "digest", "own_size",
         F.when(F.col("is_repeat"), F.col("keep_id")).otherwise(F.col("own_id")).alias("keep_id"),
         F.coalesce("group_size", "own_size").alias("group_size"),
         F.coalesce("is_repeat", F.lit(False)).alias("is_repeat"),
     )
     decided = written(decided, "decided")
-    return rows.join(decided, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "is_repeat")
+    return rows.join(decided, "digest").select("doc_id", "row", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "is_repeat")

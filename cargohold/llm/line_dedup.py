@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import id_and_bytes, mixed, stretches, written
+from cargohold.llm.common import id_and_bytes, mixed, row_key, stretches, written
 
 MIN_DOCS = 10
 CHUNK_BYTES = 4 << 20
@@ -121,7 +121,7 @@ class LineIndex:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, row): row stands for the document in joins, whatever its doc_id; rows that share one are looked up together."""
-    return id_and_bytes(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+    return id_and_bytes(docs, id_col, text_col).withColumn("row", row_key())
 
 
 def chunked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

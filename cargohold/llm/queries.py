@@ -77,7 +77,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """Number and digest of each document's token ids, and the digest of what they decode to."""
+    """Number and digest of each document's token ids, and the digest of what they decode to.
+
+    One row per row of docs, repeated or without an id or not; a null text is the
+    empty text, without ids; an empty table gives an empty result; very long
+    texts are encoded whole.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = bpe.decode(bpe.encode(docs, path), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -101,13 +106,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Weak labels of the chain's earlier categories: a toxic row whose text has one of the words.
-TOXIC_WORDS = {"insult": "idiot|moron|clown|loser|stupid", "contempt": "worthless|pathetic", "disgust": "disgusting|trash|scum"}
+#: The chain's categories, from the labels that there are: texts of no use, then toxic ones.
+CATEGORIES = {"useless": "1 - quality", "toxic": "toxic"}
 
 
 def fitted_chain(docs: DataFrame, labels: DataFrame) -> Chain:
-    weak = {c: rf"toxic * CAST(lower(text) RLIKE r'\b({w})\b' AS INT)" for c, w in TOXIC_WORDS.items()}
-    return fit_chain(docs, labels, weak | {"toxic": "toxic"}, ["toxic"])
+    return fit_chain(docs, labels, CATEGORIES, ["quality", "toxic"])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

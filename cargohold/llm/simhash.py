@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import connected_components, id_and_bytes, written
+from cargohold.llm.common import connected_components, id_and_bytes, joined_hot, row_key, written
 
 SEGMENT_BITS = 2
 #: Fingerprints around a cell that are compared with each other; cells with more are split.
@@ -50,14 +50,14 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    """(doc_id, row, fp): row is the row_key; fp holds the 64 bits as a signed long."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), pa.array(fps)], ["doc_id", "row", "fp"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, fp long")
+    return id_and_bytes(docs, id_col, text_col).withColumn("row", row_key()).mapInArrow(of, "doc_id long, row long, fp long")
 
 
 def segment_popcounts(fp: np.ndarray, bits: int = SEGMENT_BITS) -> np.ndarray:
@@ -149,19 +149,23 @@ def links(distinct: DataFrame, bits: int = SEGMENT_BITS, most: int = MOST_IN_CEL
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, fp (signed long), component_id.
+    """One row per row of docs: doc_id, row (its row_key), fp (signed long), component_id, is_first.
 
     component_id is the smallest doc_id that links reach, the row's own
-    included. A null or blank text has fingerprint zero and links like any
-    other. Null doc_ids don't count for the smallest; a component of null
+    included. is_first is true for the row of that doc_id, the one with the
+    smallest row_key if several have it. A null or blank text has fingerprint
+    zero and links like any other. Null doc_ids come last; a component of null
     doc_ids only has a null component_id. Repeated rows give repeated results;
     an empty table an empty one; very long texts count whole. Other columns of
     docs are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = written(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "distinct_fp")
     parts = connected_components(links(nodes))
-    named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = written(named.join(least, "component").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    named = written(named.join(least, "component").select("fp", "n", "least"), "components")
+    found = joined_hot(rows, named, "fp", "n")
+    is_first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))
+    return found.select("doc_id", "row", "fp", F.col("least.doc_id").alias("component_id"), is_first.alias("is_first"))

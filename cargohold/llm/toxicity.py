@@ -7,8 +7,10 @@ imperfect as those it meets in use.
 
 Features are counts of words and of word beginnings, which carry the stems of
 inflected languages. Which of them count is chosen by a chi-squared test over a
-bounded sample of labelled rows; the models are a few kilobytes and go to the
-tasks with the code. Scoring covers every document and moves nothing.
+bounded sample of labelled rows, and for the out-of-fold predictions of each
+fold over the other folds alone, so no label has a part in its own prediction.
+The models are a few kilobytes and go to the tasks with the code. Scoring covers
+every document and moves nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargohold.llm.common import Words, id_and_bytes, stretches, written
@@ -26,7 +28,9 @@ from cargohold.llm.decontamination import SHARD_BYTES
 
 #: Labelled rows that a model is fitted on, at most: those whose doc_ids hash lowest.
 MAX_ROWS = 12_000
-FEATURES, FOLDS, LEAST_DOCS, MOST_COUNT, PENALTY = 128, 5, 8, 4, 1e-4
+FOLDS, MOST_COUNT, PENALTY = 5, 4, 1e-4
+#: Features of a model, and labelled rows that a feature must have. Defaults of fit_chain.
+FEATURES, LEAST_DOCS = 128, 8
 #: Bytes of word beginnings.
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
@@ -76,13 +80,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).astype(np.float32)
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = PENALTY, most: int = 25) -> np.ndarray:
+def _fitted(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, most: int = 25) -> np.ndarray:
     """Logistic regression with an L2 penalty by Newton's method: weights, then the intercept."""
     x1 = np.column_stack((x, np.ones(len(x), np.float32)))
     n, d = max(len(x), 1), x1.shape[1]
     ridge = np.full(d, penalty)
     ridge[-1] = 1e-6
-    w = np.zeros(d) if start is None else start.copy()
+    w = np.zeros(d)
 
     def loss(w: np.ndarray) -> float:
         z = (x1 @ w.astype(np.float32)).astype(np.float64)
@@ -104,35 +108,71 @@ def _fitted(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penal
     return w
 
 
-def _chain(categories: list[str], features: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
-    chain = Chain(categories, features)
+@dataclass
+class Sample:
+    """The labelled rows that a chain is fitted on, in order of their ids.
+
+    x: counts of all candidate features. y: a column per category. fold: of each
+    row. chosen[f]: the features chosen without fold f; chosen[FOLDS]: by all rows.
+    """
+
+    features: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    chosen: list[np.ndarray]
+
+
+def out_of_fold(sample: Sample, k: int, earlier: np.ndarray) -> np.ndarray:
+    """For each row the probability of category k by a model of the other folds' rows, on the features chosen by those and on `earlier`."""
+    out = np.zeros(len(sample.x), np.float32)
+    for f in range(FOLDS):
+        held = sample.fold == f
+        if not held.any() or held.all():
+            continue
+        x = np.column_stack((sample.x[:, sample.chosen[f]], earlier))
+        w = _fitted(x[~held], sample.y[~held, k])
+        out[held] = _sigmoid(x[held] @ w[:-1].astype(np.float32) + w[-1])
+    return out
+
+
+def _chain(categories: list[str], sample: Sample) -> Chain:
+    every = sample.chosen[FOLDS]
+    chain, earlier = Chain(categories, sample.features[every]), np.zeros((len(sample.x), 0), np.float32)
     for k in range(len(categories)):
-        full = _fitted(x, y[:, k]) if len(x) else np.append(np.zeros(x.shape[1]), -30.0)
-        out_of_fold = np.zeros(len(x), np.float32)
-        for f in range(FOLDS):
-            held = fold == f
-            if not held.any() or held.all():
-                continue
-            w = _fitted(x[~held], y[~held, k], full)
-            out_of_fold[held] = _sigmoid(x[held] @ w[:-1].astype(np.float32) + w[-1])
+        x = np.column_stack((sample.x[:, every], earlier))
+        full = _fitted(x, sample.y[:, k]) if len(x) else np.append(np.zeros(x.shape[1]), -30.0)
         chain.weights.append(full[:-1].astype(np.float32))
         chain.intercepts.append(float(full[-1]))
-        x = np.column_stack((x, out_of_fold))
+        earlier = np.column_stack((earlier, out_of_fold(sample, k, earlier)))
     return chain
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], label_cols: list[str], max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain over categories, in that order.
+def _chosen(with_: DataFrame, rows: np.ndarray, sums: np.ndarray, n_features: int, least_docs: int) -> list[np.ndarray]:
+    """The hashes of the features with the largest chi-squared against any category: without each fold, then by all rows.
 
-    categories: of each a name and its 0/1 label, in SQL over label_cols (columns
-    of labels) and `text`. Of the labelled rows (no label_cols null) the max_rows
-    whose ids hash lowest are used, which bounds what is broadcast and what comes
-    to the driver; only their texts are looked at. Repeated ids count once, ids
-    without a document not at all, nor rows with a null category. Without any
-    labelled row every probability is about zero.
+    with_: h, and of the rows that have it their number m and labels s0, s1, ...
+    in each fold. rows and sums: the same of all rows. At most FOLDS + 1 times
+    n_features numbers come to the driver.
     """
-    used = labels.select(F.col(id_col).cast("long").alias("doc_id"), *label_cols).dropna()
-    sample = used.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).drop("h")
+    out = []
+    for left_out in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != left_out]
+        n, m = float(rows[folds].sum()), sum((F.col(f"m_{f}") for f in folds), F.lit(0)).cast("double")
+        scores = [F.lit(0.0)]
+        for k in range(sums.shape[1]):  # n * (a*d - b*c)**2 / product of the margins
+            a, c = sum((F.col(f"s{k}_{f}") for f in folds), F.lit(0)).cast("double"), F.lit(float(sums[folds, k].sum()))
+            margins = m * (n - m) * c * (n - c)
+            scores.append(F.when(margins > 0, F.pow(a * n - m * c, 2) / margins).otherwise(0.0))
+        best = with_.select("h", m.alias("m"), F.greatest(*scores, F.lit(0.0)).alias("score")).filter(F.col("m") >= least_docs).orderBy(F.desc("score"), "h").limit(n_features)
+        out.append(np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(np.uint64)))
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], label_cols: list[str], max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", n_features: int = FEATURES, least_docs: int = LEAST_DOCS) -> Sample:
+    """The rows that fit_chain fits on; see there."""
+    used = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*label_cols).alias("own")).filter(" AND ".join(f"own.`{c}` IS NOT NULL" for c in label_cols) + " AND doc_id IS NOT NULL")
+    sample = used.groupBy("doc_id").agg(F.min("own").alias("own")).select("doc_id", F.xxhash64("doc_id").alias("h"), "own.*").orderBy("h", "doc_id").limit(max_rows).drop("h")
     ys = [f"y{k}" for k in range(len(categories))]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,27 +188,24 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], la
                 doc, h = doc[new].astype(np.int64), h[new]
                 cut = np.searchsorted(doc, np.arange(z - a + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (h.view(np.int64), n.astype(np.int8))]
-                yield pa.record_batch([*(b.column(c).slice(a, z - a) for c in ("doc_id", *ys)), *lists], ["doc_id", *ys, "h", "n"])
+                yield pa.record_batch([*(b.column(c).slice(a, z - a) for c in ("doc_id", "fold", *ys)), *lists], ["doc_id", "fold", *ys, "h", "n"])
 
     text = id_and_bytes(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # max_rows rows of numbers
-    text = text.withColumn("bytes", F.col("text")).withColumn("text", F.col("text").cast("string"))
-    text = text.select("doc_id", *(F.expr(e).cast("int").alias(y) for e, y in zip(categories.values(), ys, strict=True)), F.col("bytes").alias("text")).dropna()
-    kind = f"doc_id long, {', '.join(f'{y} int' for y in ys)}, h array<long>, n array<byte>"
-    rows = written(text.mapInArrow(extract, kind).dropDuplicates(["doc_id"]), "toxicity_sample")
-    of = {f"s{k}": F.sum(y) for k, y in enumerate(ys)}
-    total = rows.agg(F.count("*").alias("n"), *(v.alias(k) for k, v in of.items())).first()
-    n, s = total["n"], [total[f"s{k}"] or 0 for k in range(len(ys))]
-    with_ = rows.select(*ys, F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("m"), *(v.alias(k) for k, v in of.items())).filter(F.col("m") >= LEAST_DOCS)
-
-    def chi_squared(k: int) -> Column:
-        """Of the feature against category k: n * (a*d - b*c)**2 / product of the margins."""
-        a, m, c = F.col(f"s{k}").cast("double"), F.col("m").cast("double"), F.lit(float(s[k]))
-        margins = m * (n - m) * c * (n - c)
-        return F.when(margins > 0, F.pow(a * n - m * c, 2) / margins).otherwise(0.0)
-
-    best = with_.select("h", F.greatest(*(chi_squared(k) for k in range(len(ys))), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "h").limit(FEATURES)
-    features = np.sort(np.array([r.h for r in best.collect()], np.int64).view(np.uint64))
-    chosen = features.view(np.int64)
+    # of documents that share an id the one whose text hashes lowest
+    text = text.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("of"), F.col("text").alias("bytes"), *label_cols)).alias("b")).select("doc_id", "b.*")
+    text = text.withColumn("text", F.col("bytes").cast("string")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    text = text.select("doc_id", "fold", *(F.expr(e).cast("int").alias(y) for e, y in zip(categories.values(), ys, strict=True)), F.col("bytes").alias("text")).dropna()
+    kind = f"doc_id long, fold int, {', '.join(f'{y} int' for y in ys)}, h array<long>, n array<byte>"
+    rows = written(text.mapInArrow(extract, kind), "toxicity_sample")
+    total = {r.fold: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).collect()}
+    n = np.array([total[f].n if f in total else 0 for f in range(FOLDS)])
+    sums = np.array([[total[f][y] if f in total else 0 for y in ys] for f in range(FOLDS)]).reshape(FOLDS, len(ys))
+    own = [F.when(F.col("fold") == f, v).otherwise(0) for v in (F.lit(1), *map(F.col, ys)) for f in range(FOLDS)]
+    names = [f"{v}_{f}" for v in ("m", *(f"s{k}" for k in range(len(ys)))) for f in range(FOLDS)]
+    with_ = rows.select("fold", *ys, F.explode("h").alias("h")).groupBy("h").agg(*(F.sum(x).alias(c) for x, c in zip(own, names, strict=True)))
+    with_ = written(with_.filter(sum((F.col(f"m_{f}") for f in range(FOLDS)), F.lit(0)) >= least_docs), "toxicity_features")
+    best = _chosen(with_, n, sums, n_features, least_docs)
+    features = np.unique(np.concatenate(best))
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,13 +217,30 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], la
                 row = np.zeros(len(features), np.uint8)
                 row[at[same]] = c.values.to_numpy()[same]
                 cells.append(row.tobytes())
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", *ys)), pa.array(cells, pa.binary())], ["doc_id", *ys, "x"])
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "fold", *ys)), pa.array(cells, pa.binary())], ["doc_id", "fold", *ys, "x"])
 
-    got = rows.mapInArrow(thinned, f"doc_id long, {', '.join(f'{y} int' for y in ys)}, x binary").orderBy("doc_id").toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(got.num_rows, len(chosen)).astype(np.float32)
+    got = rows.mapInArrow(thinned, f"doc_id long, fold int, {', '.join(f'{y} int' for y in ys)}, x binary").orderBy("doc_id").toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(got.num_rows, len(features)).astype(np.float32)
     y = np.stack([got[c].to_numpy() for c in ys], axis=1).astype(np.float32)
-    fold = np.arange(len(x)) % FOLDS
-    return _chain(list(categories), features, x, y, fold)
+    return Sample(features, x, y, got["fold"].to_numpy(), [np.searchsorted(features, b) for b in best])
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], label_cols: list[str], max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", n_features: int = FEATURES, least_docs: int = LEAST_DOCS) -> Chain:
+    """A chain over categories, in that order.
+
+    categories: of each a name and its 0/1 label, in SQL over label_cols (columns
+    of labels) and `text`. Of the labelled rows (no label_cols null) the max_rows
+    whose ids hash lowest are used, which bounds what is broadcast and what comes
+    to the driver; only their texts are looked at. Each model has the n_features
+    features with the largest chi-squared against any category, of those in
+    least_docs labelled rows or more; counts end at MOST_COUNT.
+
+    Repeated ids count once: of labels the least, of documents the text that
+    hashes lowest. Ids without a document don't count, nor rows with a null id
+    or category. Very long texts count whole. Without any labelled row every
+    probability is about zero.
+    """
+    return _chain(list(categories), labelled_sample(docs, labels, categories, label_cols, max_rows, id_col, text_col, n_features, least_docs))
 
 
 def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -209,7 +263,11 @@ def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 
 def not_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns unchanged, that the chain doesn't reject."""
+    """The rows of docs, all columns unchanged, that the chain doesn't reject.
+
+    Null and empty texts are scored as such; rows that repeat stay or go alike;
+    an empty table gives an empty result; very long texts are scored whole.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -426,6 +426,93 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, blank).filter("rejected").count() == 0
 
 
+def plain_features(text):
+    """Counts of words and of word beginnings, of at most MOST_COUNT each."""
+    n = Counter()
+    for w in plain_words(text):
+        n[w, "word"] += 1
+        for k in toxicity.PREFIXES:
+            if len(w.encode()) > k:
+                n[w.encode()[:k], "beginning"] += 1
+    return {f: min(c, toxicity.MOST_COUNT) for f, c in n.items()}
+
+
+def plain_fit(x, y, penalty=toxicity.PENALTY):
+    """Logistic regression by plain Newton steps in double precision."""
+    x1, w = np.column_stack((x, np.ones(len(x)))).astype(float), np.zeros(x.shape[1] + 1)
+    ridge = np.append(np.full(x.shape[1], penalty), 1e-6)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -40, 40)))
+        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 / len(x) + np.diag(ridge), x1.T @ (p - y) / len(x) + ridge * w)
+        w -= step if np.abs(step).max() < 5 else step * 5 / np.abs(step).max()
+    return w
+
+
+def toxic_rows():
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        rude, dull = rng.random() < 0.4, rng.random() < 0.5
+        words = rng.choices(["river", "stone", "morning", "lantern", "window"], k=6) + rng.choices(["scoundrels", "rubbish", "river"] if rude else ["kindness", "stone"], k=2) + (["filler"] if dull else ["insight"])
+        rows.append((i, " ".join(words), int(rude) if rng.random() < 0.9 else int(not rude), int(not dull) if rng.random() < 0.85 else int(dull)))
+    return rows
+
+
+def test_chain_equals_a_plain_refit(spark):
+    """Features, out-of-fold probabilities and the chain's own against plain loops, in spite of repeated ids."""
+    rows = toxic_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[5][:2], rows[6][:2]], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, t, q) for i, _, t, q in rows] + [(3, rows[3][2], rows[3][3]), (900, 1, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    categories = {"useless": "1 - quality", "toxic": "toxic"}
+    sample = toxicity.labelled_sample(docs, labels, categories, ["quality", "toxic"], n_features=10_000)
+    assert len(sample.x) == 120 and set(sample.fold.tolist()) == set(range(5))
+    y = np.array([(1 - q, t) for *_, t, q in rows], float)
+    assert np.array_equal(sample.y, y)
+    counts = [plain_features(t) for _, t, *_ in rows]
+
+    def matrix(train):
+        names = sorted({f for k in train for f in counts[k] if sum(f in counts[j] for j in train) >= toxicity.LEAST_DOCS}, key=str)
+        return names, np.array([[c.get(f, 0) for f in names] for c in counts], float).reshape(len(counts), -1)
+
+    earlier, fold = np.zeros((120, 0)), sample.fold
+    chain = toxicity.fit_chain(docs, labels, categories, ["quality", "toxic"], n_features=10_000)
+    got = {r.doc_id: (r.p_useless, r.p_toxic) for r in toxicity.toxicity(docs, chain).collect()}
+    scored = np.zeros((120, 0))
+    for k in range(2):
+        oof = np.zeros(120)
+        for f in range(5):
+            train = np.flatnonzero(fold != f).tolist()
+            names, x = matrix(train)
+            assert len(names) == len(sample.chosen[f])
+            w = plain_fit(np.column_stack((x, earlier))[train], y[train, k])
+            held = fold == f
+            oof[held] = 1 / (1 + np.exp(-(np.column_stack((x, earlier, np.ones(120)))[held] @ w)))
+        assert np.abs(toxicity.out_of_fold(sample, k, earlier.astype(np.float32)) - oof).max() < 0.02
+        _, x = matrix(list(range(120)))
+        w = plain_fit(np.column_stack((x, earlier)), y[:, k])
+        scored = np.column_stack((scored, 1 / (1 + np.exp(-(np.column_stack((x, scored, np.ones(120))) @ w)))))
+        earlier = np.column_stack((earlier, oof))
+    assert np.abs(np.array([got[i] for i in range(120)]) - scored).max() < 0.02
+
+
+def test_no_label_has_a_part_in_its_own_prediction(spark):
+    """Turning all labels of a fold around leaves that fold's features and probabilities as they are."""
+    rows = toxic_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+
+    def sample(turned):
+        labels = spark.createDataFrame([(i, 1 - t if i in turned else t) for i, _, t, _ in rows], "doc_id long, toxic int")
+        return toxicity.labelled_sample(docs, labels, {"toxic": "toxic"}, ["toxic"], n_features=4)
+
+    a = sample(set())
+    held = np.flatnonzero(a.fold == 2)
+    b = sample(set(held.tolist()))
+    none = np.zeros((120, 0), np.float32)
+    assert np.array_equal(a.features[a.chosen[2]], b.features[b.chosen[2]])
+    assert not np.array_equal(a.y, b.y) and not np.array_equal(toxicity.out_of_fold(a, 0, none), toxicity.out_of_fold(b, 0, none))
+    assert np.array_equal(toxicity.out_of_fold(a, 0, none)[held], toxicity.out_of_fold(b, 0, none)[held])
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://www.Ex.org/a/?b=2&a=1#x", 1, "response", '"v1"', None, {"ETag": '"v1"', "Vary": "a", "X": "1"}),
