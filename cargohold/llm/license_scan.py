@@ -1,11 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Only DataFrame functions run here. Header lines of every file, and licence files
-as wholes, are bags of words weighted by tf * idf with document frequencies over
+Only DataFrame functions run here. The units of a file are its runs of one to
+LINES consecutive lines, as notices are wrapped, and of licence files the whole
+text. Units are bags of words weighted by tf * idf with document frequencies over
 all files. A cosine of c needs words that carry c * c of the template's squared
 length, so of each template the rarest words are taken until the others carry
-less; a line without any of them can't match. Files and lines that have none go
-before any join, and nothing that could match is lost.
+less; a unit without any of them can't match. Files, units and pairs of unit and
+template that share none go before any product, and nothing that could match is
+lost. Templates are a table of any size.
 
 A file without a licence of its own takes that of a licence file in the nearest
 directory above it. Directories are resolved once each, however many files they
@@ -14,32 +16,17 @@ have.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargohold.llm.common import written
+from cargohold.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
-#: Words of all templates together, at most: their weights are literals of the plan.
-MOST_WORDS = 2_000
-#: Licence notices, as projects print them.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("proprietary", "All rights reserved."),
-)
+#: Consecutive lines of a unit, at most: notices are wrapped.
+LINES = 4
+#: Rows of templates' words, or words that are needed, that are sent to all tasks; more are joined by a shuffle.
+SENT_WORDS = 50_000
 #: Tasks that a directory's files are dealt over.
 SALTS = 32
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)\b[^/]*$"
@@ -61,28 +48,45 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def needed_words(rows: list, threshold: float) -> set[str]:
-    """Words of which every text whose cosine to a template reaches the threshold has one. rows: template, w, tf and idf of the templates' words."""
-    out: set[str] = set()
-    for t in {r.template for r in rows}:
-        own = sorted((r for r in rows if r.template == t), key=lambda r: (-r.idf, r.w))
-        whole = sum((r.tf * r.idf) ** 2 for r in own)
-        left = whole
-        for r in own:
-            if left < (threshold * threshold - 1e-9) * whole:
-                break
-            out.add(r.w)
-            left -= (r.tf * r.idf) ** 2
-    return out
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SENT_WORDS else df
 
 
-def _units(files: DataFrame, needed: set[str]) -> DataFrame:
-    """(file_id, unit, w): the words of lines that have a needed word, and of such licence files as wholes (unit -1)."""
-    asked = F.array(*map(F.lit, sorted(needed)))
-    some = files.withColumn("words", words_of(F.col("text"))).filter(F.arrays_overlap("words", asked))
-    lines = some.select("file_id", F.posexplode(F.split("text", "\n")).alias("unit", "line")).select("file_id", "unit", words_of(F.col("line")).alias("w"))
-    whole = some.filter("is_license").select("file_id", F.lit(-1).alias("unit"), F.col("words").alias("w"))
-    return lines.filter(F.arrays_overlap("w", asked)).unionByName(whole)
+def template_words(templates: DataFrame, counted: DataFrame, n_files: int, threshold: float) -> DataFrame:
+    """(template, license, w, y, needed): the words of each template with their share y of its unit vector.
+
+    Every text whose cosine to a template reaches the threshold has one of its
+    needed words.
+    """
+    asked = templates.select("template", "license", F.explode(words_of(F.col("text"))).alias("w")).groupBy("template", "license", "w").agg(F.count("*").alias("tf"))
+    weighed = asked.join(counted, "w", "left").withColumn("idf", _idf(n_files, F.col("df"))).withColumn("y", F.col("tf") * F.col("idf"))
+    # a template's words are a group of its own size
+    own, rarest = Window.partitionBy("template"), Window.partitionBy("template").orderBy(F.desc("idf"), "w").rowsBetween(Window.unboundedPreceding, -1)
+    whole, before = F.sum(F.col("y") * F.col("y")).over(own), F.coalesce(F.sum(F.col("y") * F.col("y")).over(rarest), F.lit(0.0))
+    found = weighed.withColumn("whole", whole).withColumn("left", F.col("whole") - before)
+    return found.select("template", "license", "w", (F.col("y") / F.sqrt("whole")).alias("y"), (F.col("left") >= (threshold * threshold - 1e-9) * F.col("whole")).alias("needed"))
+
+
+def _candidates(files: DataFrame, needed: DataFrame, n_needed: int) -> tuple[DataFrame, Column | None]:
+    """Files with a needed word, and the needed words as an array if they are few."""
+    if n_needed <= SENT_WORDS:
+        asked = F.array(*(F.lit(r.w) for r in needed.collect()))
+        return files.filter(F.arrays_overlap(words_of(F.col("text")), asked)), asked
+    has = files.select("file_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("w")).join(needed, "w").select(F.col("file_id").alias("of")).distinct()
+    return files.join(has, files["file_id"].eqNullSafe(has["of"]), "left_semi"), None
+
+
+def _units(files: DataFrame, asked: Column | None) -> DataFrame:
+    """(file_id, unit, w): the words of runs of lines that have one of the words asked for (all runs if None), and of licence files as wholes (unit -1)."""
+    lines = F.transform(F.split("text", "\n"), words_of)
+    listed = files.select("file_id", "is_license", lines.alias("lines"))
+    hits = F.transform("lines", lambda x: F.arrays_overlap(x, asked) if asked is not None else F.size(x) > 0)
+    # runs that begin with words, and have one of those asked for
+    run = F.transform(F.sequence(F.lit(0), F.size("lines") * LINES - 1), lambda u: F.struct(u.alias("unit"), (F.floor(u / LINES) + 1).cast("int").alias("from"), (u % LINES + 1).cast("int").alias("n")))
+    fits = F.filter(run, lambda r: (r["from"] + r["n"] - 1 <= F.size("lines")) & F.exists(F.slice("hits", r["from"], r["n"]), lambda h: h))
+    runs = listed.withColumn("hits", hits).select("file_id", F.explode(fits).alias("r"), "lines")
+    parts = runs.select("file_id", F.col("r.unit").alias("unit"), F.flatten(F.slice("lines", F.col("r.from"), F.col("r.n"))).alias("w"))
+    return parts.unionByName(listed.filter("is_license").select("file_id", F.lit(-1).alias("unit"), F.flatten("lines").alias("w")))
 
 
 def own_licenses(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -92,27 +96,20 @@ def own_licenses(files: DataFrame, templates: DataFrame, threshold: float = THRE
         raise ValueError("the threshold is above 0 and at most 1")
     counted = files.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     counted = written(counted, "word_files")
-    asked = templates.select("template", "license", F.explode(words_of(F.col("text"))).alias("w")).groupBy("template", "license", "w").agg(F.count("*").alias("tf"))
-    weighed = asked.join(counted, "w", "left").select("template", "license", "w", "tf", _idf(n_files, F.col("df")).alias("idf"))
-    rows = weighed.limit(MOST_WORDS * 8 + 1).collect()
-    if not rows:
-        return files.select("file_id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score")).limit(0)
-    if len({r.w for r in rows}) > MOST_WORDS or len(rows) > MOST_WORDS * 8:
-        raise ValueError(f"templates have more than {MOST_WORDS} words")
-    norm: dict[int, float] = {}
-    for r in rows:
-        norm[r.template] = norm.get(r.template, 0.0) + (r.tf * r.idf) ** 2
-    units = _units(files, needed_words(rows, threshold))
-    terms = units.select("file_id", "unit", F.explode("w").alias("w")).groupBy("file_id", "unit", "w").agg(F.count("*").alias("tf"))
-    terms = terms.join(counted, "w", "left").select("file_id", "unit", "w", (F.col("tf") * _idf(n_files, F.col("df"))).alias("x"))
+    vectors = written(template_words(templates, counted, n_files, threshold), "template_words")
+    needed = vectors.filter("needed").select("w").distinct()
+    n_words, n_needed = vectors.count(), needed.count()
+    some, asked = _candidates(files, needed, n_needed)
+    terms = _units(some, asked).select("file_id", "unit", F.explode("w").alias("w")).groupBy("file_id", "unit", "w").agg(F.count("*").alias("tf"))
+    terms = terms.join(counted, "w").select(F.struct("file_id", "unit").alias("key"), "w", (F.col("tf") * _idf(n_files, F.col("df"))).alias("x"))
     terms = written(terms, "license_terms")
-    sizes = terms.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    vectors = F.array(*(F.struct(F.lit(r.license).alias("license"), F.lit(r.template).alias("template"), F.lit(r.w).alias("w"), F.lit(r.tf * r.idf / math.sqrt(norm[r.template])).alias("y")) for r in rows))
-    unit_vectors = files.sparkSession.range(1).select(F.inline(vectors))
-    # at most MOST_WORDS * 8 rows
-    dots = terms.join(F.broadcast(unit_vectors), "w").groupBy("file_id", "unit", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    found = dots.join(sizes, ["file_id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).filter(F.col("score") >= threshold)
-    best = found.groupBy("file_id", "license").agg(F.max("score").alias("score"))
+    sizes = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    # pairs of unit and template that share a needed word; only for those is a product made
+    pairs = terms.join(_sent(vectors.filter("needed").select("w", "template"), n_words), "w").select("key", "template").distinct()
+    products = terms.join(pairs, "key").join(_sent(vectors.drop("needed"), n_words), ["template", "w"])
+    dots = products.groupBy("key", "template", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    found = dots.join(sizes, "key").withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).filter(F.col("score") >= threshold)
+    best = found.groupBy("key.file_id", "license").agg(F.max("score").alias("score"))
     return best.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("file_id", "b.license", (-F.col("b.s")).alias("score"))
 
 
@@ -120,15 +117,16 @@ def license_scan(files: DataFrame, templates: DataFrame | None = None, threshold
     """One row per row of files: file_id, path, license, score, origin, from_dir.
 
     A file's own licence is the template with the largest cosine, `threshold` or
-    more, to one of its lines; for licence files (by name) also to its whole
-    text. origin: "own"; "inherited" from the best licence file of the nearest
+    more, to one of its runs of up to LINES consecutive lines; for licence files
+    (by name) also to its whole text. origin: "own"; "inherited" from the best licence file of the nearest
     directory at or above the file's, which from_dir names; or "none".
 
     Directories are separated by "/"; the root is the empty path. Nulls: a null
     text has no lines, a file with a null path is in no directory and inherits
     nothing, null ids are one file of several rows. Rows that repeat an id share
-    the best licence of them. Empty tables give an empty result, and without
-    templates no file has a licence. Other columns are not read.
+    the best licence of them. Very long texts and lines are read whole. Empty
+    tables give an empty result, and without templates no file has a licence.
+    Other columns are not read.
     """
     spark = files.sparkSession
     name = F.coalesce(F.regexp_extract(F.col(path_col), "([^/]*)$", 1), F.lit(""))

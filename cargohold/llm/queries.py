@@ -191,7 +191,8 @@ SELECT page_id * 2 + 1 AS record_id, url, hit * 2 AS response_id, outcome,
             ELSE 'Cache-Control: max-age=60' || chr(10) || 'Content-Length: 0' || chr(10) || 'Date: second' END AS headers
 FROM both_
 """
-_TEMPLATE_SQL = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+_QUOTED = [(name, text.replace("'", "''")) for name, text in TEMPLATES]
+_TEMPLATE_SQL = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(_QUOTED))
 _OP2_SQL = rf"""
 WITH file AS (SELECT doc_id, coalesce(text, '') AS text, n_chars < 250 AS lic,
                      source || '/' || lang || CASE WHEN n_chars < 250 THEN '' ELSE '/' || (n_chars // 1000) END AS dir,
@@ -203,7 +204,9 @@ tmpl AS (SELECT t, license, w, count(*) AS tf FROM (SELECT t, license, unnest(re
          FROM (VALUES {_TEMPLATE_SQL}) v(t, license, x)) GROUP BY ALL),
 y AS (SELECT t, license, w, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) AS y FROM tmpl LEFT JOIN df USING (w), size),
 ynorm AS (SELECT t, sqrt(sum(y * y)) AS norm FROM y GROUP BY t),
-unit AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS u, unnest(string_split(text, chr(10))) AS l FROM file
+line AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM file),
+unit AS (SELECT doc_id, i * 10 + k AS u, array_to_string(ls[i:i + k - 1], chr(10)) AS l
+         FROM (SELECT doc_id, ls, i, unnest([1, 2, 3, 4]) AS k FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM line)) WHERE i + k - 1 <= len(ls)
          UNION ALL SELECT doc_id, -1, text FROM file WHERE lic),
 x AS (SELECT doc_id, u, w, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS x
       FROM (SELECT doc_id, u, w, count(*) AS tf FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(l), '[a-z0-9]+')) AS w FROM unit) GROUP BY ALL) JOIN df USING (w), size),

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cargohold.llm import bpe, decontamination, exact_dedup, license_scan, line_dedup, lm_scoring, simhash, token_files, toxicity, warc
+from cargohold.llm import bpe, decontamination, exact_dedup, license_scan, license_texts, line_dedup, lm_scoring, simhash, token_files, toxicity, warc
 from cargohold.llm.common import Words, connected_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -559,7 +559,8 @@ def plain_licenses(files, threshold=0.8):
 
     out = {}
     for i, (t, whole) in files.items():
-        units = [bag(x) for x in (t or "").split("\n")] + [bag(t)] * whole
+        lines = (t or "").split("\n")
+        units = [bag("\n".join(lines[i : i + k])) for i in range(len(lines)) for k in range(1, license_scan.LINES + 1) if i + k <= len(lines)] + [bag(t)] * whole
         best = max(((round(cosine(weigh(u), weigh(bag(x))), 6), name) for u in units if u for name, x in license_scan.TEMPLATES), default=(0, ""), key=lambda v: (v[0], [-ord(c) for c in v[1]]))
         out[i] = best[1] if best[0] >= threshold else None
     return out
@@ -578,6 +579,42 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df, license_scan.template_table(spark).limit(0)).filter("license IS NOT NULL").count() == 0
 
 
+def wrapped_files():
+    """Notices wrapped at many widths behind comment marks, between lines of code; and whole licences under a line of names."""
+    import textwrap
+
+    rng, rows = random.Random(4), []
+    code = ["import os", "def main(argv):", "    return run(argv, os.environ)", "class Reader:", "    pass  # nothing yet"]
+    notices = [x for x in license_scan.TEMPLATES if 8 <= len(x[1].split()) <= 40]
+    for k, (name, text) in enumerate(notices):
+        for width in (60, 66, 72, 78, 100):
+            mark = ("# ", " * ", "// ", "-- ")[(k + width) % 4]
+            head = ["#!/usr/bin/env x", f"{mark}Copyright {2000 + k} by some people", mark]
+            rows.append((len(rows), f"src/f{len(rows)}.x", "\n".join(head + textwrap.wrap(text, width, initial_indent=mark, subsequent_indent=mark) + [mark] + rng.sample(code, 4)), name))
+    for k, (name, text) in enumerate(license_texts.WHOLE):
+        body = "\n".join(line for p in text.split("\n") for line in (textwrap.wrap(p, 72) or [""]))
+        rows.append((len(rows), f"lib{k}/LICENSE", f"Copyright (c) {1990 + k} The {name} Makers and others\n\n{body}", name))
+    n = len(rows)
+    rows += [(n + k, f"plain/p{k}.x", "\n".join(rng.choices(code, k=12) + ["# the version of the license file is checked below"]), None) for k in range(40)]
+    return rows
+
+
+def test_license_recall_on_wrapped_notices(spark):
+    rows = wrapped_files()
+    got = {r.file_id: r.license for r in license_scan.license_scan(spark.createDataFrame([r[:3] for r in rows], "file_id long, path string, text string")).collect()}
+    right = [got[i] == name for i, _, _, name in rows if name]
+    assert len(right) > 50 and sum(right) / len(right) >= 0.9
+    assert all(got[i] is None for i, _, _, name in rows if not name)
+
+
+def test_license_templates_beyond_what_is_sent(spark, monkeypatch):
+    rows = [r[:3] for r in wrapped_files()[::3]]
+    df = spark.createDataFrame(rows, "file_id long, path string, text string")
+    want = sorted(map(str, license_scan.license_scan(df).collect()))
+    monkeypatch.setattr(license_scan, "SENT_WORDS", 0)
+    assert sorted(map(str, license_scan.license_scan(df).collect())) == want
+
+
 def test_license_inheritance_takes_the_nearest(spark):
     mit, apache = (next(x for n, x in license_scan.TEMPLATES if n == name) for name in ("MIT", "Apache-2.0"))
     rows = [(1, "LICENSE", mit), (2, "p/q/LICENSE", apache), (3, "p/x", "x"), (4, "p/q/r/s/y", "y"), (5, "top", "t"), (6, "p/q/z", "z")]
