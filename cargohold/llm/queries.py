@@ -28,17 +28,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def capture_records(pages: DataFrame) -> DataFrame:
-    """A crawl log of the pages: of each a full response, and later a not-modified revisit.
+    """A crawl log of the pages: of each a response, and later a not-modified revisit.
 
-    Pages of odd length send a weak tag again, those whose length five divides
-    only a date, those whose length eleven divides the tag of an older version.
+    Pages whose number 13 divides are not found, and of those that 17 divides the
+    answer is cut off. Pages of odd length send a weak tag again, those whose
+    length five divides only a date, those whose length eleven divides the tag of
+    an older version.
     """
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
     size = F.length(F.coalesce("html", F.lit("")))
     base = pages.select("page_id", "url", tag.alias("tag"), size.alias("size")).withColumn("day", F.concat(F.lit("day "), F.col("page_id") % 28))
-    full = base.select((F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.col("tag").alias("etag"), F.col("day").alias("last_modified"), F.expr("map('Content-Type', 'text/html', 'ETag', tag, 'Date', 'first', 'Content-Length', CAST(size AS STRING))").alias("headers"))
+    full = base.select((F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.when(F.col("page_id") % 13 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 17 == 0, "length").alias("truncated"), F.col("tag").alias("etag"), F.col("day").alias("last_modified"), F.expr("map('Content-Type', 'text/html', 'ETag', tag, 'Date', 'first', 'Content-Length', CAST(size AS STRING))").alias("headers"))
     again = F.expr("CASE WHEN size % 5 = 0 THEN NULL WHEN size % 11 = 0 THEN '\"old\"' WHEN size % 2 = 1 THEN concat('W/', tag) ELSE tag END")
-    revisit = base.withColumn("again", again).select((F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 10 + 25).alias("ts"), F.lit("revisit").alias("kind"), F.col("again").alias("etag"), F.col("day").alias("last_modified"), F.expr("map('Date', 'second', 'Cache-Control', 'max-age=60', 'Content-Length', '0')").alias("headers"))
+    revisit = base.withColumn("again", again).select((F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 10 + 25).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.lit(None).cast("string").alias("truncated"), F.col("again").alias("etag"), F.col("day").alias("last_modified"), F.expr("map('Date', 'second', 'Cache-Control', 'max-age=60', 'Content-Length', '0')").alias("headers"))
     return full.unionByName(revisit)
 
 
@@ -172,16 +174,16 @@ FROM t WINDOW g AS (PARTITION BY norm)
 
 _OP1_SQL = r"""
 WITH bare AS (SELECT page_id, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, length(coalesce(html, '')) AS size,
-                     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
-part AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+                     regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(http://[^/?]*):80([/?]|$)', '\1\2', 'i'), '^(https://[^/?]*):443([/?]|$)', '\1\2', 'i'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+part AS (SELECT *, lower(regexp_extract(u, '^([^/?]*)', 1)) AS host,
                 regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
                 list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'),
-                    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS params FROM bare),
+                    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid)(=|$)'))) AS params FROM bare),
 page AS (SELECT page_id, tag, size, nullif(host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END, '') AS url,
                 'day ' || (page_id % 28) AS day FROM part),
 again AS (SELECT page_id, url, day, page_id * 10 + 25 AS ts,
                  CASE WHEN size % 5 = 0 THEN NULL WHEN size % 11 = 0 THEN '"old"' ELSE tag END AS tag FROM page),
-near AS (SELECT again.*, (SELECT max(p.page_id) FROM page p WHERE p.url = again.url AND p.page_id * 10 < again.ts) AS hit FROM again),
+near AS (SELECT again.*, (SELECT max(p.page_id) FROM page p WHERE p.url = again.url AND p.page_id * 10 < again.ts AND p.page_id % 13 <> 0 AND p.page_id % 17 <> 0) AS hit FROM again),
 both_ AS (SELECT near.*, p.size AS size_1, p.tag AS tag_1,
                  CASE WHEN p.page_id IS NULL THEN 'no_response' WHEN coalesce(near.tag = p.tag, near.day = p.day) THEN 'resolved' ELSE 'mismatch' END AS outcome
           FROM near LEFT JOIN page p ON p.page_id = near.hit)

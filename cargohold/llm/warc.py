@@ -19,20 +19,26 @@ from cargohold.llm.common import written
 
 #: Fixed value: headers that a 304 answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Query parameters that don't name content.
-IGNORED_PARAMS = r"^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)"
+#: Query parameters that track visits and don't name content; and ports that schemes have anyway.
+TRACKING = r"^(utm_[^=]*|fbclid|gclid)(=|$)"
+PORTS = {"http": 80, "https": 443}
 
 
-def canonical_url(url: Column) -> Column:
-    """Host and path without scheme, www. or m., default port, fragment, trailing slashes and tracking parameters; host lower-cased, parameters sorted.
+def canonical_url(url: Column, merge_hosts: bool = False, ignored_params: str | None = TRACKING) -> Column:
+    """Host and path without scheme, the scheme's own port, fragment, trailing slashes and ignored parameters; host lower-cased, parameters sorted.
 
+    merge_hosts: also without a leading www. or m., for crawls that know them to
+    be the same. ignored_params: a pattern of `name=value`, None to keep all.
     Null for null and blank URLs.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    for scheme, port in PORTS.items():
+        whole = F.regexp_replace(whole, f"^((?i){scheme}://[^/?]*):{port}(?=[/?]|$)", "$1")
+    bare = F.regexp_replace(whole, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(bare, "^([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), r"^(www|m)\.", "")
+    host = F.regexp_replace(host, r"^(www|m)\.", "") if merge_hosts else host
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), "/+$", "")
-    params = F.filter(F.split(F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(IGNORED_PARAMS))
+    params = F.filter(F.split(F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1), "&"), lambda p: (p != "") & (~p.rlike(ignored_params) if ignored_params else F.lit(True)))
     query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(params), "&"))).otherwise("")
     return F.nullif(F.concat(host, path, query), F.lit(""))
 
@@ -59,14 +65,17 @@ def merged_headers(response: Column, revisit: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
-def resolved_revisits(records: DataFrame, partitions: int | None = None) -> DataFrame:
+def resolved_revisits(records: DataFrame, partitions: int | None = None, merge_hosts: bool = False, ignored_params: str | None = TRACKING) -> DataFrame:
     """One row per revisit record: record_id, url (canonical), response_id, outcome, headers.
 
     records: record_id long, url string, ts (any ordered type), kind ("response"
     or "revisit"; others are ignored), etag and last_modified string, headers
-    map<string,string>.
+    map<string,string>; where there are such columns also status int and
+    truncated string.
 
-    response_id is the latest earlier response by (ts, record_id). outcome:
+    response_id is the latest earlier full response by (ts, record_id): one with
+    status 200 and not truncated, as far as the columns are there. URLs are
+    compared by canonical_url. outcome:
     "resolved" if the entity tags agree, or where one has none, the last-modified
     dates; "mismatch" if they differ; "unverified" if neither can be compared;
     "no_response" if there is none. headers are merged if resolved, else those of
@@ -74,12 +83,17 @@ def resolved_revisits(records: DataFrame, partitions: int | None = None) -> Data
 
     Nulls: without URL or time a revisit has no response, and such responses
     match nothing; null record_ids are first among equal times. Records that
-    repeat are records each. Empty tables give an empty result. Other columns
-    are not read.
+    repeat are records each. Empty tables give an empty result; URLs of any
+    length count whole. Other columns are not read.
     """
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = records.filter(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("url"), "ts", "kind", "etag", "last_modified", "headers")
+    full = F.col("kind") == "response"
+    if "status" in records.columns:
+        full &= F.col("status").eqNullSafe(200)
+    if "truncated" in records.columns:
+        full &= F.coalesce(F.col("truncated"), F.lit("")) == ""
+    base = records.filter((F.col("kind") == "revisit") | full).select("record_id", canonical_url(F.col("url"), merge_hosts, ignored_params).alias("url"), "ts", "kind", "etag", "last_modified", "headers")
     keyed = base.filter(F.col("url").isNotNull() & F.col("ts").isNotNull())
     ranged = written(keyed.repartitionByRange(n, "url", "ts", "record_id").withColumn("part", F.spark_partition_id()), "captures")
     answer = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "headers"))

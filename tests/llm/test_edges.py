@@ -529,13 +529,30 @@ def test_revisits(spark):
         (None, "ex.org/a?a=1&b=2", 9, "metadata", None, None, None),
     ]
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>")
-    got = {r.record_id: (r.response_id, r.outcome) for r in warc.resolved_revisits(df.withColumn("part", F.lit(1))).collect()}
+    got = {r.record_id: (r.response_id, r.outcome) for r in warc.resolved_revisits(df.withColumn("part", F.lit(1)), merge_hosts=True).collect()}
     assert got == {2: (1, "resolved"), 4: (3, "mismatch"), 5: (3, "resolved"), 6: (3, "unverified"), 7: (None, "no_response"), 8: (None, "no_response"), 9: (None, "no_response"), 0: (None, "no_response")}
-    headers = next(r.headers for r in warc.resolved_revisits(df).collect() if r.record_id == 2)
+    headers = next(r.headers for r in warc.resolved_revisits(df, merge_hosts=True).collect() if r.record_id == 2)
     assert headers == {"etag": '"v1"', "vary": "b", "x": "1"}
     assert warc.resolved_revisits(df.limit(0)).count() == 0
 
 
+def test_only_full_responses_answer(spark):
+    rows = [(1, "a.org", 1, "response", 200, None), (2, "a.org", 2, "response", 404, None), (3, "a.org", 3, "response", 200, "length"), (4, "a.org", 4, "response", None, None), (5, "a.org", 5, "revisit", 304, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, truncated string")
+    df = df.select("*", *(F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified")), F.lit(None).cast("map<string,string>").alias("headers"))
+    assert [r.response_id for r in warc.resolved_revisits(df).collect()] == [1]
+    assert [r.response_id for r in warc.resolved_revisits(df.drop("truncated")).collect()] == [3]
+    assert [r.response_id for r in warc.resolved_revisits(df.drop("status", "truncated")).collect()] == [4]
+
+
+def test_canonical_urls(spark):
+    cases = {"HTTP://Ex.org:80/a/": "ex.org/a", "https://ex.org:443": "ex.org", "http://ex.org:443/": "ex.org:443", "ex.org:80": "ex.org:80", "http://www.ex.org/?ref=x&utm_id=1&b&a#f": "www.ex.org?a&b&ref=x", " ": None, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "u string").coalesce(1)
+    assert [r[0] for r in df.select(warc.canonical_url(F.col("u"))).collect()] == list(cases.values())
+    both = df.select(warc.canonical_url(F.col("u"), True, None)).collect()
+    assert both[4][0] == "ex.org?a&b&ref=x&utm_id=1"
+
+
 def test_hot_url_over_many_ranges(spark):
     rows = [(i, "hot.org" if i % 3 else f"cold{i % 7}.org", i // 2, "response" if i % 5 == 0 else "revisit", "t", None, None) for i in range(600)]
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>")
