@@ -14,6 +14,7 @@ the Python worker, up to a bounded number.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -34,7 +35,7 @@ _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _LETTER, _DIGIT, SPACE, _OTHER, _END = range(5)
 #: Bytes of text split at once, bytes whose new pre-tokens are encoded together, and pre-tokens kept by a worker.
-SPLIT_BYTES, STRETCH_BYTES, KEPT_WORDS = 1 << 20, 8 << 20, 2_000_000
+SPLIT_BYTES, STRETCH_BYTES, KEPT_WORDS = 1 << 20, 8 << 20, 1_000_000
 
 
 def char_classes(tokenizer_path: str) -> np.ndarray:
@@ -296,8 +297,12 @@ class Encoder:
         """For ranges a:z of texts: (a, z, ids of those texts one after the other, number of ids of each)."""
         if len(self.hash) > self.kept_words:
             self._reset()
-        split = [(a, z, *self._split(texts[a:z])) for a, z in stretches(texts, self.split_bytes)]
-        self._encode_waiting()
+        try:
+            split = [(a, z, *self._split(texts[a:z])) for a, z in stretches(texts, self.split_bytes)]
+            self._encode_waiting()
+        except BaseException:  # else a later task would find pre-tokens without their ids
+            self._reset()
+            raise
         for a, z, number, pre_count, special, pieces in split:
             length = self.length[number]
             ids = gathered(self.flat, self.from_[number], length)
@@ -332,6 +337,23 @@ class Encoder:
         return number, np.bincount(np.searchsorted(ends, start), minlength=len(pieces)), np.array(special, np.int64), counts
 
 
+#: The encoder that this Python worker keeps from task to task.
+_KEPT: dict[tuple, Encoder] = {}
+
+
+def kept_encoder(key: tuple, make: Callable[[], Encoder]) -> Encoder:
+    """The worker's encoder for a key, which names all that it depends on; another one goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).hexdigest()
+
+
 def _lists(flat: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(flat, kind))
 
@@ -347,9 +369,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
+    key = ("own", file_digest(tokenizer_path), split_bytes, kept_words)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, split_bytes=split_bytes, kept_words=kept_words)
+        encoder = kept_encoder(key, lambda: Encoder(shared.value, split_bytes=split_bytes, kept_words=kept_words))
         for b in batches:
             texts = b.column("text").to_pylist()
             for begin, end in stretches(texts, stretch_bytes):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cargohold.llm.bpe import SPACE, STRETCH_BYTES, Encoder, Vocabulary, gathered
+from cargohold.llm.bpe import SPACE, STRETCH_BYTES, Encoder, Vocabulary, file_digest, gathered, kept_encoder
 from cargohold.llm.common import id_and_bytes, scratch_path, stretches
 
 #: Tokens of a shard; a longer document is a shard of its own.
@@ -203,10 +203,14 @@ def encoding(spark: SparkSession, tokenizer_path: str, end_id: int, kind: str) -
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast((Vocabulary(tokenizer_path), f.read()))
+    key = ("library", file_digest(tokenizer_path))
 
-    def of(batches: Batches) -> Batches:
+    def made() -> Encoder:
         v, spec = shared.value
-        encoder = Encoder(v, library_words(spec, v))
+        return Encoder(v, library_words(spec, v))
+
+    def of(batches: Batches) -> Batches:
+        encoder = kept_encoder(key, made)
         for b in batches:
             texts = b.column("text").to_pylist()
             for begin, end in stretches(texts, STRETCH_BYTES):

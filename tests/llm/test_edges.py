@@ -670,6 +670,17 @@ def test_one_encoder_over_mixed_texts(batches, split_bytes, kept_words, hash_bit
         bpe.slice_hashes = exact
 
 
+def test_failed_encoding_leaves_nothing_behind():
+    """What a kept encoder had begun when a task failed is forgotten."""
+    encoder = both_encoders()[0]
+    good = encoder.encode_words
+    encoder.encode_words = lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        list(encoder.encode([b"some words here"]))
+    encoder.encode_words = good
+    assert next(encoder.encode([b"some words"]))[2].tolist() == CACHE["t"].encode("some words", add_special_tokens=False).ids
+
+
 def test_mixed_widths_through_spark(spark, tmp_path):
     """Every text once per neighbour, so that tasks meet the widths in every order, at stretches of a few bytes and of megabytes."""
     texts = [t for k in range(len(MIXED)) for t in (MIXED[k:] + MIXED[:k])]
