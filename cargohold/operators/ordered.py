@@ -1,9 +1,9 @@
 """Order-dependent operators that don't put a key's rows into one task.
 
 Rows are dealt by ranges of (keys, order). Each range is worked on by itself,
-and what a range needs from those before it (a sum, a count, a last row) is one
-row per key and range, carried over by a window whose groups are as small as the
-number of ranges.
+and what a range needs from those before it (a sum, a count, a last row) is
+carried over. A border between two ranges lies within one key at most, so what is
+carried is one row per range at most, and is broadcast.
 """
 
 from __future__ import annotations
@@ -21,11 +21,18 @@ def _ranged(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFr
     return written(df.repartitionByRange(n, *keys, *order).withColumn(_PART, F.spark_partition_id()), "ranged")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    """left join on equal or both null names; right's copies of them are dropped."""
-    renamed = right.select(*(F.col(n).alias(f"__r_{i}") for i, n in enumerate(names)), *(c for c in right.columns if c not in names))
-    on = [left[n].eqNullSafe(renamed[f"__r_{i}"]) for i, n in enumerate(names)]
-    return left.join(renamed, on, "left").drop(*(f"__r_{i}" for i in range(len(names))))
+def _carried(ends: DataFrame, keys: list[str], carry: Column) -> DataFrame:
+    """(part, keys, __b) of the ranges that a key goes on in: carry, a window expression's column, over what its earlier ranges end with."""
+    w = Window.partitionBy(*keys).orderBy(_PART)
+    return ends.withColumn("__first", F.lag(_PART).over(w).isNull()).withColumn("__b", carry.over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("NOT __first").select(_PART, *keys, "__b")
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with __b, null where nothing is carried; keys may be null. carried has fewer rows than there are ranges."""
+    names = [_PART, *keys]
+    small = F.broadcast(carried.select(*(F.col(n).alias(f"__r_{i}") for i, n in enumerate(names)), "__b"))
+    on = [rows[n].eqNullSafe(small[f"__r_{i}"]) for i, n in enumerate(names)]
+    return rows.join(small, on, "left").drop(*(f"__r_{i}" for i in range(len(names))))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:
@@ -36,9 +43,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], value
     rows = _ranged(df.withColumn("__v", F.coalesce(value, F.lit(0))), keys, order)
     by = [_PART, *keys]
     inside = F.coalesce(F.sum("__v").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = rows.groupBy(*by).agg(F.sum("__v").alias("__t"))
-    before = totals.select(*by, F.coalesce(F.sum("__t").over(Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return _null_safe(rows.withColumn("__i", inside), before, by).withColumn(name, F.col("__i") + F.col("__b")).drop("__v", "__i", "__b", _PART)
+    before = _carried(rows.groupBy(*by).agg(F.sum("__v").alias("__t")), keys, F.sum("__t"))
+    return _with_carried(rows.withColumn("__i", inside), before, keys).withColumn(name, F.col("__i") + F.coalesce("__b", F.lit(0))).drop("__v", "__i", "__b", _PART)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
@@ -55,8 +61,8 @@ def previous(df: DataFrame, keys: list[str], order: list[str | Column], column:
     inside = rows.withColumn("__i", F.lag(cell).over(w))
     keyed = [F.col(o) if isinstance(o, str) else o for o in order]
     ends = rows.groupBy(*by).agg(F.max_by(cell, F.struct(*(k.alias(f"o{i}") for i, k in enumerate(keyed)))).alias("__e"))
-    before = ends.select(*by, F.last("__e", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
-    return _null_safe(inside, before, by).withColumn(name, F.coalesce("__i", "__b")["v"]).drop("__i", "__b", _PART)
+    before = _carried(ends, keys, F.last("__e", ignorenulls=True))
+    return _with_carried(inside, before, keys).withColumn(name, F.coalesce("__i", "__b")["v"]).drop("__i", "__b", _PART)
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, take: list[str], forward: bool = False) -> DataFrame:
@@ -77,8 +83,8 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right
     w = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.withColumn("__i", F.last("__a", ignorenulls=True).over(w)).filter("__side = 1")
     ends = rows.groupBy(*by).agg(F.max_by("__a", F.when(F.col("__side") == 0, F.col("__at"))).alias("__e"))
-    before = ends.select(*by, F.last("__e", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
-    found = _null_safe(inside, before, by).withColumn("__f", F.coalesce("__i", "__b")).unionByName(l_rows.filter("__at IS NULL"), allowMissingColumns=True)
+    before = _carried(ends, keys, F.last("__e", ignorenulls=True))
+    found = _with_carried(inside, before, keys).withColumn("__f", F.coalesce("__i", "__b")).unionByName(l_rows.filter("__at IS NULL"), allowMissingColumns=True)
     return found.select(*(F.col(c) for c in left.columns), *(F.col("__f")[c].alias(c) for c in take))
 
 
@@ -90,13 +96,27 @@ def gaps(df: DataFrame, keys: list[str], position: str, least: int, name: str) -
     return found.withColumn(name, F.col("__next") - F.col("__from")).drop("__from", "__next")
 
 
+#: A range takes up to so many cells, and the next level's cells are so much wider.
+CELLS = 8
+
+
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str, first: str, last: str, width: int, keys: list[str] | None = None) -> DataFrame:
     """points joined to every range with first <= at <= last (E9, E10, D-19).
 
-    Ranges are cut into cells of `width`, so it is an equi-join on cells; width
-    should be about a range's usual length. Null or reversed bounds match
-    nothing.
+    Ranges are cut into cells, so it is an equi-join on cells; width should be
+    about a range's usual length. Longer ranges have wider cells, so that each
+    takes CELLS + 1 at most; points are asked for once at each level of width
+    that there is, which are few. Null or reversed bounds match nothing.
     """
     keys = keys or []
-    cells = ranges.filter(F.col(first) <= F.col(last)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))))
-    return points.withColumn("__cell", F.floor(F.col(at) / width)).join(cells, [*keys, "__cell"]).filter(F.col(at).between(F.col(first), F.col(last))).drop("__cell")
+    known = ranges.filter(F.col(first) <= F.col(last))
+    level = F.greatest(F.ceil(F.log(float(CELLS), F.greatest((F.col(last) - F.col(first) + 1) / (width * CELLS), F.lit(1.0))) - 1e-9), F.lit(0)).cast("int")
+    known = known.withColumn("__level", level)
+    levels = sorted(r[0] for r in known.select("__level").distinct().collect())  # at most 21: bounds are 64-bit numbers
+
+    def cell(place: Column) -> Column:
+        return F.floor(place / (F.pow(F.lit(float(CELLS)), F.col("__level")) * width))
+
+    cells = known.withColumn("__cell", F.explode(F.sequence(cell(F.col(first)), cell(F.col(last)))))
+    asked = points.withColumn("__level", F.explode(F.array(*(F.lit(x) for x in levels)).cast("array<int>"))).withColumn("__cell", cell(F.col(at)))
+    return asked.join(cells, [*keys, "__level", "__cell"]).filter(F.col(at).between(F.col(first), F.col(last))).drop("__cell", "__level")

@@ -26,6 +26,17 @@ def test_asof_both_ways(spark):
             assert r.name == (f"m{min(fit) if forward else max(fit)}" if fit else None)
 
 
+def test_ranges_of_all_lengths(spark):
+    random.seed(4)
+    ranges = [(random.choice("ab"), a, a + random.choice([0, 3, 70, 5_000, 10**6, 10**15, -1]), i) for i, a in enumerate(random.choices(range(-500, 500), k=60))] + [("a", None, 5, 98), ("a", 1, None, 99)]
+    points = [(k, x) for k in "ab" for x in [None, *range(-520, 520, 13)]]
+    found = ordered.in_ranges(spark.createDataFrame(points, "k string, x long"), spark.createDataFrame(ranges, "k string, a long, z long, i long"), "x", "a", "z", 4, ["k"])
+    assert found.groupBy("i").count().count() > 20
+    want = sorted((k, x, i) for k, x in points if x is not None for k2, a, z, i in ranges if k == k2 and a is not None and z is not None and a <= x <= z)
+    assert sorted((r.k, r.x, r.i) for r in found.collect()) == want
+    assert ordered.in_ranges(spark.createDataFrame(points, "k string, x long"), spark.createDataFrame([], "k string, a long, z long"), "x", "a", "z", 4, ["k"]).count() == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, i long, v long")
     assert ordered.running_sum(df, ["k"], ["i"], F.col("v"), "s").count() == 0
