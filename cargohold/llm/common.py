@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.scratch import scratch_path, written
+from cargohold.scratch import discard, scratch_path, written
 
 
 def id_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,12 +152,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Labels spread over the edges and are shortened by taking the label of the
     label, until none changes; each round is a written table, so no lineage
-    grows and nothing but a count comes to the driver. Nodes without an edge
-    don't appear.
+    grows and nothing but a count comes to the driver, and the tables of the
+    round before are deleted. Nodes without an edge don't appear.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = written(labels, "labels")
+    labels = table = written(labels, "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
@@ -165,6 +165,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = spread.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = spread.join(up, "label").select("node", F.least("label", "up").alias("label"), (F.col("old") != F.least("label", "up")).alias("changed"))
         new = written(new, "labels")
+        discard(spread, table)  # nothing but the new labels is read from here on
+        table = new
         if not new.filter("changed").limit(1).count():
+            discard(both)
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
