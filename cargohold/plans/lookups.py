@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cargohold.functions import text as fn
 from cargohold.operators import installer, ordered
+from cargohold.plans import reports
 from cargohold.queries import query, table
 from cargohold.sources import containers
 
@@ -208,6 +209,41 @@ def virtual_reports(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", lines.alias("report"))
 
 
+@query("""WITH n AS (SELECT n_regionkey AS c, n_nationkey AS k, n_name AS x, lag(n_nationkey // 7) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS before FROM nation),
+heads AS (SELECT r_regionkey AS c, s, -1 AS k, l, CASE l WHEN 0 THEN '' ELSE ['[Available Features]', '[Registry]', '[Shortcuts]', '[Installable Services]', '[Environment]', '[Custom Actions]', '[Properties]'][s + 1] END AS t
+          FROM region, (SELECT unnest(generate_series(0, 6)) AS s), (SELECT unnest([0, 1]) AS l)),
+rows AS (SELECT c, 0 AS s, k, 0 AS l, CASE WHEN k % 2 = 0 THEN '- ' || x ELSE '- <' || k || '>' END AS t FROM n WHERE k % 3 > 0
+UNION ALL SELECT c, 1, k, 0, '[' || CASE WHEN k // 7 = 2 THEN 'HKEY_LOCAL_MACHINE' WHEN k // 7 = 0 THEN 'HKEY_CLASSES_ROOT' WHEN k // 7 = 3 THEN 'HKEY_USERS' ELSE 'HKEY_CURRENT_USER' END || '\\soft]' FROM n WHERE before IS DISTINCT FROM k // 7
+UNION ALL SELECT c, 1, k, 1, CASE WHEN k % 2 = 0 THEN '"' || x || '"' ELSE '@' END || ' = "' || k || '"' FROM n
+UNION ALL SELECT c, 2, k, 0, '- ' || k || ' (' || x || ')' FROM n UNION ALL SELECT c, 2, k, 1, 'dir -> ' || x || CASE WHEN k % 2 = 0 THEN ' /q' ELSE '' END FROM n
+UNION ALL SELECT c, 3, k, 0, CASE WHEN k % 5 = 4 THEN '[Invalid Service Entry]' ELSE x END FROM n
+UNION ALL SELECT c, 3, k, l, '    ' || ['Description: ', 'Command: run', 'Arguments: ', 'Service Type: Kernel Driver', 'Start Type: Automatic', 'Account: [LocalSystem]', 'Password: ***'][l] FROM n, (SELECT unnest(generate_series(1, 7)) AS l) WHERE k % 5 < 4
+UNION ALL SELECT c, 4, k, 0, x || ' => ' || k FROM n
+UNION ALL SELECT c, 5, k, 0, x FROM n UNION ALL SELECT c, 5, k, 1, '    Type: ' || CASE WHEN k % 2 = 0 THEN '65 => DLL file stored in a Binary table stream (Continue Running)' ELSE '3 => -' END FROM n
+UNION ALL SELECT c, 5, k, 2, '    Source: s' FROM n UNION ALL SELECT c, 5, k, 3, '    Target: ' FROM n
+UNION ALL SELECT c, 6, k, 0, x || ' = ' FROM n)
+SELECT c AS container_id, string_agg(t || chr(10), '' ORDER BY s, k, l) AS text FROM (SELECT * FROM heads UNION ALL SELECT * FROM rows) GROUP BY 1""")
+def installer_report(spark, sf_dir):
+    """The report of each package, of all its tables."""
+    n, k, x = table(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("n_name")
+
+    def rows(**columns):
+        return n.select(F.col("n_regionkey").alias("container_id"), k.alias("row"), *(v.alias(c) for c, v in columns.items()))
+
+    none, even = F.lit(None).cast("string"), k % 2 == 0
+    tables = {
+        "Available Features": rows(key=k, Title=F.when(even, x), Description=none, Level=k % 3, Display=F.lit(1)),
+        "Registry": rows(Root=F.floor(k / 7), Key=F.lit("soft"), Name=F.when(even, x), Value=k),
+        "Shortcuts": rows(key=k, Directory=F.lit("dir"), Name=F.concat(F.lit("S~1|"), x), Target=x, Arguments=F.when(even, "/q")),
+        "Installable Services": rows(Name=x, DisplayName=none, Description=none, command=F.lit("run"), Arguments=none, ServiceType=F.lit(1), StartType=F.lit(2), StartName=none, Password=F.lit("secret"), Component=F.when(k % 5 == 4, "").otherwise("c")),
+        "Environment": rows(Name=x, Value=k),
+        "Custom Actions": rows(Action=x, Type=F.when(even, 1 + 0x40).otherwise(3), Source=F.lit("s"), Target=none),
+        "Properties": rows(Name=x, Value=none),
+    }
+    containers_ = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("container_id"))
+    return reports.report_texts(reports.report_lines(containers_, tables))
+
+
 @query("""SELECT doc_id, doc_id % 5 <> 0 AS verified FROM documents""")
 def verify_contents(spark, sf_dir):
     """Contents against digests, every fifth of which is wrong."""
