@@ -137,7 +137,7 @@ def links(distinct: DataFrame, bits: int = SEGMENT_BITS, most: int = MOST_IN_CEL
     """
     placed = written(_placed(distinct, bits), "simhash_places")
     # places are few bytes, but become many cells each: as many tasks as a shuffle has
-    places = placed.groupBy("own").agg(F.count("*").alias("n")).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "own")
+    places = placed.groupBy("own").agg(F.count("*").alias("n")).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("own"))
     cells = _dealt(places, bits).groupBy("cell").agg(F.sum("n").alias("n"), F.collect_list("own").alias("owns")).filter("n > 1")
     met = written(cells.select("cell", "n", F.explode("owns").alias("own")), "simhash_cells")
     near = placed.join(met.filter(F.col("n") <= most).select("cell", "own"), "own")
