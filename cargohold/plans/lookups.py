@@ -8,6 +8,7 @@ from cargohold.functions import text as fn
 from cargohold.operators import installer, ordered
 from cargohold.plans import reports
 from cargohold.queries import query, table
+from cargohold.sinks import extract
 from cargohold.sources import containers
 
 
@@ -244,6 +245,32 @@ def installer_report(spark, sf_dir):
     return reports.report_texts(reports.report_lines(containers_, tables))
 
 
+_MIXED = "xor(xor(c >> 8, b), xor(c >> 8, b) >> 4)"
+
+
+@query(f"""SELECT c_custkey, list_reduce(list_prepend(0, list_transform(string_split(c_name, ''), lambda x: ascii(x))), lambda c, b: xor(xor(xor(c << 8, {_MIXED} << 12), {_MIXED} << 5), {_MIXED}) & 65535)::INTEGER AS crc FROM customer""")
+def tag_checksums(spark, sf_dir):
+    """I16: CRC-16 of short values."""
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.crc16(F.encode("c_name", "UTF-8")).alias("crc"))
+
+
+@query("""SELECT event_id, ts::TIMESTAMP AS at, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN event_type || '/' ELSE event_type || '/' END AS dir, event_type || ' x' AS bare FROM events""")
+def panel_fields(spark, sf_dir):
+    """H3, H12 and file times: ticks of 100 ns since 1601 as timestamps, folders with one separator at their end, names without blanks around them."""
+    e = table(spark, sf_dir, "events")
+    ticks = F.unix_micros(F.col("ts").cast("timestamp")) * 10 + 116444736000000000
+    path = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.concat("event_type", F.lit("/"))).otherwise(F.col("event_type"))
+    return e.select("event_id", fn.file_time(ticks).cast("timestamp_ntz").alias("at"), fn.with_trailing(path, "/").alias("dir"), fn.trimmed(F.concat(F.lit(" \r\n"), "event_type", F.lit(" x\n "))).alias("bare"))
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '[\\/]?[^\\/]*$', '') || '/out/' || page_id || '.txt' AS target FROM pages""".replace("\\\\", "\\"))
+def in_place_targets(spark, sf_dir):
+    """Contents go next to their container."""
+    pages = table(spark, sf_dir, "pages")
+    inner = extract.target_path(F.concat(F.lit("out/"), "page_id", F.lit(".txt")), "", "full", sep="/")
+    return pages.select("page_id", F.concat(extract.beside(F.col("url")), inner).alias("target"))
+
+
 @query("""SELECT doc_id, doc_id % 5 <> 0 AS verified FROM documents""")
 def verify_contents(spark, sf_dir):
     """Contents against digests, every fifth of which is wrong."""

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cargohold.functions import codecs
 from cargohold.functions import text as fn
 from cargohold.operators import installer
 
@@ -54,6 +55,13 @@ def test_stream_names(spark):
     assert values(spark, [(k,) for k in cases], "k string", fn.stream_name(F.col("k"))) == [(x,) for x in cases.values()]
 
 
+def test_times_and_ends(spark):
+    rows = [(0, "a"), (None, ""), (116444736000000000 + 15, "a\\")]
+    got = values(spark, rows, "t long, p string", fn.file_time(F.col("t")).cast("string"), fn.with_trailing(F.col("p")))
+    assert got == [(None, "a\\"), (None, ""), ("1970-01-01 00:00:00.000001", "a\\")]
+    assert codecs.weak_crc32(b"") == 0 and codecs.weak_crc32(b"123456789") == 0x2DFD2D88
+
+
 def test_folder_names(spark):
     cases = [
         ("FontsFolder", ".", ("FontsFolder", "FontsF~1")),
