@@ -159,4 +159,4 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
         F.coalesce("is_repeat", F.lit(False)).alias("is_repeat"),
     )
     decided = written(decided, "decided")
-    return rows.join(decided, "digest").select("doc_id", "row", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "is_repeat")
+    return joined_hot(rows, decided, "digest", "own_size").select("doc_id", "row", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "is_repeat")

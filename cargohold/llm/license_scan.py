@@ -77,16 +77,19 @@ def _candidates(files: DataFrame, needed: DataFrame, n_needed: int) -> tuple[Dat
 
 
 def _units(files: DataFrame, asked: Column | None) -> DataFrame:
-    """(file_id, unit, w): the words of runs of lines that have one of the words asked for (all runs if None), and of licence files as wholes (unit -1)."""
+    """(file_id, unit, w): the words of runs of lines that have one of the words asked for (all runs if None), and of licence files as wholes (run -1).
+
+    unit is a hash of the file's row and the run, so rows that share an id don't mix.
+    """
     lines = F.transform(F.split("text", "\n"), words_of)
-    listed = files.select("file_id", "is_license", lines.alias("lines"))
+    listed = files.select("file_id", F.xxhash64("file_id", "text").alias("row"), "is_license", lines.alias("lines"))
     hits = F.transform("lines", lambda x: F.arrays_overlap(x, asked) if asked is not None else F.size(x) > 0)
     # runs that begin with words, and have one of those asked for
-    run = F.transform(F.sequence(F.lit(0), F.size("lines") * LINES - 1), lambda u: F.struct(u.alias("unit"), (F.floor(u / LINES) + 1).cast("int").alias("from"), (u % LINES + 1).cast("int").alias("n")))
+    run = F.transform(F.sequence(F.lit(0), F.size("lines") * LINES - 1), lambda u: F.struct(u.alias("run"), (F.floor(u / LINES) + 1).cast("int").alias("from"), (u % LINES + 1).cast("int").alias("n")))
     fits = F.filter(run, lambda r: (r["from"] + r["n"] - 1 <= F.size("lines")) & F.exists(F.slice("hits", r["from"], r["n"]), lambda h: h))
-    runs = listed.withColumn("hits", hits).select("file_id", F.explode(fits).alias("r"), "lines")
-    parts = runs.select("file_id", F.col("r.unit").alias("unit"), F.flatten(F.slice("lines", F.col("r.from"), F.col("r.n"))).alias("w"))
-    return parts.unionByName(listed.filter("is_license").select("file_id", F.lit(-1).alias("unit"), F.flatten("lines").alias("w")))
+    runs = listed.withColumn("hits", hits).select("file_id", "row", F.explode(fits).alias("r"), "lines")
+    parts = runs.select("file_id", F.xxhash64("row", "r.run").alias("unit"), F.flatten(F.slice("lines", F.col("r.from"), F.col("r.n"))).alias("w"))
+    return parts.unionByName(listed.filter("is_license").select("file_id", F.xxhash64("row", F.lit(-1)).alias("unit"), F.flatten("lines").alias("w")))
 
 
 def own_licenses(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -124,7 +127,7 @@ def license_scan(files: DataFrame, templates: DataFrame | None = None, threshold
     Directories are separated by "/"; the root is the empty path. Nulls: a null
     text has no lines, a file with a null path is in no directory and inherits
     nothing, null ids are one file of several rows. Rows that repeat an id share
-    the best licence of them. Very long texts and lines are read whole. Empty
+    the best licence of any of them. Very long texts and lines are read whole. Empty
     tables give an empty result, and without templates no file has a licence.
     Other columns are not read.
     """

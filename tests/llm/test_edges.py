@@ -632,6 +632,15 @@ def test_license_templates_beyond_what_is_sent(spark, monkeypatch):
     assert sorted(map(str, license_scan.license_scan(df).collect())) == want
 
 
+def test_license_rows_that_share_an_id(spark):
+    """Lines of different rows of one id don't mix, and the best of them counts for all."""
+    apache = next(x for n, x in license_scan.TEMPLATES if n == "Apache-2.0")
+    half = apache.split(" License, ")
+    rows = [(1, "a", apache + "\nmore"), (1, "b", "quite other words\nare here"), (None, "c", half[0]), (None, "d", half[1]), (2, "e", apache), (2, "e", apache)]
+    got = [(r.file_id, r.path, r.license) for r in license_scan.license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a", "Apache-2.0"), (1, "b", "Apache-2.0"), (None, "c", None), (None, "d", None), (2, "e", "Apache-2.0"), (2, "e", "Apache-2.0")]))
+
+
 def test_license_inheritance_takes_the_nearest(spark):
     mit, apache = (next(x for n, x in license_scan.TEMPLATES if n == name) for name in ("MIT", "Apache-2.0"))
     rows = [(1, "LICENSE", mit), (2, "p/q/LICENSE", apache), (3, "p/x", "x"), (4, "p/q/r/s/y", "y"), (5, "top", "t"), (6, "p/q/z", "z")]
