@@ -448,6 +448,17 @@ def pak_roundtrip(spark, sf_dir):
     return found.select("container_id", "path", "size", F.md5("content").alias("md5"), "read")
 
 
+@query("""SELECT 'pack_' || k AS container_id, CASE WHEN k % 5 = 0 THEN 1 ELSE n END AS n_rows, CASE WHEN k % 5 = 0 THEN 0 ELSE n END AS n_items, k % 5 = 0 AS broken, true AS not_vp FROM (SELECT doc_id // 8 AS k, count(*) AS n FROM documents GROUP BY 1)""")
+def broken_containers(spark, sf_dir):
+    """A cut-off container gives one row with a status and spoils no other; a container that is forced into another format gives the same."""
+    packs = _packed(spark, sf_dir, lambda files: [("", writers.pak_bytes(files))])
+    cut = packs.withColumn("content", F.when(F.substring_index("container_id", "_", -1).cast("int") % 5 == 0, F.substring("content", 1, 10)).otherwise(F.col("content")))
+    failed = F.coalesce(F.col("status").startswith("item_error"), F.lit(False))
+    own = containers.items_of(containers.detected(cut)).groupBy("container_id").agg(F.count("*").alias("n_rows"), F.count("item_index").alias("n_items"), F.bool_or(failed).alias("broken"))
+    forced = containers.items_of(containers.detected(cut, "vp")).groupBy("container_id").agg(F.bool_and(failed).alias("not_vp"))
+    return own.join(forced, "container_id")
+
+
 @query(_PACK.format(" || '.cat'"))
 def xcat_roundtrip(spark, sf_dir):
     """An index beside its data file."""
