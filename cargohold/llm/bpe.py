@@ -369,10 +369,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
-    key = ("own", file_digest(tokenizer_path), split_bytes, kept_words)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_encoder(key, lambda: Encoder(shared.value, split_bytes=split_bytes, kept_words=kept_words))
+        # not kept from task to task: decoding tasks share the worker processes, and each would come to hold one
+        encoder = Encoder(shared.value, split_bytes=split_bytes, kept_words=kept_words)
         for b in batches:
             texts = b.column("text").to_pylist()
             for begin, end in stretches(texts, stretch_bytes):
