@@ -371,7 +371,6 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # not kept from task to task: decoding tasks share the worker processes, and each would come to hold one
         encoder = Encoder(shared.value, split_bytes=split_bytes, kept_words=kept_words)
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -382,6 +381,30 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, ids array<int>")
 
 
+def _texts_of(v: Vocabulary, ids: np.ndarray, n: np.ndarray) -> list[str]:
+    """What the ids of texts stand for, n of each; bytes that aren't UTF-8 become U+FFFD."""
+    size = v.length[ids]
+    raw = gathered(v.bytes, v.from_[ids], size).tobytes()
+    ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))].tolist()
+    return [raw[a:z].decode("utf-8", "replace") for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stretch_bytes: int = STRETCH_BYTES, split_bytes: int = SPLIT_BYTES, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """(doc_id, ids, text): decode of encode, in one Python process for each task instead of two. See those for nulls and sizes."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        encoder = Encoder(v, split_bytes=split_bytes, kept_words=kept_words)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for begin, end in stretches(texts, stretch_bytes):
+                for a, z, ids, n in encoder.encode(texts[begin:end]):
+                    yield pa.record_batch([b.column("doc_id").slice(begin + a, z - a), _lists(ids, n, pa.int32()), pa.array(_texts_of(v, ids, n), pa.string())], ["doc_id", "ids", "text"])
+
+    return id_and_bytes(docs, id_col, text_col).mapInArrow(of, "doc_id long, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded (with doc_id and ids) with the text that its ids stand for: (doc_id, ids, text).
 

@@ -85,8 +85,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     empty text, without ids; an empty table gives an empty result; very long
     texts are encoded whole.
     """
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    found = bpe.decode(bpe.encode(docs, path), path)
+    found = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -379,6 +379,9 @@ def test_bpe_and_token_files(spark, tmp_path):
     encoded = bpe.encode(documents(spark), PATH)
     assert sorted((str(r.doc_id), r.ids) for r in encoded.collect()) == want
     assert sorted(r.text for r in bpe.decode(encoded, PATH).collect()) == sorted(r.text or "" for r in documents(spark).collect())
+    both = bpe.round_trip(documents(spark), PATH).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in both) == want and sorted(r.text for r in both) == sorted(r.text or "" for r in documents(spark).collect())
+    assert bpe.round_trip(empty(spark), PATH).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [-5, 10**6, 50256])], "doc_id long, ids array<int>")
     assert [r.text for r in bpe.decode(odd, PATH).orderBy("doc_id").collect()] == ["", "<|endoftext|>"]
     path = token_files.store_tokens(documents(spark), PATH, 2, str(tmp_path / "tokens"))
@@ -711,6 +714,7 @@ def test_mixed_widths_through_spark(spark, tmp_path):
         encoded = bpe.encode(docs, PATH, **sizes)
         assert {r.doc_id: r.ids for r in encoded.collect()} == want
         assert {r.doc_id: r.text for r in bpe.decode(encoded, PATH).collect()} == dict(enumerate(texts))
+        assert {r.doc_id: (r.ids, r.text) for r in bpe.round_trip(docs, PATH, **sizes).collect()} == {i: (want[i], x) for i, x in enumerate(texts)}
     for shard_tokens in (7, 1 << 20):
         path = token_files.store_tokens(docs, PATH, 2, str(tmp_path / f"t{shard_tokens}"), shard_tokens=shard_tokens)
         rows = token_files.stored_documents(spark, path).orderBy("doc_id").collect()
